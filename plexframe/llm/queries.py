@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexframe.llm import language
+from plexframe.llm import language, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,17 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "text_redacted")
+
+
+def op6_secrets_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii_anchors": op4_pii_anchors,
+    "op6_secrets_dfa": op6_secrets_dfa,
     "op10_language_ppm": op10_language_ppm,
 }
 
