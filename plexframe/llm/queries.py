@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexframe.llm import language, pii, secrets
+from plexframe.llm import language, media, mixing, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out().alias("held_out"))
     model = language.train(docs.where("NOT held_out"))
     return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op1_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "text_redacted")
 
@@ -28,8 +36,10 @@ def op6_secrets_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hash_mix": op1_hash_mix,
     "op4_pii_anchors": op4_pii_anchors,
     "op6_secrets_dfa": op6_secrets_dfa,
+    "op8_media_sniff": op8_media_sniff,
     "op10_language_ppm": op10_language_ppm,
 }
 
