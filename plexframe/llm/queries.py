@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexframe.llm import language, media, mixing, pii, secrets
+from plexframe.llm import chat, language, media, mixing, pii, reputation, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_chat_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op8_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")).drop("url")
+
+
 def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out().alias("held_out"))
     model = language.train(docs.where("NOT held_out"))
@@ -39,8 +47,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_mix": op1_hash_mix,
     "op4_pii_anchors": op4_pii_anchors,
     "op6_secrets_dfa": op6_secrets_dfa,
+    "op7_chat_linking": op7_chat_linking,
     "op8_media_sniff": op8_media_sniff,
+    "op9_host_reputation": op9_host_reputation,
     "op10_language_ppm": op10_language_ppm,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_chat_linking": chat.ORACLE,
+    "op9_host_reputation": reputation.oracle(),
+}
