@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexframe.llm import chat, language, media, mixing, pii, reputation, secrets
+from plexframe.llm import chat, language, media, mixing, packing, pii, reputation, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op1_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "text_redacted")
 
@@ -45,6 +49,7 @@ def op6_secrets_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_mix": op1_hash_mix,
+    "op2_best_fit_pack": op2_best_fit_pack,
     "op4_pii_anchors": op4_pii_anchors,
     "op6_secrets_dfa": op6_secrets_dfa,
     "op7_chat_linking": op7_chat_linking,
