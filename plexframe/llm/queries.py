@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexframe.llm import chat, language, media, mixing, packing, pii, reputation, secrets
+from plexframe.llm import chat, jaccard, language, media, mixing, packing, pii, reputation, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "text_redacted")
 
@@ -50,6 +54,7 @@ def op6_secrets_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_mix": op1_hash_mix,
     "op2_best_fit_pack": op2_best_fit_pack,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_pii_anchors": op4_pii_anchors,
     "op6_secrets_dfa": op6_secrets_dfa,
     "op7_chat_linking": op7_chat_linking,
