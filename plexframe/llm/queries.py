@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexframe.llm import chat, jaccard, language, media, mixing, packing, pii, reputation, secrets
+from plexframe.llm import chat, jaccard, language, media, mixing, neighbours, packing, pii, reputation, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "text_redacted")
 
 
+def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op6_secrets_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_pack": op2_best_fit_pack,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_pii_anchors": op4_pii_anchors,
+    "op5_kmeans_tree": op5_kmeans_tree,
     "op6_secrets_dfa": op6_secrets_dfa,
     "op7_chat_linking": op7_chat_linking,
     "op8_media_sniff": op8_media_sniff,
