@@ -1,10 +1,4 @@
 """Registered queries over the driver tables, and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from plexframe.plans import interval_queries  # noqa: F401
+from plexframe.plans.views import QUERIES, SQL  # noqa: F401
