@@ -50,20 +50,19 @@ def reconcile_haploid(calls: DataFrame, keys: list[str], genotype: str) -> DataF
     return calls.withColumn("resolved", F.when((n == 1) & (F.col(genotype) == "1/1"), "1").otherwise("FAIL"))
 
 
-def reconcile_diploid(calls: DataFrame, keys: list[str], genotype: str) -> DataFrame:
-    """Appends ``resolved`` by the position's calls.
+def reconcile_diploid(calls: DataFrame, keys: list[str], genotype: str, deletion: str) -> DataFrame:
+    """Appends ``resolved`` by all of a position's calls; those other than 0/1, 1/1 and 1/2 don't pass.
 
-    One 1/1 alone stays and the others fail; a single 0/1 stays; exactly two
-    0/1 become 1/2; one 1/2 call stays; anything else fails.
+    The only passing call stays if it is 0/1 or 1/1. Two passing calls become
+    1/2 if both are 1/2, or if neither is 1/1 and just one is a deletion.
+    Every other call fails.
     """
-    w = Window.partitionBy(*keys)
-    n = {g: F.sum(F.when(F.col(genotype) == g, 1).otherwise(0)).over(w) for g in ("0/1", "1/1", "1/2")}
-    g = F.col(genotype)
-    out = F.when((n["1/1"] == 1) & (n["0/1"] + n["1/2"] == 0) & (g == "1/1"), "1/1")
-    out = out.when((n["0/1"] == 1) & (n["1/1"] + n["1/2"] == 0) & (g == "0/1"), "0/1")
-    out = out.when((n["0/1"] == 2) & (n["1/1"] + n["1/2"] == 0) & (g == "0/1"), "1/2")
-    out = out.when((n["1/2"] == 1) & (n["1/1"] + n["0/1"] == 0) & (g == "1/2"), "1/2")
-    return calls.withColumn("resolved", out.otherwise("FAIL"))
+    w, g = Window.partitionBy(*keys), F.col(genotype)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
+    passing = g.isin("0/1", "1/1", "1/2")
+    half = g.isin("0/1", "1/2")
+    pair = (n(passing) == 2) & ((n(g == "1/2") == 2) | (n(half) == 2) & (n(half & F.col(deletion)) == 1))
+    return calls.withColumn("resolved", F.when(passing & pair, "1/2").when((n(passing) == 1) & g.isin("0/1", "1/1"), g).otherwise("FAIL"))
 
 
 def panel(rows: DataFrame, keys: list[str], files: str, af: str, mapq: str, least_af: float, most_af: float, least_mapq: float) -> DataFrame:

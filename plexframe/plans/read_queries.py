@@ -235,10 +235,14 @@ def genotype_reconcile_haploid(spark, d):
     return V.reconcile_haploid(calls(spark, d), ["pos"], "gt")
 
 
-@query(f"""WITH {CALLS}, n AS (SELECT *, count(*) FILTER (gt = '0/1') OVER (PARTITION BY pos) AS het, count(*) FILTER (gt = '1/1') OVER (PARTITION BY pos) AS hom FROM c)
-    SELECT pos, alt, gt, CASE WHEN hom = 1 AND het = 0 AND gt = '1/1' THEN '1/1' WHEN het = 1 AND hom = 0 AND gt = '0/1' THEN '0/1' WHEN het = 2 AND hom = 0 AND gt = '0/1' THEN '1/2' ELSE 'FAIL' END AS resolved FROM n""")
+@query("""WITH c AS (SELECT l_orderkey AS pos, l_partkey AS alt, l_partkey % 2 = 0 AS del, CASE WHEN l_quantity < 10 THEN '0/1' WHEN l_quantity < 14 THEN '1/1' WHEN l_quantity < 20 THEN '1/2' ELSE '0/0' END AS gt FROM lineitem),
+    n AS (SELECT *, count(*) FILTER (gt <> '0/0') OVER w AS p, count(*) FILTER (gt = '1/2') OVER w AS b, count(*) FILTER (gt IN ('0/1', '1/2')) OVER w AS h, count(*) FILTER (gt IN ('0/1', '1/2') AND del) OVER w AS hd FROM c WINDOW w AS (PARTITION BY pos))
+    SELECT pos, alt, gt, CASE WHEN gt <> '0/0' AND p = 2 AND (b = 2 OR (h = 2 AND hd = 1)) THEN '1/2' WHEN p = 1 AND gt IN ('0/1', '1/1') THEN gt ELSE 'FAIL' END AS resolved FROM n""")
 def genotype_reconcile_diploid(spark, d):
-    return V.reconcile_diploid(calls(spark, d), ["pos"], "gt")
+    q = F.col("l_quantity")
+    gt = F.when(q < 10, "0/1").when(q < 14, "1/1").when(q < 20, "1/2").otherwise("0/0")
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("alt"), gt.alias("gt"), (F.col("l_partkey") % 2 == 0).alias("del"))
+    return V.reconcile_diploid(c, ["pos"], "gt", "del").drop("del")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '0/0' WHEN l.quality = 1 THEN '1/1' ELSE '0/1' END AS gt FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL OR l.toxic = 0")
