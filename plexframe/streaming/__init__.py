@@ -1 +1 @@
-
+"""Structured Streaming front ends."""
