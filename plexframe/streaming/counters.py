@@ -12,6 +12,7 @@ def read_stream(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
 
 def windowed(events: DataFrame, time: str, keys: list[str], value: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and sums per window and key; rows later than ``late`` behind the watermark are ignored once a window is closed."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     w = F.window(time, width)
     out = events.withWatermark(time, late).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("window.start").alias("start"), *keys, "n", "total")
@@ -19,6 +20,7 @@ def windowed(events: DataFrame, time: str, keys: list[str], value: str, width: s
 
 def sessions(events: DataFrame, time: str, keys: list[str], gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     """Sessions that end after a pause of ``gap``."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     out = events.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), *keys, "n")
 
