@@ -27,12 +27,12 @@ def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch by rows so that each part holds about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch by rows so that each part holds about ``most`` bytes of text."""
     _, offsets = text_views(batch.column(text_col))
     start = 0
     while start < batch.num_rows:
-        end = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1
         end = max(start + 1, min(end, batch.num_rows))
         yield batch.slice(start, end - start)
         start = end

@@ -42,6 +42,9 @@ ORDERS = (101, 202)
 #: Classes that a task remembers, so as to post equal sets once.
 SEEN = 500_000
 GROUP_PAIRS, HUB_PAIRS = 2_000, 500
+FAN_IN = 1024
+#: Text bytes that are shingled at once: the hashes take some twenty times as much.
+SHINGLE_BYTES = 2 << 20
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -57,8 +60,8 @@ def _level(total: np.ndarray) -> np.ndarray:
 def sketch(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, int]:
     """Counter levels, two to a byte, and the bits of a bucket number.
 
-    Every task adds min(3, its count) per bucket; sums go up in two steps
-    so that no group grows beyond a share of the tasks.
+    Every task adds min(3, its count) per bucket; sums go up in two steps,
+    FAN_IN tasks each first, so that no group grows with all of them.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = max(MIN_BITS, min(MAX_BITS, math.ceil(math.log2(max(2, size / 6)))))
@@ -76,12 +79,12 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, int]
             for k in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[k], cuts[k + 1])
                 low, more = (at[own] & (per - 1)).astype(np.uint16), times[own]
-                yield int(k), part % 64, low[more == 1].tobytes(), low[more == 2].tobytes(), low[more > 2].tobytes()
+                yield int(k), part // FAN_IN, low[more == 1].tobytes(), low[more == 2].tobytes(), low[more > 2].tobytes()
 
         def rows():
             nonlocal held, n
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", SHINGLE_BYTES):
                     h, offsets = shingle_hashes(batch.column("text"), width)
                     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint32), np.diff(offsets))
                     order = np.lexsort((h, owner))
@@ -89,7 +92,7 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, int]
                     new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool)
                     held.append((h[new] >> np.uint64(64 - bits)).astype(np.uint32))
                     n += len(held[-1])
-                    if n > 16_000_000:
+                    if n > 4_000_000:
                         yield from flush()
                         held, n = [], 0
             if held:
@@ -152,7 +155,7 @@ def _post(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits:
         table, bits = handle.value
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SHINGLE_BYTES):
                 sets = shingle_sets(batch.column("text"), width)
                 fps = [fingerprint(s) if len(s) else 0 for s in sets]
                 rows = len(sets)
@@ -218,7 +221,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, n_pairs
         a, b = table["a"].to_pylist(), table["b"].to_pylist()
         sets: list[np.ndarray] = []
         for batch in table.select(["text"]).combine_chunks().to_batches():
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SHINGLE_BYTES):
                 sets += shingle_sets(part.column("text"), width)
         hubs = {x: s for x, y, s in zip(a, b, sets, strict=True) if y is None}
         good = [(x, y) for x, y, s in zip(a, b, sets, strict=True) if y is not None and linked(hubs[x], s, percent)]
