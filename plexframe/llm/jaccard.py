@@ -13,8 +13,8 @@ among the first n - ceil(t * n) + 1 of each (their prefixes), so:
    candidates, if sizes and positions leave room for enough overlap.
 3. Before a candidate pair is verified it must also share a prefix shingle
    under each of two further orders. Verification is exact, on whole sets.
-4. Links are found in rounds: first every posted class against one hub of
-   its shingle, then the pairs between different components, a growing band
+4. Links are found in rounds: first every posted class against a hub of
+   each of its shingles, then the pairs between different components, a growing band
    of pair hashes at a time. Pairs that earlier links have joined drop out,
    so a large group of near copies costs about its size, and each pair that
    could still join two components is verified in its band.
@@ -42,6 +42,8 @@ ORDERS = (101, 202)
 #: Classes that a task remembers, so as to post equal sets once.
 SEEN = 500_000
 GROUP_PAIRS, HUB_PAIRS = 2_000, 500
+#: Rounds against hubs; pairs of the first band behind them, or 2 % of all that are left.
+STARS, BAND_PAIRS = 3, 10_000
 FAN_IN = 1024
 #: Text bytes that are shingled at once: the hashes take some twenty times as much.
 SHINGLE_BYTES = 2 << 20
@@ -255,15 +257,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         labels = scratch.write(connected_components(links, scratch), "labels")
 
     near = lambda x, y: F.expr(f"100 * least({x}.n - {x}.pos, {y}.n - {y}.pos) * {100 + percent} >= 100 * {percent} * ({x}.n + {y}.n)") & F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
-    hubs = lists.groupBy("token").agg(F.min(F.struct("fp", "n", "pos")).alias("h")).select("token", "h.*")
-    check(lists.alias("x").join(hubs.alias("y"), "token").where((F.col("x.fp") != F.col("y.fp")) & near("x", "y")).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")).distinct())
+    def alive() -> DataFrame:
+        """Postings with their components, of the shingles that still join two."""
+        named = lists.join(labels, lists.fp == labels.node, "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
+        live = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+        return scratch.write(named.join(live, "token", "left_semi"), "named")
+
+    for k in range(STARS):  # one hub for all shingles of a group first, then one of each shingle's own
+        named = alive()
+        rank = F.xxhash64(F.lit(k), "fp") if k == 0 else F.xxhash64(F.lit(k), "fp", "token")
+        hubs = named.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "fp", "n", "pos", "c")).alias("h")).select("token", "h.*")
+        check(named.alias("x").join(hubs.alias("y"), "token").where((F.col("x.c") != F.col("y.c")) & near("x", "y")).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")).distinct())
 
-    low, budget = 0, 20_000
+    low, budget = 0, BAND_PAIRS
     full = 1 << 62
     while low < full:
-        named = lists.join(labels, lists.fp == labels.node, "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
-        live = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-        named = scratch.write(named.join(live, "token", "left_semi"), "named")
+        named = alive()
         hash_ = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("x.fp"), F.col("y.fp")), 2)
         cross = named.alias("x").join(named.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c")) & near("x", "y") & (hash_ >= low))
         # How many there are decides how wide a band this round takes.
@@ -272,7 +281,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         high = full if n <= budget else low + int((full - low) * (budget / n))
         a = F.when(F.col("x.n") <= F.col("y.n"), F.struct(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))).otherwise(F.struct(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")))
         check(cross.where(hash_ < high).select(a.alias("p")).select("p.*").distinct())
-        low, budget = high, budget * 4
+        low, budget = high, budget * 2
     return rows, labels
 
 

@@ -64,10 +64,12 @@ def _png(d: bytes, at: int) -> int:
 
 def _jpeg(d: bytes, at: int) -> int:
     pos = at + 2
-    while pos + 4 <= len(d) and d[pos] == 0xFF:
+    while pos + 2 <= len(d) and d[pos] == 0xFF:
         mark = d[pos + 1]
         if mark == 0xD9:
             return pos + 2
+        if pos + 4 > len(d):
+            return 0
         pos += 2 + struct.unpack_from(">H", d, pos + 2)[0]
         if mark == 0xDA:  # entropy-coded data up to the next marker that isn't stuffing or a restart
             while (pos := d.find(b"\xff", pos)) >= 0 and pos + 1 < len(d) and (d[pos + 1] == 0 or 0xD0 <= d[pos + 1] <= 0xD7):
@@ -168,13 +170,13 @@ def _ogg(d: bytes, at: int) -> int:
 
 
 def _mp4(d: bytes, at: int) -> int:
-    pos = at
+    pos, boxes = at, 0
     while pos + 8 <= len(d):
         size, = struct.unpack_from(">I", d, pos)
         if size < 8 or pos + size > len(d) or not d[pos + 4 : pos + 8].isalnum():
             break
-        pos += size
-    return pos if pos > at + 8 else 0
+        pos, boxes = pos + size, boxes + 1
+    return pos if boxes > 1 else 0
 
 
 _VALID = dict(zip(MAGIC, (_png, _jpeg, _gif, _bmp, _wav, _flac, _ogg, _pdf, _zip, _gzip, _mp4), strict=True))

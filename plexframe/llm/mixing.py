@@ -163,5 +163,6 @@ def path_id(depth: int):
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS) -> DataFrame:
     """The mixed rows: every row as often as ``plan`` takes it, with the columns of ``docs``."""
-    planned = plan(docs, id_col, text_col, source_col, weights)
-    return planned.where("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(c) for c in docs.columns])
+    planned = plan(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}), f"own_{id_col}", f"own_{text_col}", f"own_{source_col}", weights)
+    repeated = planned.where("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
