@@ -53,9 +53,9 @@ def outlier_clamp(spark, d):
     return rounded(CN.clamp_outliers(signal(spark, d), ["kind"], "value").select("pos", "kind", "value"), "value")
 
 
-@query(f"WITH {COV} SELECT contig, round(avg(counts), 6) AS mean, round(stddev_samp(counts), 6) AS sd, count(*) AS n FROM cov WHERE contig % 10 <> 0 GROUP BY contig")
-def autosome_mean_sd(spark, d):
-    return rounded(cov(spark, d).where("contig % 10 != 0").groupBy("contig").agg(F.avg("counts").alias("mean"), F.stddev_samp("counts").alias("sd"), F.count("*").alias("n")), "mean", "sd")
+@query(f"WITH {COV} SELECT contig, round(avg(counts), 6) AS mean, round(stddev_samp(counts), 6) AS sd, count(*) AS n FROM cov GROUP BY contig")
+def contig_mean_sd(spark, d):
+    return rounded(cov(spark, d).groupBy("contig").agg(F.avg("counts").alias("mean"), F.stddev_samp("counts").alias("sd"), F.count("*").alias("n")), "mean", "sd")
 
 
 @query(f"""WITH {COV}, q AS (SELECT contig, quantile_cont(counts, 0.25) AS q1, quantile_cont(counts, 0.75) AS q3, count(*) AS m FROM cov GROUP BY contig),

@@ -107,10 +107,10 @@ def repeat_counts(spark, d):
     return parts(spark, d).select("id", S.homopolymer_at_start("seq").alias("homopolymer"), S.repeats_at_start("seq", 2).alias("repeat2"))
 
 
-@query("""WITH t AS (SELECT l_orderkey AS o, l_linenumber::BIGINT AS k, l_partkey AS p, (l_linenumber % 4)::VARCHAR || '+' || (l_quantity::BIGINT)::VARCHAR || repeat('E', (l_partkey % 3)::INTEGER) || (l_suppkey % 9)::VARCHAR || '-' || (l_partkey % 5)::VARCHAR AS yc, l_linenumber % 4 + l_partkey % 5 AS simplex, l_quantity::BIGINT + l_suppkey % 9 AS c, l_partkey % 3 AS x, l_suppkey % 9 AS w, l_quantity::BIGINT AS q FROM lineitem WHERE l_partkey % 3 > 0)
+@query("""WITH t AS (SELECT l_orderkey AS o, l_linenumber::BIGINT AS k, l_partkey AS p, (l_linenumber % 4)::VARCHAR || '+' || (l_quantity::BIGINT)::VARCHAR || repeat('E', (l_partkey % 3 + 1)::INTEGER) || (l_suppkey % 9)::VARCHAR || '-' || (l_partkey % 5)::VARCHAR AS yc, l_linenumber % 4 + l_partkey % 5 AS simplex, l_quantity::BIGINT + l_suppkey % 9 AS c, l_partkey % 3 + 1 AS x, l_suppkey % 9 AS w, l_quantity::BIGINT AS q FROM lineitem)
     SELECT o, k, p, yc, simplex::INTEGER AS simplex, c::INTEGER AS concordant, x::INTEGER AS discordant, round(x / (c + x), 6) AS rate FROM t""")
 def yc_base_type_counts(spark, d):
-    t = table(spark, d, "lineitem").where("l_partkey % 3 > 0").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("k"), F.col("l_partkey").alias("p"), F.concat((F.col("l_linenumber") % 4).cast("string"), F.lit("+"), F.col("l_quantity").cast("long").cast("string"), F.expr("repeat('E', cast(l_partkey % 3 as int))"), (F.col("l_suppkey") % 9).cast("string"), F.lit("-"), (F.col("l_partkey") % 5).cast("string")).alias("yc"))
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("k"), F.col("l_partkey").alias("p"), F.concat((F.col("l_linenumber") % 4).cast("string"), F.lit("+"), F.col("l_quantity").cast("long").cast("string"), F.expr("repeat('E', cast(l_partkey % 3 + 1 as int))"), (F.col("l_suppkey") % 9).cast("string"), F.lit("-"), (F.col("l_partkey") % 5).cast("string")).alias("yc"))
     c = S.yc_counts("yc")
     return t.select("o", "k", "p", "yc", c["simplex"].alias("simplex"), c["concordant"].alias("concordant"), c["discordant"].alias("discordant"), F.round(S.duplex_error_rate("yc"), 6).alias("rate"))
 
@@ -165,10 +165,9 @@ def model_score(spark, d):
     return scored.select("doc_id", F.round(F.col("probabilities")[1], 6).alias("score"))
 
 
-@query(f"WITH {SIGNAL}, r AS (SELECT contig, kind, count(*) AS n, round(sum(value), 4) AS total FROM signal GROUP BY ROLLUP (contig, kind)) SELECT * FROM r WHERE contig IS NULL OR contig < 20")
+@query(f"WITH {SIGNAL} SELECT contig, kind, count(*) AS n, round(sum(value), 4) AS total FROM signal GROUP BY ROLLUP (contig, kind)")
 def event_rollup(spark, d):
-    r = signal(spark, d).rollup("contig", "kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return r.where("contig IS NULL OR contig < 20")
+    return signal(spark, d).rollup("contig", "kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
