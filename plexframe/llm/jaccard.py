@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plexframe.llm.batches import slices
+from plexframe.llm.batches import lean, slices
 from plexframe.llm.shingles import WIDTH, fingerprint, mix, shingle_hashes, shingle_sets
 from plexframe.operators.components import connected_components
 from plexframe.session import Scratch
@@ -72,6 +72,7 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, int]
     def count(batches):
         from pyspark import TaskContext
 
+        lean()
         part = TaskContext.get().partitionId()
         held, n = [], 0
 
@@ -154,6 +155,7 @@ def _post(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits:
     names = ["kind", "doc_id", "th", "n", "fp", "token", "pos", "text"]
 
     def run(batches):
+        lean()
         table, bits = handle.value
         seen: set[int] = set()
         for whole in batches:
@@ -220,6 +222,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, n_pairs
     hub = salted.select("bucket", "a").distinct().join(texts.select(F.col("fp").alias("a"), "text"), "a").select("bucket", "a", F.lit(None).cast("long").alias("b"), "text")
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         a, b = table["a"].to_pylist(), table["b"].to_pylist()
         sets: list[np.ndarray] = []
         for batch in table.select(["text"]).combine_chunks().to_batches():
@@ -253,18 +256,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         if not (n := pairs.count()):
             return
         good = scratch.write(verify(pairs, texts, width, percent, n), "links")
+        scratch.drop(pairs)
         links = good if links is None else links.union(good)
         labels = scratch.write(connected_components(links, scratch), "labels")
 
     near = lambda x, y: F.expr(f"100 * least({x}.n - {x}.pos, {y}.n - {y}.pos) * {100 + percent} >= 100 * {percent} * ({x}.n + {y}.n)") & F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
+    held = lists.withColumn("c", F.col("fp"))  # every shingle of ``lists`` has two classes at least
+
     def alive() -> DataFrame:
-        """Postings with their components, of the shingles that still join two."""
-        named = lists.join(labels, lists.fp == labels.node, "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
+        """Postings with their components, of the shingles that still join two; a shingle that no longer does stays out."""
+        nonlocal held
+        named = held.drop("c").join(labels, held.fp == labels.node, "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
         live = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-        return scratch.write(named.join(live, "token", "left_semi"), "named")
+        last, held = held, scratch.write(named.join(live, "token", "left_semi"), "named")
+        if hasattr(last, "_scratch_path"):
+            scratch.drop(last)
+        return held
 
     for k in range(STARS):  # one hub for all shingles of a group first, then one of each shingle's own
-        named = alive()
+        named = held if k == 0 else alive()
         rank = F.xxhash64(F.lit(k), "fp") if k == 0 else F.xxhash64(F.lit(k), "fp", "token")
         hubs = named.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "fp", "n", "pos", "c")).alias("h")).select("token", "h.*")
         check(named.alias("x").join(hubs.alias("y"), "token").where((F.col("x.c") != F.col("y.c")) & near("x", "y")).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")).distinct())
