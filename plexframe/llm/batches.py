@@ -13,6 +13,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 8 << 20
 
 
+def lean() -> None:
+    """Makes a worker give freed memory back: large arrays get pages of their own, Arrow allocates like the rest.
+
+    Without it the C library raises its own threshold with every large
+    array freed, and a reused worker keeps the most that it ever held.
+    """
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -44,7 +59,7 @@ def clash_free(schema: T.StructType, added: Iterable[str]) -> list[T.StructField
     return [f for f in schema.fields if f.name.lower() not in taken]
 
 
-def with_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: T.StructType) -> DataFrame:
+def with_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: T.StructType, most: int = SLICE_BYTES) -> DataFrame:
     """Appends the columns ``added``; columns of the same names in ``df`` are replaced.
 
     ``make`` runs once per task and returns the kernel: record batch -> {column: values}.
@@ -54,9 +69,10 @@ def with_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.R
     arrow, names = to_arrow_schema(schema), [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         kernel = make()
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, most):
                 new = kernel(batch)
                 columns = [batch.column(x) for x in names]
                 columns += [_array(new[f.name], arrow.field(f.name).type) for f in added.fields]

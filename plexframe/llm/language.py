@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plexframe.llm.batches import slices, text_views, with_batches
+from plexframe.llm.batches import lean, slices, text_views, with_batches
 
 #: Symbols: 0 white space and control, 1-26 letters, 27 digits, 28 other ASCII,
 #: 29-33 lead bytes by range, 34-49 continuation bytes by their low four bits.
@@ -27,6 +27,8 @@ A = 50
 UNDECIDED = "und"
 #: Bytes that all cost tables of a model may take together in a worker.
 TABLE_BYTES = 128 << 20
+#: Bytes of text that are coded at once, and codes held back for one count.
+BYTES, HELD = 2 << 20, 4_000_000
 
 
 def _symbols() -> np.ndarray:
@@ -71,21 +73,27 @@ def gram_codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def cost_table(codes: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
     """Bits for each code of ``order`` predecessors and a symbol, under the counts of the codes."""
-    full = np.zeros(A ** (order + 1), np.float64)
-    full[codes] = counts
-    levels = [full.reshape(-1, A)]
-    for _ in range(order):
-        levels.append(levels[-1].reshape(A, -1, A).sum(0))
     prob = np.full((1, A), 1 / A)
-    for c in reversed(levels):
-        out = np.empty(c.shape, np.float64)
-        for start in range(0, len(c), len(prob)):
-            part = c[start : start + len(prob)]
-            n, q = part.sum(1, keepdims=True), (part > 0).sum(1, keepdims=True)
-            coded = np.where(part > 0, part, q * prob) / np.maximum(n + q, 1)
-            out[start : start + len(prob)] = np.where(n == 0, prob, coded)
-        prob = out
-    return (-np.log2(prob, out=prob)).astype(np.float32).reshape(-1)
+    for k in range(order):
+        size = A ** (k + 1)
+        prob = _coded(np.bincount(codes % size, weights=counts, minlength=size).reshape(-1, A), np.tile(prob, (A if k else 1, 1)))
+    # The longest contexts fill a table of their own, one oldest symbol at a time.
+    out = np.empty(A ** (order + 1), np.float32)
+    by = np.argsort(codes, kind="stable")
+    codes, counts = codes[by], np.asarray(counts)[by]
+    size = A**order
+    cuts = np.searchsorted(codes, np.arange(A + 1) * size)
+    for k in range(A):
+        own = slice(cuts[k], cuts[k + 1])
+        part = np.bincount(codes[own] - k * size, weights=counts[own], minlength=size).reshape(-1, A)
+        out[k * size : (k + 1) * size] = -np.log2(_coded(part, prob)).reshape(-1)
+    return out
+
+
+def _coded(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of the symbols (columns) in their contexts (rows), given those in the next shorter contexts."""
+    n, q = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+    return np.where(n == 0, shorter, np.where(counts > 0, counts, q * shorter) / np.maximum(n + q, 1))
 
 
 @dataclass
@@ -125,18 +133,28 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_o
         order -= 1
 
     def count(batches):
+        lean()
         totals: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+
+        def add(lang: str) -> None:
+            total = totals.setdefault(lang, np.zeros(A ** (order + 1), np.uint32))
+            seen = np.bincount(np.concatenate(held.pop(lang)))
+            total[: len(seen)] += seen.astype(np.uint32)
+
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", BYTES):
                 codes, offsets = gram_codes(batch.column("text"), order)
                 langs = batch.column("lang").to_pylist()
                 names = sorted(set(langs))
                 at = {x: k for k, x in enumerate(names)}
-                owner = np.repeat(np.array([at[x] for x in langs], np.int32), np.diff(offsets))
+                owner = np.repeat(np.array([at[x] for x in langs], np.int8 if len(names) < 128 else np.int32), np.diff(offsets))
                 for k, lang in enumerate(names):
-                    own = codes if len(names) == 1 else codes[owner == k]
-                    total = totals.setdefault(lang, np.zeros(A ** (order + 1), np.uint32))
-                    total += np.bincount(own, minlength=len(total)).astype(np.uint32)
+                    held.setdefault(lang, []).append(codes if len(names) == 1 else codes[owner == k])
+                    if sum(map(len, held[lang])) > HELD:
+                        add(lang)
+        for lang in list(held):
+            add(lang)
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["lang", "code", "n"])
@@ -183,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
         return kernel
 
-    return with_batches(docs, text_col, make, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return with_batches(docs, text_col, make, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]), BYTES)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):

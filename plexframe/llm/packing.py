@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plexframe.llm import tokens
-from plexframe.llm.batches import slices
+from plexframe.llm.batches import lean, slices
 from plexframe.session import Scratch
 
 CAPACITY = 4096
@@ -197,6 +197,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """
 
     def run(batches):
+        lean()
         words = tokens.words(vocabulary)
         end = END_ID.to_bytes(4, "little")
         for whole in batches:

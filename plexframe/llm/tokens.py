@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker keeps at most; the table is then begun anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 #: Characters of the fast way: letters, digits and signs whose classes and lower case are beyond doubt.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡-¬®-įı-ɏ‐-‧€]*")
 _L, _N = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
