@@ -13,14 +13,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 8 << 20
 
 
-def lean() -> None:
-    """Makes a worker give freed memory back: large arrays get pages of their own, Arrow allocates like the rest.
+#: What operators keep in a worker between tasks: owner -> how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(owner: str = "") -> None:
+    """Lets go of what other operators than ``owner`` keep in this worker, and makes it give freed memory back.
+
+    Large arrays get pages of their own, Arrow allocates like the rest.
 
     Without it the C library raises its own threshold with every large
     array freed, and a reused worker keeps the most that it ever held.
     """
     import ctypes
 
+    for name, forget in KEPT.items():
+        if name != owner:
+            forget()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
         libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
@@ -59,7 +68,7 @@ def clash_free(schema: T.StructType, added: Iterable[str]) -> list[T.StructField
     return [f for f in schema.fields if f.name.lower() not in taken]
 
 
-def with_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: T.StructType, most: int = SLICE_BYTES) -> DataFrame:
+def with_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: T.StructType, most: int = SLICE_BYTES, owner: str = "") -> DataFrame:
     """Appends the columns ``added``; columns of the same names in ``df`` are replaced.
 
     ``make`` runs once per task and returns the kernel: record batch -> {column: values}.
@@ -69,7 +78,7 @@ def with_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.R
     arrow, names = to_arrow_schema(schema), [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+        lean(owner)
         kernel = make()
         for whole in batches:
             for batch in slices(whole, text_col, most):

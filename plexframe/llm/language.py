@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plexframe.llm.batches import lean, slices, text_views, with_batches
+from plexframe.llm.batches import KEPT, lean, slices, text_views, with_batches
 
 #: Symbols: 0 white space and control, 1-26 letters, 27 digits, 28 other ASCII,
 #: 29-33 lead bytes by range, 34-49 continuation bytes by their low four bits.
@@ -116,6 +116,7 @@ class Model:
 
 
 _BUILT: dict = {}
+KEPT["language"] = _BUILT.clear
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_order: int = 3) -> Model:
@@ -201,7 +202,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
         return kernel
 
-    return with_batches(docs, text_col, make, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]), BYTES)
+    return with_batches(docs, text_col, make, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]), BYTES, "language")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):

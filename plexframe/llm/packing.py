@@ -197,7 +197,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """
 
     def run(batches):
-        lean()
+        lean("tokens")
         words = tokens.words(vocabulary)
         end = END_ID.to_bytes(4, "little")
         for whole in batches:

@@ -16,6 +16,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+from plexframe.llm.batches import KEPT
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker keeps at most; the table is then begun anew.
 KEPT_WORDS = 300_000
@@ -67,3 +69,6 @@ class Words(dict):
 def words(name: str = VOCABULARY) -> Words:
     """One table per worker, kept across its tasks."""
     return Words(public_tokenizers.path(name))
+
+
+KEPT["tokens"] = words.cache_clear
