@@ -260,7 +260,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         links = good if links is None else links.union(good)
         labels = scratch.write(connected_components(links, scratch), "labels")
 
-    near = lambda x, y: F.expr(f"100 * least({x}.n - {x}.pos, {y}.n - {y}.pos) * {100 + percent} >= 100 * {percent} * ({x}.n + {y}.n)") & F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
+    # In long: products of int sizes pass 2^31 from 119,305 shingles on.
+    near = lambda x, y: F.expr(f"100L * least({x}.n - {x}.pos, {y}.n - {y}.pos) * {100 + percent} >= 100L * {percent} * (CAST({x}.n AS long) + {y}.n)") & F.expr(f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n)")
     held = lists.withColumn("c", F.col("fp"))  # every shingle of ``lists`` has two classes at least
 
     def alive() -> DataFrame:

@@ -70,6 +70,13 @@ def test_jaccard_repeated_rows_and_null_ids(spark):
     assert sorted((r.text or "") for r in jaccard.representatives(df).collect()) == ["", "", "a b c d e f", "q r s t u v"]
 
 
+def test_jaccard_very_long_texts(spark):
+    words = [f"w{k}" for k in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:75_000], "other", *words[75_001:]])), (4, "short text of a few words")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (149_996, 1), 2: (149_996, 1), 4: (2, 4)}
+
+
 def test_jaccard_prefix_never_loses_a_link():
     rnd = np.random.default_rng(6)
     for _ in range(300):
