@@ -106,6 +106,18 @@ class _Parser:
         return self.escape() if c == "\\" else ord(c)
 
 
+def alphabet(pattern: str) -> frozenset:
+    """The bytes that a match of the pattern may hold."""
+
+    def of(node) -> frozenset:
+        kind, what = node[:2]
+        if kind == "rep":
+            return of(what)
+        return frozenset().union(*map(of, what)) if kind in ("seq", "or") else frozenset(what)
+
+    return of(_Parser(pattern).parse())
+
+
 class _Nfa:
     def __init__(self):
         self.empty: list[list[int]] = []

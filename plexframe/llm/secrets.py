@@ -2,8 +2,9 @@
 
 All rules run in a single pass over the bytes of the text: they are compiled
 together into minimal transition arrays (see automaton.py). Some bytes, such
-as line feeds, lead every state back to the start, so a batch of texts is
-cut there and its segments are scanned side by side. A segment in which a
+as line feeds, lead every state back to the start; where no rule's exact
+grammar has them either, a batch of texts is cut behind them and its segments
+are scanned side by side. A segment in which a
 rule's automaton accepts holds a match of that rule; only those segments are
 parsed for the exact boundaries.
 
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from plexframe.llm.automaton import Automaton, compile_rules
+from plexframe.llm.automaton import Automaton, alphabet, compile_rules
 from plexframe.llm.batches import text_views, with_batches
 
 BASE = ("assign", "access", "hex")
@@ -49,6 +50,8 @@ RULES: dict[str, tuple[str, str, int, int]] = {
 }
 KINDS = tuple(RULES)
 _EXACT = {k: re.compile(x) for k, (_, x, _, _) in RULES.items()}
+#: Bytes that no match of an exact grammar holds; only behind these may a text be cut.
+_OUTSIDE = np.array([b not in frozenset().union(*(alphabet(x) for _, x, _, _ in RULES.values())) for b in range(256)])
 
 
 @cache
@@ -67,7 +70,7 @@ def find_all(column: pa.Array, dfa: Automaton) -> list[list[tuple[str, int, int]
     """The spans of every text of a column, by start and then kind; none for null."""
     data, offsets = text_views(column)
     out: list[list[tuple[str, int, int]]] = [[] for _ in range(len(offsets) - 1)]
-    cut = dfa.reset & (np.arange(256) < 128)  # not inside a character
+    cut = dfa.reset & _OUTSIDE & (np.arange(256) < 128)  # not inside a match or a character
     cuts = np.unique(np.concatenate([offsets, np.flatnonzero(cut[data]) + 1]))
     starts, ends = cuts[:-1], cuts[1:]
     bits = dfa.scan(data, starts, ends)

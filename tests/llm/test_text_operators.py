@@ -85,6 +85,21 @@ def test_secrets_match_the_grammar(texts):
         assert [s for s in spans if s[0] in secrets.BASE] == brute_secrets(t)
 
 
+def test_extra_secrets_match_whole_texts(texts):
+    rnd = random.Random(12)
+    parts = ["://", "admin", ":", "p4ss!w0rd", "a$b*c", "%40", "+", "@", "@host", "\n", " ", ",", "é", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "a1B2" * 9, "xoxb-", "1234-abcdef", "eyJ", "abcdefghij_", ".eyJ", "."]
+    made = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(16))) for _ in range(20_000)]
+    made += ["db://admin:p4ss!w0rd@host", "x://u%2Fv:a$b*c%40!@h", "é://a:!!@b ://c:$@d", "eyJabcdefghij_.eyJabcdefg.x-y"]
+    extra = [k for k in secrets.KINDS if k not in secrets.BASE]
+    hit = set()
+    for t, spans in zip([*texts, *made], secrets.find_all(pa.array([*texts, *made]), secrets.automaton()), strict=True):
+        want = {(k, *m.span()) for k in extra for m in re.finditer(secrets.RULES[k][1], t or "")}
+        got = [s for s in spans if s[0] in extra]
+        assert set(got) == want and len(got) == len(want)
+        hit |= {k for k, _, _ in want}
+    assert hit == set(extra)
+
+
 def test_secrets_odd_rows(odd):
     rows = secrets.scan(odd).collect()
     assert len(rows) == len(ODD)
