@@ -139,7 +139,7 @@ def _epoch(capacity: int, epoch: int):
 def _slots(shard: pa.Table, best: pa.Table) -> pa.Table:
     """Gives a shard's items (one task holds SHARD_ITEMS or so) the bins of the solution, item by item of a size."""
     sizes = shard["length"].to_numpy()
-    order = np.argsort(-sizes, kind="stable")
+    order = np.lexsort((shard["pack_place"].to_numpy(), -sizes))
     bins = np.empty(len(sizes), np.int64)
     bins[order] = np.asarray(best["elites"][0].as_py()[0], np.int64)
     by_bin = np.argsort(bins, kind="stable")
@@ -149,24 +149,25 @@ def _slots(shard: pa.Table, best: pa.Table) -> pa.Table:
     offset = np.empty(len(sizes), np.int64)
     offset[by_bin] = ends - sizes[by_bin] - begin[np.cumsum(first) - 1]
     sequence = (shard["pack_shard"].to_numpy() << 32) + bins
-    return shard.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).drop_columns(["pack_shard"])
+    return shard.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).drop_columns(["pack_place", "pack_shard"])
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
     """Appends sequence_id and offset to rows with a ``length`` from 0 to ``capacity``.
 
-    ``pieces`` should be a table (its rows are numbered by their place).
+    The rows are numbered as they are written, once: how a table is read
+    again depends on the cores of the moment, and a row's shard must not.
     Rows of the full capacity are sequences by themselves. Equal lengths are
     interchangeable, repeated rows are packed once each, an empty table stays
-    empty. Columns sequence_id, offset and pack_shard of ``pieces`` are replaced.
+    empty. Columns sequence_id, offset, pack_place and pack_shard of ``pieces`` are replaced.
     """
     scratch = scratch or Scratch(pieces.sparkSession)
-    pieces = pieces.drop(*[c for c in pieces.columns if c.lower() in ("sequence_id", "offset", "pack_shard")])
-    n = pieces.where(F.col("length") < capacity).count()
+    pieces = pieces.drop(*[c for c in pieces.columns if c.lower() in ("sequence_id", "offset", "pack_place", "pack_shard")])
+    numbered = scratch.write(pieces.withColumn("pack_place", F.monotonically_increasing_id()), "pieces")
+    n = numbered.where(F.col("length") < capacity).count()
     shards = max(1, math.ceil(n / SHARD_ITEMS))
-    place = F.monotonically_increasing_id()
-    full = pieces.withColumns({"sequence_id": -1 - place, "offset": F.lit(0).cast("long")}).where(F.col("length") == capacity)
-    dealt = pieces.withColumn("pack_shard", F.pmod(F.xxhash64(place), F.lit(shards)).cast("long")).where(F.col("length") < capacity)
+    full = numbered.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("pack_place"), "offset": F.lit(0).cast("long")})
+    dealt = numbered.where(F.col("length") < capacity).withColumn("pack_shard", F.pmod(F.xxhash64("pack_place"), F.lit(shards)).cast("long"))
     histogram = dealt.groupBy("pack_shard", "length").agg(F.count("*").cast("int").alias("n")).groupBy("pack_shard")
     cells = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("length").cast("int").alias("size"), "n"))))  # a cell per length at most
     start = histogram.agg(cells.alias("cells")).select(F.col("pack_shard").alias("shard"), F.lit(0).alias("island"), F.col("cells.size").alias("sizes"), F.col("cells.n").alias("counts"), F.expr("array() :: array<array<int>>").alias("elites"))
@@ -217,5 +218,4 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Tokenizes, cuts and packs whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    scratch = Scratch(docs.sparkSession)
-    return pack(scratch.write(tokenize(docs, id_col, text_col, capacity), "pieces"), capacity, scratch)
+    return pack(tokenize(docs, id_col, text_col, capacity), capacity)

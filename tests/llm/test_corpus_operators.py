@@ -157,6 +157,25 @@ def test_packing_by_islands(spark, monkeypatch):
     assert packing.pack(Scratch(spark).write(table.limit(0)), 100).count() == 0
 
 
+def test_packing_whatever_partitions_are_read(spark, monkeypatch):
+    """The scan's partitions change between the solution and the placing, as when an executor is lost."""
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 100)
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 101, 600).tolist()
+    table = Scratch(spark).write(spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "id long, length long").repartition(12))
+    packed, keys = packing.pack(table, 100), {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = packed.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r.id, r.length) for r in rows) == list(enumerate(sizes))
+    check_packed(rows, 100)
+
+
 def test_packing_kernels():
     rng = np.random.default_rng(8)
     for _ in range(30):
