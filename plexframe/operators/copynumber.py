@@ -156,70 +156,135 @@ def gc_correct(rows: DataFrame, gc: str, count: str, ideal: Column, bins: int =
     return rows.withColumn("gc_bin", bin_).join(F.broadcast(trend), "gc_bin", "left").withColumn("corrected", F.when(F.col("scale") > 0, F.col(count) / F.col("scale")).otherwise(0.0)).drop("gc_bin", "scale")
 
 
-def max_arc(x: np.ndarray, least: int = 2) -> tuple[float, int, int]:
-    """The arc [i, j) whose mean differs most from the rest: (t, i, j)."""
-    n = len(x)
-    s = np.r_[0, np.cumsum(x - x.mean())]
-    sd = x.std(ddof=1)
-    best = (0.0, 0, 0)
-    if sd == 0:
-        return best
-    for width in range(least, n - least + 1):
-        d = np.abs(s[width:] - s[:-width])
-        i = int(d.argmax())
-        t = d[i] / (sd * math.sqrt(width * (n - width) / n))
-        if t > best[0]:
-            best = (float(t), i, i + width)
-    return best
-
-
-def tail(t: float, m: int, delta: float = 0.01, steps: int = 100) -> float:
-    """Siegmund's approximation of the chance of such a maximal t among m observations."""
-    u = np.linspace(0.5, 1 - delta, steps)
-    z = t / np.sqrt(m * u * (1 - u))
-    nu = _nu(z)
-    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
-    y = nu * nu / (u * (1 - u)) ** 2
-    return float(0.25 * t**3 * density * ((y[1:] + y[:-1]) / 2 * np.diff(u)).sum())
+#: Arcs of fewer observations are permuted even where the tail approximation holds; both sides need more than SHORTCUT to differ without a test.
+SMALL_ARC, SHORTCUT = 25, 10
+
 
+def arc_squares(rows: np.ndarray, least: int, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row, the arc [i, j) of j < n whose mean differs most from the rest: sum of squares between the two, i, j.
 
-def _nu(x: np.ndarray) -> np.ndarray:
-    """nu(x) by its usual rational approximation in the normal distribution."""
-    half = x / 2
-    cdf = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in half])
-    pdf = np.exp(-half * half / 2) / math.sqrt(2 * math.pi)
-    return (2 / x) * (cdf - 0.5) / (half * cdf + pdf)
+    Arcs and their rests have ``least`` observations at least, arcs fewer than ``most`` (0: no limit).
+    """
+    m, n = rows.shape
+    s = np.concatenate([np.zeros((m, 1)), np.cumsum(rows - rows.mean(1, keepdims=True), 1)], 1)
+    best, first, end = np.zeros(m), np.zeros(m, int), np.zeros(m, int)
+    for width in range(least, min(n - least, n - 1, most - 1 if most else n) + 1):
+        d = np.abs(s[:, width:n] - s[:, : n - width])
+        i = d.argmax(1)
+        score = d[np.arange(m), i] ** 2 * n / (width * (n - width))
+        better = score > best
+        best[better], first[better], end[better] = score[better], i[better], i[better] + width
+    return best, first, end
+
+
+def tail(t: float, m: int, k: int = SMALL_ARC, steps: int = 100) -> float:
+    """Siegmund's approximation of the chance of such a maximum among m observations, for arcs of k and more; nu's series has two terms, as in the reference."""
+    u = 0.5 + np.arange(steps) * (0.5 - k / m) / steps
+    x = t / np.sqrt(m * u * (1 - u))
+    cdf = lambda z: np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    nu = 2 / x**2 * np.exp(-2 * (cdf(-x / 2) + cdf(-x / math.sqrt(2)) / 2))
+    y = nu * nu / (u * (1 - u)) ** 2
+    return float(0.25 * t**3 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * ((y[1:] + y[:-1]) / 2 * np.diff(u)).sum())
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided p of Student's t: the incomplete beta function at df / (df + t t), by its continued fraction."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    if swap := x > (a + 1) / (a + b + 2):
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a if x > 0 else 0.0
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    h = d
+    for m in range(1, 300):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + step * d or tiny), 1 + step / c or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return 1 - front * h if swap else front * h
 
 
-def binary_segments(x: np.ndarray, p: float = 0.01, least: int = 10, permutations: int = 200, seed: int = 1, sure: float = 7.0) -> list[tuple[int, int]]:
+def arc_differs(x: np.ndarray, between: float, width: int, p: float, least: int, permutations: int, sure: float, rng: np.random.Generator) -> bool:
+    """The hybrid test of the best arc; ``between`` is its sum of squares, and F (which the reference names t) follows from it."""
+    n = len(x)
+    total = float(((x - x.mean()) ** 2).sum())
+    f = between / (((total if total >= between else between + 1) - between or 1e-300) / (n - 2))
+    if width > SHORTCUT and n - width > SHORTCUT and f > sure:
+        return True
+    if f < 0.1:
+        return False
+    most = 0
+    if n >= 4 * SMALL_ARC:
+        p, most = p - tail(f, n), SMALL_ARC
+        if p <= 0:
+            return False
+    allowed, more, done = int(p * permutations), 0, 0
+    while done < permutations:
+        some = min(permutations - done, max(1, 200_000 // n))
+        shuffled = rng.permuted(np.broadcast_to(x, (some, n)), axis=1)
+        more += int((arc_squares(shuffled, least, most)[0] > between * (1 + 1e-12)).sum())
+        done += some
+        if more > allowed:
+            return False
+    return more / permutations < p
+
+
+def pieces_differ(v: np.ndarray, w: np.ndarray, p: float, permutations: int, sure: float, rng: np.random.Generator) -> bool:
+    """The binary test of two neighbours: Student's t, or where one is small the t of samples drawn from both."""
+    low, high = sorted((len(v), len(w)))
+
+    def t_of(n, mean, var, m, mean2, var2):
+        return np.abs(mean - mean2) / (np.sqrt(((n - 1) * var + (m - 1) * var2) / (n + m - 2)) * math.sqrt(1 / n + 1 / m))
+
+    var = lambda y: y.var(ddof=1) if len(y) > 1 else 0.0
+    with np.errstate(all="ignore"):
+        t = float(t_of(len(v), v.mean(), var(v), len(w), w.mean(), var(w)))
+        if t > sure and low > SHORTCUT:
+            return True
+        if low > SMALL_ARC:
+            return student_p(t, low + high - 2) < p
+        both = np.r_[v, w]
+        drawn = both[rng.integers(0, len(both), (permutations, low))]
+        one, squares = drawn.sum(1), (drawn**2).sum(1)
+        mean, mean2 = one / low, (both.sum() - one) / high
+        found = t_of(low, mean, squares / low - mean**2, high, mean2, ((both**2).sum() - squares) / high - mean2**2)
+    return int((found > t).sum()) / permutations < p
+
+
+def binary_segments(x: np.ndarray, p: float = 0.01, least: int = 10, permutations: int = 10_000, seed: int = 1, sure: float = 7.0, arc: int = 2) -> list[tuple[int, int]]:
     """Circular binary segmentation: pieces [i, j) of one array.
 
-    An arc splits its piece if its t is beyond ``sure``, or if chance gives
-    such a t with probability below ``p``: by the tail approximation for
-    200 observations or more, else by permutation.
+    A piece of ``least`` observations is split at its best arc if the hybrid
+    test says so; an end of fewer than ``arc`` joins its neighbour, and so
+    do neighbours that the binary test can't tell apart.
     """
     rng = np.random.default_rng(seed)
     out, todo = [], [(0, len(x))]
     while todo:
         a, b = todo.pop()
         own = x[a:b]
-        if b - a < least:
+        parts = [(0, b - a)]
+        if b - a >= least:
+            between, i, j = (v[0].item() for v in arc_squares(own[None], arc))
+            if between > 1e-12 and j - i >= arc and arc_differs(own, between, j - i, p, arc, permutations, sure, rng):
+                parts = [(u, v) for u, v in ((0, i), (i, j), (j, b - a)) if v > u]
+        if len(parts) > 1 and parts[0][1] < arc:
+            parts[:2] = [(0, parts[1][1])]
+        elif len(parts) > 1 and b - a - parts[-1][0] < arc:
+            parts[-2:] = [(parts[-2][0], b - a)]
+        kept = parts[:1]
+        for u, v in parts[1:]:
+            if pieces_differ(own[kept[-1][0] : kept[-1][1]], own[u:v], p, permutations, sure, rng):
+                kept.append((u, v))
+            else:
+                kept[-1] = (kept[-1][0], v)
+        if len(kept) == 1:
             out.append((a, b))
-            continue
-        t, i, j = max_arc(own)
-        if t > sure:
-            split = True
-        elif t < 2:
-            split = False
-        elif b - a >= 200:
-            split = tail(t, b - a) < p
         else:
-            more = sum(max_arc(rng.permutation(own))[0] >= t for _ in range(permutations))
-            split = (more + 1) / (permutations + 1) <= p
-        if not split:
-            out.append((a, b))
-            continue
-        todo += [(a + u, a + v) for u, v in ((0, i), (i, j), (j, b - a)) if v > u]
+            todo += [(a + u, a + v) for u, v in kept]
     return sorted(out)
 
 
@@ -325,7 +390,9 @@ def segment(signal: DataFrame, keys: list[str], order: str, value: str, undo_fac
         return pd.DataFrame(head | {"first": [pos[a] for a, _ in pieces], "last": [pos[b - 1] for _, b in pieces], "n": [b - a for a, b in pieces], "mean": [x[a:b].mean() for a, b in pieces], "median": [np.median(x[a:b]) for a, b in pieces]})
 
     head = ", ".join(f"{k} {types[k]}" for k in keys)
-    return signal.select(*keys, order, value).groupBy(*keys).applyInPandas(run, f"{head}, first {types[order]}, last {types[order]}, n long, mean double, median double")
+    # Little data and much work: a stated number of partitions is not coalesced to a few.
+    spread = int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return signal.select(*keys, order, value).repartition(spread, *keys).groupBy(*keys).applyInPandas(run, f"{head}, first {types[order]}, last {types[order]}, n long, mean double, median double")
 
 
 def prune(segments: DataFrame, keys: list[str], order: str, features: list[str], height: float = 0.25) -> DataFrame:

@@ -162,8 +162,7 @@ def loess_gc(spark, d):
 
 @query()
 def cbs_segments(spark, d):
-    s = signal(spark, d).withColumn("chunk", F.floor(F.col("pos") / 500))
-    return rounded(CN.segment(s, ["chunk"], "pos", "value"), "mean", "median")
+    return rounded(CN.segment(signal(spark, d), ["contig"], "pos", "value"), "mean", "median")
 
 
 @query()

@@ -91,6 +91,33 @@ def test_segmentation_finds_a_step_and_leaves_noise():
     assert CN.undo(lambda p: float(np.median(x[p[0] : p[1]])), [(0, 70), (70, 150), (150, 250), (250, 400)], 1.0) == [(0, 150), (150, 250), (250, 400)]
 
 
+def test_segmentation_tests_against_plain_loops():
+    rng = np.random.default_rng(4)
+    for n, most in ((30, 0), (60, 0), (130, 25)):
+        x = rng.normal(0, 1, n)
+        total, best = x.sum(), (0.0, 0, 0)
+        for i in range(n - 1):
+            for j in range(i + 2, n if not most else min(n, i + most)):
+                if i + n - j >= 2:
+                    one = x[i:j].sum()
+                    best = max(best, ((one / (j - i) - (total - one) / (n - j + i)) ** 2 / (1 / (j - i) + 1 / (n - j + i)), i, j))
+        got = [v[0] for v in CN.arc_squares(x[None], 2, most)]
+        assert got[0] == pytest.approx(best[0]) and tuple(got[1:]) == best[1:]
+    assert [round(CN.student_p(t, df), 4) for t, df in ((2.0, 10), (0.5, 3), (2.576, 1000), (0.0, 5))] == [0.0734, 0.6514, 0.0101, 1.0]
+    a, b = rng.normal(0, 1, 80), rng.normal(0, 1, 12)
+    assert not CN.pieces_differ(a, a[::-1] + 0.1, 0.01, 10_000, 7.0, rng) and CN.pieces_differ(a, a + 1, 0.01, 10_000, 7.0, rng)
+    assert not CN.pieces_differ(a, b - b.mean() + a.mean(), 0.01, 10_000, 7.0, rng) and CN.pieces_differ(a, b + 4, 0.01, 10_000, 7.0, rng)
+
+
+def test_segmentation_takes_whole_contigs(spark):
+    from plexframe.plans.copy_queries import cbs_segments
+    from plexframe.plans.views import signal
+
+    got = cbs_segments(spark, "/root/testdata/sf0.001").groupBy("contig").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).collect()
+    want = signal(spark, "/root/testdata/sf0.001").groupBy("contig").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_small_kernels():
     assert CN.local_maxima(np.array([3, 1, 2, 2, 2, 1, 5.0])) == [0, 3]
     assert CN.local_maxima(np.array([0, 2, 1, 3, 4.0])) == [1]
