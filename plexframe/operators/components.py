@@ -71,14 +71,23 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         while True:  # pointer jumping; a pointer only leads to smaller nodes
             jump = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up"))
             done = scratch.write(jump, "jump")
-            moved = up.join(done.withColumnRenamed("up", "now"), "node").where("up != now").isEmpty()
+            still = up.join(done.withColumnRenamed("up", "now"), "node").where("up != now").isEmpty()
+            scratch.drop(up)
             up = done
-            if moved:
+            if still:
                 break
-        names = up if names is None else scratch.write(names.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up", "left").select("node", F.coalesce("next", "up").alias("up")), "names")
         to = lambda c: up.select(F.col("node").alias(c), F.col("up").alias("n" + c))
         renamed = links.join(to("a"), "a").join(to("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).where("a != b").distinct()
-        links = scratch.write(renamed.mapInArrow(_local, "a long, b long"), "edges")
+        last, links = links, scratch.write(renamed.mapInArrow(_local, "a long, b long"), "edges")
+        scratch.drop(last)
+        if names is None:
+            names = up
+            continue
+        last, names = names, scratch.write(names.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up", "left").select("node", F.coalesce("next", "up").alias("up")), "names")
+        scratch.drop(last, up)
+    scratch.drop(links)
     if names is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
-    return names.select("node", F.col("up").alias("component"))
+    out = names.select("node", F.col("up").alias("component"))
+    out._scratch_path = names._scratch_path
+    return out

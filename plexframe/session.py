@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,24 +29,85 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of scratch tables of this process that are still there, oldest first.
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(start: int = 0) -> None:
+    """Deletes the folders of scratch tables made since there were ``start`` of them; nothing may read them any more."""
+    for spark, root in _ROOTS[start:]:
+        if spark.sparkContext._jsc is not None:  # a stopped session took its gateway along
+            _delete(spark, root)
+    del _ROOTS[start:]
+
+
+@atexit.register
+def _at_exit() -> None:
+    with suppress(Exception):  # the gateway may be gone by then
+        release()
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Scratch tables made inside go at the end; whatever is kept of their data must be written elsewhere by then."""
+    start = len(_ROOTS)
+    try:
+        yield
+    finally:
+        release(start)
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors.
+
+    They stay for as long as a lazy result may read them: until ``drop``,
+    the end of ``temporary`` or the end of the process.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/plexframe-{uuid.uuid4().hex}"
         self.n = 0
+        _ROOTS.append((spark, self.root))
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
+        path = self._path(name)
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        return self._read(path, df.schema)
+
+    def split(self, df: DataFrame, by: str, kinds: dict[int, list[str]], name: str = "t") -> list[DataFrame]:
+        """One pass over ``df`` written as one table per value of the int column ``by``, each with its own columns."""
+        path, conf = self._path(name), "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(conf)
+        self.spark.conf.set(conf, str(len(kinds)))  # a file per kind is open at once, so rows needn't be sorted by kind
+        try:
+            df.write.partitionBy(by).parquet(path)
+        finally:
+            self.spark.conf.set(conf, before)
+        out = []
+        for kind, columns in kinds.items():
+            own = f"{path}/{by}={kind}"
+            jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+            jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jpath)  # a kind without rows has no folder yet
+            out.append(self._read(own, df.select(*columns).schema))
+        return out
+
+    def _path(self, name: str) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n:03d}-{name}"
+
+    def _read(self, path: str, schema) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that ``write`` returned and nothing reads any more."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables that ``write`` returned and nothing reads any more; others are left alone."""
+        for df in tables:
+            if df is not None and hasattr(df, "_scratch_path"):
+                _delete(self.spark, df._scratch_path)
