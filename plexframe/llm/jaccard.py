@@ -11,9 +11,12 @@ among the first n - ceil(t * n) + 1 of each (their prefixes), so:
 2. Rows of equal sets form a class. The remaining prefix shingles of the
    classes are posted; a shingle that several classes share makes them
    candidates, if sizes and positions leave room for enough overlap.
-3. Before a candidate pair is verified it must also share a prefix shingle
-   under each of two further orders. Verification is exact, on whole sets.
-4. Links are found in rounds: first every posted class against a hub of
+3. Two further orders filter the candidates by a join with the classes'
+   prefixes under each: a pair stays if, under both, the shared prefix
+   shingles and what lies behind the prefixes leave room for enough overlap
+   (so one must be shared). No text has moved until here.
+4. What passes all orders is verified exactly, on whole sets.
+5. Links are found in rounds: first every posted class against a hub of
    each of its shingles, then the pairs between different components, a growing band
    of pair hashes at a time. Pairs that earlier links have joined drop out,
    so a large group of near copies costs about its size, and each pair that
@@ -23,6 +26,7 @@ among the first n - ceil(t * n) + 1 of each (their prefixes), so:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,10 @@ SEEN = 500_000
 GROUP_PAIRS, HUB_PAIRS = 2_000, 500
 #: Rounds against hubs; pairs of the first band behind them, or 2 % of all that are left.
 STARS, BAND_PAIRS = 3, 10_000
+#: Postings of a shingle that one task pairs with as many others; a longer list is cut into blocks.
+LIST = 500
+#: Bytes of marked rows that are broadcast at most; more are joined by a shuffle.
+MARK_BYTES = 32 << 20
 FAN_IN = 1024
 #: Text bytes that are shingled at once: the hashes take some twenty times as much.
 SHINGLE_BYTES = 2 << 20
@@ -148,22 +156,47 @@ def prefix(own: np.ndarray, table: np.ndarray, bits: int, percent: int) -> tuple
     return own[order[at]], at
 
 
+def signature(own: np.ndarray, seed: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """A set's prefix under a further order, and how many common shingles may lie elsewhere.
+
+    The prefix is kept as distinct halves of the hashes; what falls together
+    counts as lying elsewhere, so that a bound by them loses no link.
+    """
+    take = prefix_size(len(own), percent)
+    ranked = mix(own, seed)
+    if take < len(ranked):
+        ranked = np.partition(ranked, take - 1)[:take]
+    kept = np.unique((ranked >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return kept, len(own) - len(kept)
+
+
+#: kind of a row -> its columns.
+_KINDS = {0: ["doc_id", "th", "n", "fp"], 1: ["token", "fp", "n", "pos"], 2: ["fp", "n", "text", "one", "rest_one", "two", "rest_two"]}
+
+
 def _post(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits: int, width: int, percent: int) -> DataFrame:
-    """kind 0: each row's id, text hash, set size and class; kind 1: postings; kind 2: texts of posted classes."""
+    """kind 0: each row's id, text hash, set size and class; kind 1: postings; kind 2: texts and signatures of posted classes."""
     handle = docs.sparkSession.sparkContext.broadcast((table, bits))
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["kind", "doc_id", "th", "n", "fp", "token", "pos", "text"]
+    ints = pa.list_(pa.int32())
+    schema = {"kind": pa.int32(), "doc_id": None, "th": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "token": pa.int64(), "pos": pa.int32(), "text": pa.string(), "one": ints, "rest_one": pa.int32(), "two": ints, "rest_two": pa.int32()}
 
     def run(batches):
         lean()
         table, bits = handle.value
         seen: set[int] = set()
+
+        def made(kind: int, rows: int, id_kind, **columns) -> pa.RecordBatch:
+            types = schema | {"doc_id": id_kind}
+            columns = {"kind": np.full(rows, kind)} | columns
+            arrays = [pa.nulls(rows, t) if (c := columns.get(name)) is None else c if isinstance(c, pa.Array) else pa.array(c, t) for name, t in types.items()]
+            return pa.RecordBatch.from_arrays(arrays, names=list(types))
+
         for whole in batches:
             for batch in slices(whole, "text", SHINGLE_BYTES):
                 sets = shingle_sets(batch.column("text"), width)
                 fps = [fingerprint(s) if len(s) else 0 for s in sets]
-                rows = len(sets)
-                texts, post = [], []
+                own_rows, post, signed = [], [], []
                 for k, (own, fp) in enumerate(zip(sets, fps, strict=True)):
                     if not len(own) or fp in seen:
                         continue
@@ -172,34 +205,42 @@ def _post(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits:
                     seen.add(fp)
                     tokens, at = prefix(own, table, bits, percent)
                     if len(tokens):
-                        texts.append(k)
+                        own_rows.append(k)
                         post.append((tokens.view(np.int64), at, np.full(len(at), k)))
+                        signed.append([signature(own, seed, percent) for seed in ORDERS])
                 size = np.array([len(s) for s in sets], np.int32)
                 fps = np.array(fps, np.int64)
-                kind_id = batch.schema.field("id").type
-                none = lambda n, t: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch.column("id"), batch.column("th"), pa.array(size), pa.array(fps), none(rows, pa.int64()), none(rows, pa.int32()), none(rows, pa.string())], names=names)
+                id_kind = batch.schema.field("id").type
+                yield made(0, len(sets), id_kind, doc_id=batch.column("id"), th=batch.column("th"), n=size, fp=fps)
                 if post:
                     tokens, at, k = (np.concatenate(x) for x in zip(*post, strict=True))
-                    m = len(tokens)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none(m, kind_id), none(m, pa.int64()), pa.array(size[k]), pa.array(fps[k]), pa.array(tokens), pa.array(at.astype(np.int32)), none(m, pa.string())], names=names)
-                    m, k = len(texts), np.array(texts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), none(m, kind_id), none(m, pa.int64()), pa.array(size[k]), pa.array(fps[k]), none(m, pa.int64()), none(m, pa.int32()), batch.column("text").take(pa.array(k)).cast(pa.string())], names=names)
+                    yield made(1, len(tokens), id_kind, n=size[k], fp=fps[k], token=tokens, pos=at)
+                    k = np.array(own_rows)
+                    lists = {}
+                    for j, name in enumerate(("one", "two")):
+                        kept, rest = zip(*(x[j] for x in signed), strict=True)
+                        lists[name] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in kept])], pa.int32()), pa.array(np.concatenate(kept)))
+                        lists["rest_" + name] = np.array(rest)
+                    yield made(2, len(k), id_kind, n=size[k], fp=fps[k], text=batch.column("text").take(pa.array(k)).cast(pa.string()), **lists)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"kind int, doc_id {id_type}, th long, n int, fp long, token long, pos int, text string")
+    return rows.mapInArrow(run, f"kind int, doc_id {id_type}, th long, n int, fp long, token long, pos int, text string, one array<int>, rest_one int, two array<int>, rest_two int")
+
+
+def sifted(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes under every further order leave room for enough overlap."""
+    fields = ("n", "one", "rest_one", "two", "rest_two")
+    of = lambda c: signed.select(F.col("fp").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in fields])
+    out = pairs.join(of("b"), "b").join(of("a"), "a")
+    for order in ("one", "two"):
+        out = out.where(F.expr(f"(size(array_intersect(a_{order}, b_{order})) + CAST(greatest(a_rest_{order}, b_rest_{order}) AS long)) * {100 + percent} >= {percent}L * (CAST(a_n AS long) + b_n)"))
+    return out.select("a", "b")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sets (sorted) share prefixes under the further orders and reach the threshold."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    for seed in ORDERS:
-        one, other = (np.sort(mix(x, seed))[: prefix_size(len(x), percent)] for x in (a, b))
-        if not _shared(one, other):
-            return False
+    """Whether two sets (sorted) reach the threshold."""
     both = _shared(a, b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -240,38 +281,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     table, bits = sketch(docs, text_col, width)
-    made = scratch.write(_post(docs, id_col, text_col, table, bits, width, percent), "posted")
-    rows = made.where("kind = 0").select("doc_id", "th", "n", "fp")
-    posts = made.where("kind = 1").select("token", "fp", "n", "pos")
-    shared = posts.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("token")
-    lists = scratch.write(posts.join(shared, "token").distinct(), "lists")
-    texts = scratch.write(made.where("kind = 2").select("fp", "text").join(lists.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
-
-    links: DataFrame | None = None
+    rows, posts, posted = scratch.split(_post(docs, id_col, text_col, table, bits, width, percent), "kind", _KINDS, "posted")
+    shared = posts.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("many")).where("low < high").select("token", blocks("many"))
+    held = scratch.write(posts.join(shared, "token").dropDuplicates(["token", "fp"]).withColumn("c", F.col("fp")), "lists")
+    scratch.drop(posts)
+    texts = scratch.write(posted.join(held.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
+    scratch.drop(posted)
+
+    links: list[DataFrame] = []
     labels = spark.createDataFrame([], "node long, component long")
 
     def check(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        pairs = scratch.write(pairs, "pairs")
-        if not (n := pairs.count()):
-            return
-        good = scratch.write(verify(pairs, texts, width, percent, n), "links")
+        nonlocal labels
+        pairs = scratch.write(sifted(pairs, texts, percent), "pairs")
+        if n := pairs.count():
+            links.append(scratch.write(verify(pairs, texts, width, percent, n), "links"))
+            last, labels = labels, scratch.write(connected_components(reduce(DataFrame.union, links), scratch), "labels")
+            scratch.drop(last)
         scratch.drop(pairs)
-        links = good if links is None else links.union(good)
-        labels = scratch.write(connected_components(links, scratch), "labels")
 
     # In long: products of int sizes pass 2^31 from 119,305 shingles on.
     near = lambda x, y: F.expr(f"100L * least({x}.n - {x}.pos, {y}.n - {y}.pos) * {100 + percent} >= 100L * {percent} * (CAST({x}.n AS long) + {y}.n)") & F.expr(f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n)")
-    held = lists.withColumn("c", F.col("fp"))  # every shingle of ``lists`` has two classes at least
 
     def alive() -> DataFrame:
         """Postings with their components, of the shingles that still join two; a shingle that no longer does stays out."""
         nonlocal held
-        named = held.drop("c").join(labels, held.fp == labels.node, "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
-        live = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-        last, held = held, scratch.write(named.join(live, "token", "left_semi"), "named")
-        if hasattr(last, "_scratch_path"):
-            scratch.drop(last)
+        named = held.drop("c", "blocks").join(labels, held.fp == labels.node, "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
+        live = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("many")).where("low < high").select("token", blocks("many"))
+        last, held = held, scratch.write(named.join(live, "token"), "named")
+        scratch.drop(last)
         return held
 
     for k in range(STARS):  # one hub for all shingles of a group first, then one of each shingle's own
@@ -284,8 +322,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     full = 1 << 62
     while low < full:
         named = alive()
+        # Every two blocks of a list meet in a task of their own: x comes once for each block of y, and the other way round.
+        block, every = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        x, y = named.withColumn("i", block).withColumn("j", every).alias("x"), named.withColumn("j", block).withColumn("i", every).alias("y")
         hash_ = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("x.fp"), F.col("y.fp")), 2)
-        cross = named.alias("x").join(named.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c")) & near("x", "y") & (hash_ >= low))
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+        cross = x.join(y, same & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c")) & near("x", "y") & (hash_ >= low))
         # How many there are decides how wide a band this round takes.
         n = cross.where(F.pmod(hash_, F.lit(1 << 4)) == 0).count() * 16
         budget = max(budget, 2 * n // 100)
@@ -293,9 +335,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         a = F.when(F.col("x.n") <= F.col("y.n"), F.struct(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))).otherwise(F.struct(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")))
         check(cross.where(hash_ < high).select(a.alias("p")).select("p.*").distinct())
         low, budget = high, budget * 2
+    scratch.drop(held, texts, *links)
     return rows, labels
 
 
+def blocks(many: str):
+    """Into how many blocks a list is cut, as column ``blocks``."""
+    return F.ceil(F.col(many) / LIST).alias("blocks")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -317,15 +365,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` of which one per component stays: the one of the smallest id, nulls last.
 
-    Rows without words all stay.
+    Rows without words (null text too) all stay. Of rows of the same id and
+    text one stays, whose other columns hash least (maps aside). An empty table
+    stays empty; columns of any names are returned as they are. The choice
+    is made on ids and hashes; texts are then filtered where they lie, by a
+    broadcast of the rows that go if these are few (MARK_BYTES).
     """
-    rows, labels = classes(docs, id_col, text_col, width, percent)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th"))
-    sets = rows.where("n > 0").groupBy("fp").agg(first.alias("first"))
-    named = sets.join(labels, sets.fp == labels.node, "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
-    keep = named.select(F.col("first.doc_id").alias("keep_id"), F.col("first.th").alias("keep_th"))
-    hashed = docs.withColumn("keep_hash", F.xxhash64(text_col))
-    wordless = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = hashed.where(~wordless).join(keep, (F.col("keep_hash") == F.col("keep_th")) & F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("keep_id", "keep_th")
-    kept = kept.dropDuplicates(["keep_hash", id_col]).select(*docs.columns)
-    return kept.unionByName(docs.where(wordless))
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    rows, labels = classes(docs, id_col, text_col, width, percent, scratch)
+    rows = rows.where("n > 0").groupBy("fp", "doc_id", "th").agg(F.count("*").alias("times"))
+    sets = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")).alias("first"))
+    named = sets.join(labels, sets.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    first = named.join(named.groupBy("c").agg(F.min("first").alias("least")), "c").select("fp", "least")
+    keeper = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    marked = rows.join(first, "fp").select(F.col("doc_id").alias("mark_id"), F.col("th").alias("mark_th"), keeper.alias("stays"), "times").where("NOT stays OR times > 1")
+    marked = scratch.write(marked, "marked")
+    size = marked.agg(F.sum(16 + F.coalesce(F.octet_length(F.col("mark_id").cast("string")), F.lit(0)))).first()[0] or 0
+    marks = F.broadcast(marked) if size <= MARK_BYTES else marked
+    own = docs.toDF(*[f"own_{k}" for k in range(len(docs.columns))])
+    at = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
+    th = F.xxhash64(at[text_col])
+    same = (th == F.col("mark_th")) & F.col(at[id_col]).eqNullSafe(F.col("mark_id"))
+    out = own.join(marks, same, "left_anti")
+    repeated = marked.where("stays")
+    if not repeated.isEmpty():
+        plain = [f.name for f in own.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        some = own.join(F.broadcast(repeated) if size <= MARK_BYTES else repeated, same).select(*own.columns, "mark_th", "mark_id")
+        one = some.groupBy("mark_id", "mark_th").agg(F.min_by(F.struct(*own.columns), F.xxhash64(*plain)).alias("r"))
+        out = out.unionByName(one.select("r.*"))
+    return out.toDF(*docs.columns)
