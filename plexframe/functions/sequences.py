@@ -83,11 +83,27 @@ def substitution_index(ref, alt) -> Column:
 
 
 def common_ref(ref_a, alt_a, ref_b, alt_b) -> Column:
-    """(ref, alt_a, alt_b) over the longer reference, if the shorter one is its prefix; else null."""
-    ra, rb = _col(ref_a), _col(ref_b)
-    more_b = F.substring(rb, F.length(ra) + 1, F.length(rb))
-    more_a = F.substring(ra, F.length(rb) + 1, F.length(ra))
-    return F.when(rb.startswith(ra), F.struct(rb.alias("ref"), F.concat(_col(alt_a), more_b).alias("alt_a"), _col(alt_b).alias("alt_b"))).when(ra.startswith(rb), F.struct(ra.alias("ref"), _col(alt_a).alias("alt_a"), F.concat(_col(alt_b), more_a).alias("alt_b")))
+    """(ref, alt_a, alt_b) of two variants of one position over one reference; null if they can't be written so.
+
+    A wildcard allele * takes the other's reference. Equal references are
+    kept (two SNVs and an SNV with an insertion must have them). An SNV with
+    a deletion, or two variants that begin with the same anchor base, are
+    trimmed and written over the longer reference.
+    """
+    ra, aa, rb, ab = (_col(c) for c in (ref_a, alt_a, ref_b, alt_b))
+    three = lambda r, x, y: F.struct(r.alias("ref"), x.alias("alt_a"), y.alias("alt_b"))
+    kind_a, kind_b = variant_type(ra, aa), variant_type(rb, ab)
+    plain = (kind_a == "snv") & kind_b.isin("snv", "insertion") | (kind_a == "insertion") & (kind_b == "snv")
+    first = lambda c: F.substring(c, 1, 1)
+    anchored = (first(ra) == first(aa)) & (first(rb) == first(ab)) & (first(ra) == first(rb))
+    mixed = (kind_a == "snv") & (kind_b == "deletion") | (kind_a == "deletion") & (kind_b == "snv") | anchored
+    ta, xa = trim_common_suffix(ra, aa)
+    tb, xb = trim_common_suffix(rb, ab)
+    rest = lambda long, short: F.substring(long, F.length(short) + 1, F.length(long))
+    longer = F.when(F.length(ta) > F.length(tb), three(ta, xa, F.concat(xb, rest(ta, tb)))).otherwise(three(tb, F.concat(xa, rest(tb, ta)), xb))
+    empty = (F.length(ra) == 0) | (F.length(aa) == 0) | (F.length(rb) == 0) | (F.length(ab) == 0)
+    out = F.when(empty, F.lit(None)).when(aa == "*", three(rb, F.lit("*"), ab)).when(ab == "*", three(ra, aa, F.lit("*")))
+    return out.when(plain, F.when(ra == rb, three(ra, aa, ab))).when(mixed, F.when(ra == rb, three(ra, aa, ab)).otherwise(longer))
 
 
 def variant_key(contig, pos, ref, alt, width: int = 0) -> Column:

@@ -44,17 +44,24 @@ def cluster_stats(reads: DataFrame, keys: list[str], full: Column, forward: Colu
     return out.withColumns({"kind": kind, "orientation": way})
 
 
-def nearest_unambiguous(rows: DataFrame, clusters: DataFrame, keys: list[str], row_id: list[str], wiggle: float) -> DataFrame:
-    """row_id, cluster, distance of rows (pos) to the nearest cluster (cluster, mean) of equal keys within ``wiggle``; ties stay unassigned.
-
-    Both sides meet in bins of ``wiggle``; a row's two best distances are
-    found by aggregation, not by sorting.
+def nearest_unambiguous(rows: DataFrame, clusters: DataFrame, keys: list[str], row_id: list[str], wiggle: int, five: str = "five_complete") -> DataFrame:
+    """row_id, cluster, distance of partial reads to the nearest cluster of equal keys within ``wiggle``; ties stay unassigned.
+
+    ``rows`` has start, stop and whether the 5' end is complete; that side's
+    position is compared with the clusters' mean of it. ``clusters`` has
+    cluster, mean_start, mean_stop, min_start, max_stop; a read that reaches
+    beyond a cluster's far end by more than ``wiggle`` doesn't belong to it.
+    Both sides meet in bins of ``wiggle``; the two best distances are found
+    by aggregation, not by sorting.
     """
     size = float(wiggle) + 1
-    a = rows.withColumn("bin", F.explode(F.array(*[F.floor(F.col("pos") / size) + k for k in (-1, 0, 1)])))
-    b = clusters.withColumn("bin", F.floor(F.col("mean") / size))
+    side = F.col(five).cast("int").alias("side")
+    a = rows.select("*", side, F.when(F.col(five), F.col("start")).otherwise(F.col("stop")).alias("pos")).withColumn("bin", F.explode(F.array(*[F.floor(F.col("pos") / size) + k for k in (-1, 0, 1)])))
+    means = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("mean_start").alias("mean")), F.struct(F.lit(0).alias("side"), F.col("mean_stop").alias("mean"))))
+    b = clusters.select(*keys, "cluster", "min_start", "max_stop", means.alias("m")).select(*keys, "cluster", "min_start", "max_stop", "m.*").withColumn("bin", F.floor(F.col("mean") / size))
     away = F.abs(F.col("pos") - F.col("mean"))
-    found = a.join(b, [*keys, "bin"]).where(away <= wiggle).withColumn("distance", away)
+    fits = F.when(F.col(five), F.col("stop") <= F.col("max_stop") + wiggle).otherwise(F.col("start") >= F.greatest(F.col("min_start") - wiggle, F.lit(0)))
+    found = a.join(b, [*keys, "side", "bin"]).where((away <= wiggle) & fits).withColumn("distance", away)
     least = found.groupBy(*row_id).agg(F.min(F.struct("distance", "cluster")).alias("best"), F.max(F.struct(-F.col("distance"), "cluster")).alias("last"))
     # The smallest and the largest cluster at the least distance agree only without a tie.
     return least.where(F.col("best.cluster") == F.col("last.cluster")).select(*row_id, F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance"))
@@ -65,10 +72,16 @@ def best_of(reads: DataFrame, keys: list[str], order: list[Column], columns: lis
     return reads.groupBy(*keys).agg(F.min(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], *columns)).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in columns])
 
 
-def downsample(reads: DataFrame, keys: list[str], most: int, *identity: str) -> DataFrame:
-    """``most`` rows of every group at most, in the order of a digest of their identity."""
-    w = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", *identity)), *identity)
-    return reads.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
+def downsample(reads: DataFrame, keys: list[str], most: int, full: Column, forward: Column, *identity: str) -> DataFrame:
+    """``most`` reads of every group at most: full ones by turns forward and reverse, then what is left of them, then partial ones likewise.
+
+    Reads of one kind and strand are taken in the order of a digest of their identity.
+    """
+    kinds = reads.withColumns({"is_part": (~full).cast("int"), "is_back": (~forward).cast("int")})
+    digest = F.md5(F.concat_ws(":", *identity))
+    turn = F.row_number().over(Window.partitionBy(*keys, "is_part", "is_back").orderBy(digest, *identity))
+    order = Window.partitionBy(*keys).orderBy("is_part", "turn", "is_back")
+    return kinds.withColumn("turn", turn).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k", "turn", "is_part", "is_back")
 
 
 def vote(bases: DataFrame, keys: list[str], base: str, order: list[str], gap: str, gap_share: float = 0.5) -> DataFrame:
@@ -87,9 +100,52 @@ def vote(bases: DataFrame, keys: list[str], base: str, order: list[str], gap: st
     return best.withColumn("t", taken).select(*keys, F.col("t.base").alias("winner"), F.col("t.n").alias("votes"), "depth", (F.col("t.base") == gap).alias("dropped"))
 
 
-def consensus_quality(votes: Column, depth: Column, rate: float = 0.01, most: float = 40.0) -> Column:
-    """-10 log10 of the binomial probability of the losing votes, rounded to tens, ``most`` at most."""
+def legacy_quality(votes: Column, depth: Column, rate: float = 0.01, most: int = 40) -> Column:
+    """-10 log10 of the binomial probability of the majority's count, truncated, ``most`` at most."""
     from plexframe.functions.numbers import log_binomial_pmf
 
-    q = -10 * log_binomial_pmf(depth - votes, depth, F.lit(rate)) / F.ln(F.lit(10.0))
-    return F.least(F.lit(most), F.round(q / 10) * 10)
+    q = -10 * log_binomial_pmf(votes, depth, F.lit(rate)) / F.ln(F.lit(10.0))
+    return F.least(F.lit(most), F.floor(q).cast("int"))
+
+
+#: Fixed values of the calibrated curves: the penalty added to the depth, the horizontal shift, the least and most quality.
+SIMPLEX_CURVE, DUPLEX_CURVE = (1.4, 0.03, 10.0, 40.0), (0.7, 0.06, 20.0, 50.0)
+#: Fixed values of both: slope and constant of the factor, vertical shift, the observed ratio's slope, constant and bound, the least ratio, the penalty of strand bias.
+SLOPE, CONSTANT, SHIFT, OBSERVED, LEAST_RATIO, BIAS = 3, 70.0, 45.0, (0.4, 0.3, 0.8), 0.5, 5.0
+#: Fixed qualities where there is no reliable vote: low confidence, simplex, singleton; the same of the legacy model.
+LOW, SIMPLEX_ONLY, SINGLETON = 5, 22, 22
+LEGACY_LOW, LEGACY_SIMPLEX, LEGACY_SINGLETON = 0, 18, 0
+
+
+def _curve(depth: Column, votes: Column, curve: tuple, bias: Column | None) -> Column:
+    penalty, shift, least, most = curve
+    ratio = votes / (depth + penalty)
+    a, b, c = OBSERVED
+    observed = F.greatest(F.lit(LEAST_RATIO), F.least(a * F.log10(depth) + b, F.lit(c)))
+    factor = SLOPE * depth + CONSTANT
+    at_least = factor * F.log10(observed + shift) + SHIFT
+    above = factor * F.log10(ratio + shift) + SHIFT
+    if bias is not None:
+        above = above - BIAS * bias
+    q = F.when(ratio < observed, at_least / (observed - LEAST_RATIO) * (ratio - LEAST_RATIO)).otherwise(above)
+    rounded = F.round(F.least(F.greatest(q, F.lit(least)), F.lit(most)) / 10) * 10
+    return F.when(ratio < LEAST_RATIO, F.lit(LOW)).otherwise(rounded.cast("int"))
+
+
+def simplex_quality(depth: Column, votes: Column) -> Column:
+    """The calibrated quality of a vote whose strands aren't told apart, in tens from 10 to 40."""
+    return _curve(depth.cast("double"), votes.cast("double"), SIMPLEX_CURVE, None)
+
+
+def duplex_quality(fwd: Column, fwd_votes: Column, rev: Column, rev_votes: Column) -> Column:
+    """The calibrated quality of a vote of both strands, in tens from 20 to 50; unbalanced strands cost up to BIAS."""
+    depth = (fwd + rev).cast("double")
+    bias = F.greatest(fwd, rev) * 2 / depth - 1
+    return _curve(depth, (fwd_votes + rev_votes).cast("double"), DUPLEX_CURVE, bias)
+
+
+def consensus_quality(fwd: Column, fwd_votes: Column, rev: Column, rev_votes: Column) -> Column:
+    """Duplex if both strands give the majority half of their votes and there are more than five, else simplex."""
+    share = lambda v, n: F.coalesce(v / F.nullif(n, F.lit(0)) >= 0.5, F.lit(False))
+    both = share(fwd_votes, fwd) & share(rev_votes, rev) & (fwd + rev > 5)
+    return F.when(both, duplex_quality(fwd, fwd_votes, rev, rev_votes)).otherwise(simplex_quality(fwd + rev, fwd_votes + rev_votes))

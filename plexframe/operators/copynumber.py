@@ -65,8 +65,8 @@ def clamp_outliers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def sex_of_ratio(ratio: Column, female: float = 25, unknown: float = 20) -> Column:
-    """From the X to Y coverage ratio."""
-    return F.when(ratio > female, "female").when(ratio > unknown, "unknown").otherwise("male")
+    """From the X to Y coverage ratio; unknown without one."""
+    return F.when(ratio.isNull() | F.isnan(ratio), "unknown").when(ratio > female, "female").when(ratio > unknown, "unknown").otherwise("male")
 
 
 def sex_of_depth(autosomes: Column, x: Column) -> Column:
@@ -75,12 +75,26 @@ def sex_of_depth(autosomes: Column, x: Column) -> Column:
     return F.when((r > 0.5) & (r < 2.5), F.when(F.round(r) == 1, "female").otherwise("male")).otherwise("unknown")
 
 
-def trimmed_mean_or_median(rows: DataFrame, keys: list[str], value: str, few: int = 10) -> DataFrame:
-    """keys, centre: with five rows or more those beyond 1.5 IQR go; then the median of fewer than ``few``, else the mean."""
+def without_outliers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows of each group but, where it has five or more, those beyond its quartiles by 1.5 times their distance."""
     q = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.count("*").alias("m"))
     r = 1.5 * (F.col("q3") - F.col("q1"))
-    kept = rows.join(q, keys).where((F.col("m") < 5) | F.col(value).between(F.col("q1") - r, F.col("q3") + r))
-    return kept.groupBy(*keys).agg(F.when(F.count("*") < few, F.percentile(value, F.lit(0.5))).otherwise(F.avg(value)).alias("centre"))
+    return rows.join(q, keys).where((F.col("m") < 5) | F.col(value).between(F.col("q1") - r, F.col("q3") + r)).drop("q1", "q3", "m")
+
+
+def xy_ratio(rows: DataFrame, keys: list[str], contig: str, value: str, x: str = "chrX", y: str = "chrY", few: int = 10) -> DataFrame:
+    """keys, x_mean, y_mean, ratio: coverage of X over that of Y plus 0.0001, outliers of each removed.
+
+    With fewer than ``few`` intervals left of Y both are medians, else means.
+    No interval of Y counts as 0; a group without either has no row.
+    """
+    kept = without_outliers(rows.where(F.col(contig).isin(x, y)), [*keys, contig], value)
+    of = lambda c, f: f(F.when(F.col(contig) == c, F.col(value)))
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    out = kept.groupBy(*keys).agg(F.sum((F.col(contig) == y).cast("int")).alias("n_y"), of(x, half).alias("x_half"), of(y, half).alias("y_half"), of(x, F.avg).alias("x_avg"), of(y, F.avg).alias("y_avg"))
+    pick = lambda c: F.when(F.col("n_y") < few, F.col(c + "_half")).otherwise(F.col(c + "_avg"))
+    out = out.select(*keys, pick("x").alias("x_mean"), F.coalesce(pick("y"), F.lit(0.0)).alias("y_mean"))
+    return out.withColumn("ratio", F.col("x_mean") / (F.col("y_mean") + 0.0001))
 
 
 def best_copies(segments: DataFrame, keys: list[str], log_ratio: str, sd: str, purity: float, ploidy: float, most: int = 20) -> DataFrame:
@@ -107,10 +121,10 @@ def purity_ploidy_grid(segments: DataFrame, log_ratio: str, sd: str, purities: l
     return cells.groupBy("purity", "ploidy").agg(F.sum(best).alias("loglik"))
 
 
-def flags(segments: DataFrame, mapq_least: float, length_least: int, purity: float, ploidy: float) -> DataFrame:
-    """Appends ``flags``: lowMmMapq, nonIntegerTcn (1 outside .7-1.3, 0 above .3) and cnvLength, or PASS."""
+def flags(segments: DataFrame, mapq_least: float, length_least: int, purity: float, ploidy: float, chr_y_female: Column | None = None) -> DataFrame:
+    """Appends ``flags``: lowMmMapq (not at copy number 0), nonIntegerTcn (1 outside .7-1.3, 0 above .3), cnvLength and chrYFemale, or PASS."""
     real = copies_of_log_ratio("mean_log_ratio", F.lit(purity), F.lit(ploidy))
-    names = F.concat_ws(";", F.when(F.col("mean_mapq") < mapq_least, "lowMmMapq"), F.when(((F.col("tcn") == 1) & ~real.between(0.7, 1.3)) | ((F.col("tcn") == 0) & (real > 0.3)), "nonIntegerTcn"), F.when(F.col("stop") - F.col("start") < length_least, "cnvLength"))
+    names = F.concat_ws(";", F.when((F.col("mean_mapq") < mapq_least) & F.coalesce(F.col("tcn") != 0, F.lit(True)), "lowMmMapq"), F.when(((F.col("tcn") == 1) & ~real.between(0.7, 1.3)) | ((F.col("tcn") == 0) & (real > 0.3)), "nonIntegerTcn"), F.when(F.col("stop") - F.col("start") < length_least, "cnvLength"), F.when(chr_y_female if chr_y_female is not None else F.lit(False), "chrYFemale"))
     return segments.withColumn("flags", F.when(names == "", "PASS").otherwise(names))
 
 
@@ -139,21 +153,90 @@ def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float) -> np.ndarr
     return out
 
 
-def gc_correct(rows: DataFrame, gc: str, count: str, ideal: Column, bins: int = 1000, span: float = 0.3) -> DataFrame:
-    """Appends ``corrected``: the count over the LOESS trend of ideal counts by GC, relative to their mean.
+#: The first and the second span, the grid's step, the quantiles of coverage and GC between which an interval is ideal.
+FIRST_SPAN, SECOND_SPAN, GC_STEP, IDEAL_COVERAGE, IDEAL_GC, IDEAL_SIZE = 0.03, 0.3, 0.001, 0.99, (0.001, 0.999), 0.1
+#: Cells of distinct (GC, coverage) sums that the fit takes at most; GC is rounded to fewer places beyond.
+FIT_CELLS = 200_000
+
+
+def valid_intervals(coverage: str = "coverage", gc: str = "gc") -> Column:
+    """Covered intervals of known GC."""
+    return F.coalesce((F.col(coverage) > 0) & (F.col(gc) >= 0), F.lit(False))
+
+
+def ideal_intervals(rows: DataFrame, autosome: Column, coverage: str = "coverage", gc: str = "gc", on_target: str = "on_target", mappability: str = "mappability") -> DataFrame:
+    """Appends ``valid`` and ``ideal``, on- and off-target rows by themselves.
+
+    Ideal: valid, autosomal, coverage up to the 99th percentile of the valid
+    ones, GC within their 0.1st and 99.9th, on target wholly mappable, off
+    target as long as the valid ones' tenth percentile at least.
+    """
+    size = F.col("stop") - F.col("start")
+    marked = rows.withColumn("valid", valid_intervals(coverage, gc))
+    lo, hi = IDEAL_GC
+    q = marked.where("valid").groupBy(on_target).agg(F.percentile(coverage, F.lit(IDEAL_COVERAGE)).alias("q_cov"), F.percentile(gc, F.lit(lo)).alias("q_lo"), F.percentile(gc, F.lit(hi)).alias("q_hi"), F.percentile(size, F.lit(IDEAL_SIZE)).alias("q_size"))
+    out = marked.join(F.broadcast(q), on_target, "left")  # a row for on and off target each
+    shape = F.when(F.col(on_target), F.col(mappability) >= 1).otherwise(size >= F.col("q_size"))
+    ideal = F.col("valid") & autosome & (F.col(coverage) <= F.col("q_cov")) & F.col(gc).between(F.col("q_lo"), F.col("q_hi")) & shape
+    return out.withColumn("ideal", F.coalesce(ideal, F.lit(False))).drop("q_cov", "q_lo", "q_hi", "q_size")
+
+
+def loess_weighted(x: np.ndarray, y: np.ndarray, times: np.ndarray, at: np.ndarray, span: float) -> np.ndarray:
+    """``loess`` over points that stand for ``times`` equal ones each."""
+    order = np.argsort(x, kind="stable")
+    x, y, times = x[order], y[order], times[order].astype(float)
+    n = int(span * times.sum())
+    if n < 1:
+        raise ValueError("the span holds no point")
+    out = np.empty(len(at))
+    for i, a in enumerate(at):
+        d = np.abs(x - a)
+        near = np.argsort(d, kind="stable")
+        upto = np.cumsum(times[near])
+        k = int(np.searchsorted(upto, n)) + 1
+        near, share = near[:k], times[near[:k]].copy()
+        share[-1] -= max(0.0, upto[min(k, len(upto)) - 1] - n)  # of the last point only as many as are needed
+        far = d[near].max()
+        if far == 0:
+            out[i] = np.average(y[near], weights=share)
+            continue
+        w = np.sqrt((1 - (d[near] / far) ** 3).clip(0) ** 3 * share)
+        b = np.column_stack([np.ones(k), x[near] - a, (x[near] - a) ** 2])
+        out[i] = np.linalg.lstsq(b * w[:, None], y[near] * w, rcond=None)[0][0]
+    return out
+
+
+def gc_correct(rows: DataFrame, gc: str, coverage: str, counts: list[str], valid: Column, ideal: Column) -> DataFrame:
+    """Divides ``counts`` by the trend of coverage by GC, relative to the ideal intervals' mean; invalid rows keep theirs.
 
-    The trend is fitted to the mean of each of ``bins`` GC bins, an
-    aggregate of fixed size, and joined back by bin. No trend or none above
-    zero: 0.
+    The trend is fitted twice: the ideal intervals' coverage on a grid of GC
+    (FIRST_SPAN), then the grid's values at each interval's own GC
+    (SECOND_SPAN). Ideal intervals of one GC are one cell of the first fit;
+    the second is made once per distinct GC. A trend that isn't above zero
+    makes the counts 0.
     """
-    bin_ = F.round(F.col(gc) * bins).cast("int")
-    table = rows.where(ideal).groupBy(bin_.alias("gc_bin")).agg(F.avg(count).alias("mean"), F.count("*").alias("n")).toPandas()
-    scale = pd.DataFrame({"gc_bin": np.arange(bins + 1), "scale": 0.0})
-    if len(table) > 3:
-        smooth = loess(table["gc_bin"].to_numpy() / bins, table["mean"].to_numpy(), np.arange(bins + 1) / bins, max(span, 3.5 / len(table)))
-        scale["scale"] = smooth / np.average(table["mean"], weights=table["n"])
-    trend = rows.sparkSession.createDataFrame(scale)
-    return rows.withColumn("gc_bin", bin_).join(F.broadcast(trend), "gc_bin", "left").withColumn("corrected", F.when(F.col("scale") > 0, F.col(count) / F.col("scale")).otherwise(0.0)).drop("gc_bin", "scale")
+    ok = rows.where(ideal)
+    places = next(p for p in (6, 5, 4, 3) if p == 3 or ok.select(F.round(gc, p).alias("g"), coverage).distinct().limit(FIT_CELLS + 1).count() <= FIT_CELLS)
+    cells = ok.groupBy(F.round(gc, places).alias("g"), coverage).agg(F.count("*").alias("n")).toPandas()  # FIT_CELLS, or 1001 GC values by coverage
+    if not len(cells):
+        return rows
+    grid = np.arange(0, 1 + GC_STEP / 2, GC_STEP)
+    first = loess_weighted(cells["g"].to_numpy(float), cells[coverage].to_numpy(float), cells["n"].to_numpy(), grid, FIRST_SPAN)
+    mean = float(np.average(cells[coverage], weights=cells["n"]))
+
+    @F.pandas_udf("double")
+    def scale(g: pd.Series) -> pd.Series:
+        own, back = np.unique(g.to_numpy(float), return_inverse=True)
+        known = ~np.isnan(own)
+        out = np.full(len(own), np.nan)
+        if known.any():
+            out[known] = loess(grid, first, own[known], SECOND_SPAN) / mean
+        return pd.Series(out[back])
+
+    gcs = rows.where(valid).select(F.col(gc).alias("of_gc")).distinct().withColumn("scale", scale(F.col("of_gc").cast("double")))
+    out = rows.join(gcs, F.col(gc) == F.col("of_gc"), "left")
+    new = {c: F.when(~valid, F.col(c)).when(F.col("scale") > 0, F.col(c) / F.col("scale")).otherwise(0.0) for c in counts}
+    return out.withColumns(new).drop("of_gc", "scale")
 
 
 #: Arcs of fewer observations are permuted even where the tail approximation holds; both sides need more than SHORTCUT to differ without a test.
@@ -333,14 +416,20 @@ def complete_linkage(points: np.ndarray, height: float) -> np.ndarray:
 
 
 def local_maxima(x: np.ndarray) -> list[int]:
-    """Peaks; a plateau counts by its middle; the first element if the second is lower; never the last."""
-    if len(x) < 2:
-        return []
-    change = np.flatnonzero(~np.isclose(x[1:], x[:-1], rtol=0, atol=1e-12))
-    out = [0] if x[0] > x[1] else []
-    for a, b in zip(change[:-1], change[1:], strict=True):
-        if x[a + 1] > x[a] and x[b + 1] < x[b] and b + 1 < len(x) - 1 + (b == a + 1) * 0:
-            out.append(int(a + 1) if b == a + 1 else int(a + (b + 1 - a) // 2))
+    """Peaks: where a rise (or the start) is followed by a fall, perhaps over a plateau.
+
+    Of a plateau counts the element in its middle, the later one of two. The
+    last element takes no part.
+    """
+    out, rising, top = [], True, 0
+    for k in range(1, max(2, len(x) - 1)):
+        step = x[k] - x[k - 1] if k < len(x) else 0.0
+        if step < -1e-12:
+            if rising:
+                out.append(top + (k - top) // 2)
+            rising, top = False, k
+        elif step > 1e-12:
+            rising, top = True, k
     return out
 
 
@@ -360,14 +449,25 @@ def mirrored_peak(ref: np.ndarray, alt: np.ndarray, points: int = 512) -> float:
 
 
 def merge_low_quality(segments: list[dict], least: float) -> list[dict]:
-    """A segment of mean mapping quality below ``least`` between two of equal tcn joins both; its own tcn 0 is exempt."""
+    """A segment of mean mapping quality below ``least`` and tcn other than 0 joins both neighbours, if these agree.
+
+    The neighbours (the one before as merged so far) must be of its contig
+    and its PAR status, have a mapping quality, and be of one tcn. What is
+    merged spans all three, counts their observations together and has the
+    means weighted by these; it keeps the first one's tcn.
+    """
     out: list[dict] = []
     k = 0
     while k < len(segments):
         s = segments[k]
         after = segments[k + 1] if k + 1 < len(segments) else None
-        if least > 0 and out and after and s["mean_mapq"] < least and s["tcn"] != 0 and out[-1]["tcn"] == after["tcn"] and out[-1]["contig"] == s["contig"] == after["contig"]:
-            out[-1] = out[-1] | {"stop": after["stop"]}
+        fits = lambda o: o is not None and o["contig"] == s["contig"] and o.get("in_par") == s.get("in_par") and o["mean_mapq"] is not None
+        low = s["mean_mapq"] is not None and least > 0 and s["mean_mapq"] < least and s["tcn"] != 0
+        if low and out and fits(out[-1]) and fits(after) and out[-1]["tcn"] == after["tcn"]:
+            three = [out[-1], s, after]
+            n = sum(x["n"] for x in three)
+            means = {c: sum(x[c] * x["n"] for x in three) / n for c in ("mean_mapq", "mean_log_ratio") if c in s}
+            out[-1] = out[-1] | {"stop": after["stop"], "n": n} | means
             k += 2
             continue
         out.append(dict(s))
@@ -412,3 +512,58 @@ def denoise(panel: np.ndarray, sample: np.ndarray, components: int = 20) -> np.n
     centred = panel - panel.mean(1, keepdims=True)
     u = np.linalg.svd(centred, full_matrices=False)[0][:, : min(components, centred.shape[1])]
     return sample - u @ (u.T @ sample)
+
+
+#: Samples of a panel at most: their products with each other are a square matrix on the driver.
+MAX_SAMPLES = 1000
+
+
+def denoise_panel(panel: DataFrame, keys: list[str], sample: str, value: str, components: int = 20) -> DataFrame:
+    """sample, keys, value of every sample less its projection on the others' top singular vectors.
+
+    Intervals never reach the driver: with samples few, the products of all
+    pairs of samples (a square of MAX_SAMPLES at most) are one aggregation,
+    and what is to be taken off a sample is a combination of the others,
+    whose weights follow from that square. The combination is one join by
+    sample and one sum by interval.
+    """
+    spark = panel.sparkSession
+    names = sorted(r[0] for r in panel.select(sample).distinct().limit(MAX_SAMPLES + 1).collect())
+    if len(names) > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} samples")
+    number = F.broadcast(spark.createDataFrame([(x, k) for k, x in enumerate(names)], f"{sample} {panel.schema[sample].dataType.simpleString()}, k int"))
+    rows = panel.join(number, sample).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", F.col(value).cast("double").alias("v")))).alias("row")).where(F.size("row") == len(names)).select(*keys, F.col("row.v").alias("row"))
+    m = len(names)
+
+    def products(batches):
+        import pyarrow as pa
+
+        total = np.zeros((m, m))
+        for b in batches:
+            x = b.column("row").flatten().to_numpy().reshape(-1, m)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["g"])
+
+    parts = rows.select("row").mapInArrow(products, "g array<double>")
+    # Sums of squares come in steps, so that no task gathers all of them.
+    flat = parts.select(F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g").alias("g")).orderBy("at").toArrow()
+    gram = flat["g"].to_numpy().reshape(m, m) if flat.num_rows else np.zeros((m, m))
+    weights = np.zeros((m, m))  # column k: how much of each sample is left in sample k
+    for k in range(m):
+        other = np.delete(np.arange(m), k)
+        centre = np.eye(m - 1) - 1 / (m - 1)  # the others, each interval centred on their mean
+        inner = centre @ gram[np.ix_(other, other)] @ centre
+        root, vectors = np.linalg.eigh(inner)
+        top = np.argsort(-root)[: min(components, m - 1)]
+        top = top[root[top] > max(root.max(initial=0.0), 0) * 1e-12]
+        basis = centre @ vectors[:, top] / np.sqrt(root[top])  # the singular vectors as combinations of the others
+        weights[other, k] = -basis @ (basis.T @ gram[other, k])
+        weights[k, k] = 1.0
+    table = F.array(*[F.array(*[F.lit(float(w)) for w in weights[:, k]]) for k in range(m)]) if m <= 16 else None
+    if table is not None:
+        each = rows.select(*keys, "row", F.posexplode(table).alias("k", "w"))
+    else:
+        wide = F.broadcast(spark.createDataFrame([(k, weights[:, k].tolist()) for k in range(m)], "k int, w array<double>"))
+        each = rows.crossJoin(wide)  # MAX_SAMPLES rows at most, as the output has
+    value_of = F.aggregate(F.zip_with("row", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return each.select(*keys, "k", value_of.alias(value)).join(number, "k").select(sample, *keys, value)

@@ -47,9 +47,21 @@ def assign(reads: DataFrame, table: DataFrame, column: str, key: list[str]) -> D
 
 
 def by_distance(reads: DataFrame, barcodes: DataFrame, column: str, key: list[str], most: int) -> DataFrame:
-    """As ``assign`` without a look-up table: every read against a small broadcast set, at most ``most`` edits."""
-    hits = reads.join(F.broadcast(barcodes), F.levenshtein(reads[column], barcodes.sequence, most) >= 0)
-    hits = hits.withColumn("distance", F.levenshtein(F.col(column), F.col("sequence")).cast("long"))
+    """As ``assign`` without a look-up table: at most ``most`` edits.
+
+    A barcode cut into most + 1 pieces keeps one of them whole, at most
+    ``most`` bases off its place; reads and barcodes meet in such a piece, so
+    the join is an equi-join of any two tables. Lengths compare first, edits last.
+    """
+    n = most + 1
+    piece = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cut = lambda c, i: F.floor(F.length(c) * i / n).cast("int")
+    b = barcodes.withColumn("piece", piece).withColumn("at", cut("sequence", F.col("piece"))).withColumn("part", F.expr("substring(sequence, at + 1, cast(floor(length(sequence) * (piece + 1) / %d) as int) - at)" % n))
+    places = b.select("piece", "at", F.length("part").alias("size")).distinct()  # one row per piece and barcode length
+    shift = F.explode(F.sequence(F.lit(-most), F.lit(most)))
+    r = reads.crossJoin(F.broadcast(places)).withColumn("shift", shift).where("at + shift >= 0").withColumn("part", F.expr(f"substring({column}, at + shift + 1, size)")).select(*reads.columns, "piece", "part").distinct()
+    hits = r.join(b, ["piece", "part"]).where(F.abs(F.length(column) - F.length("sequence")) <= most).select(*key, column, "barcode_id", "sequence").distinct()
+    hits = hits.withColumn("distance", F.levenshtein(F.col(column), F.col("sequence")).cast("long")).where(F.col("distance") <= most)
     out = hits.groupBy(*key).agg(F.min(F.struct("distance", "barcode_id")).alias("b"), F.max(F.struct(-F.col("distance"), "barcode_id")).alias("w"))
     return out.select(*key, F.col("b.barcode_id").alias("barcode_id"), F.col("b.distance").alias("distance"), (F.col("b.barcode_id") != F.col("w.barcode_id")).alias("ambiguous"))
 
@@ -63,13 +75,18 @@ def choose_end(id5: str, d5: str, id3: str, d3: str) -> tuple[Column, Column]:
     return barcode, status
 
 
+#: Barcodes of a panel at most: the collision matrix has a row for each two of them.
+MAX_PANEL = 4096
+
+
 def collision_matrix(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id5, id3, reads, percent of every pair of barcodes, zeros included; percent of the reads of the expected id5.
+    """id5, id3, reads, percent of every two barcodes of the panel, zeros included; percent of the reads of the expected id5.
 
-    ``ids`` is the panel of barcodes, a small table squared by equi-joins on
-    a constant-free key: each id meets each id once.
+    The matrix is the result; a panel of more than MAX_PANEL barcodes is an error.
     """
-    all_ = ids.select(F.col("barcode_id").alias("id5")).crossJoin(F.broadcast(ids.select(F.col("barcode_id").alias("id3"))))
+    if (n := ids.limit(MAX_PANEL + 1).count()) > MAX_PANEL:
+        raise ValueError(f"a panel of more than {MAX_PANEL} barcodes: {n}")
+    all_ = ids.select(F.col("barcode_id").alias("id5")).crossJoin(F.broadcast(ids.select(F.col("barcode_id").alias("id3"))))  # MAX_PANEL rows
     seen = pairs.where("id5 IS NOT NULL AND id3 IS NOT NULL").groupBy("id5", "id3").agg(F.count("*").alias("reads"))
     total = seen.groupBy("id5").agg(F.sum("reads").alias("total"))
     out = all_.join(seen, ["id5", "id3"], "left").join(total, "id5", "left").fillna(0, ["reads"])
@@ -93,7 +110,7 @@ def sample_metrics(reads: DataFrame) -> DataFrame:
 
 
 def bitap(text: str, pattern: str, most: int, forward: bool = True) -> tuple[int, int] | None:
-    """(end, errors) of the first approximate match with at most ``most`` edits; ``forward`` False searches from the right."""
+    """(end, errors) of the approximate match of fewest edits, ``most`` at most, and of these the first; ``forward`` False searches from the right."""
     if not forward:
         hit = bitap(text[::-1], pattern[::-1], most)
         return hit and (len(text) - hit[0], hit[1])
@@ -103,7 +120,7 @@ def bitap(text: str, pattern: str, most: int, forward: bool = True) -> tuple[int
     mask: dict[str, int] = {}
     for i, c in enumerate(pattern):
         mask[c] = mask.get(c, 0) | 1 << i
-    state = [(1 << d) - 1 for d in range(most + 1)]
+    state, found = [(1 << d) - 1 for d in range(most + 1)], {}
     for j, c in enumerate(text):
         below_old = 0
         for d in range(most + 1):
@@ -113,8 +130,10 @@ def bitap(text: str, pattern: str, most: int, forward: bool = True) -> tuple[int
                 new |= below_old | below_old << 1 | state[d - 1] << 1 | 1
             below_old, state[d] = old, new & (1 << m) - 1
             if state[d] >> m - 1 & 1:
-                return j + 1, d
-    return None
+                found.setdefault(d, j + 1)
+        if 0 in found:
+            break
+    return (found[d], d) if found and (d := min(found)) is not None else None
 
 
 def log_odds(match: int, substitution: int, insertion: int, deletion: int, scores=(2, -4, -3, -5)) -> int:
@@ -197,6 +216,34 @@ class StrandFilter:
             return "unknown"
         return "forward" if difference > 0 else "reverse"
 
+    @classmethod
+    def of(cls, index: DataFrame, bits: int = 1 << 20, hashes: int = 3) -> StrandFilter:
+        """The filter of an index (kmer, forward, reverse); at most ``bits`` places of either strand reach the driver."""
+        probe = cls(1, hashes)
+        probe.bits = bits
+
+        def places(frames):
+            for f in frames:
+                rows = [2 * x + back for k, fwd, rev in zip(f["kmer"], f["forward"], f["reverse"], strict=True) for back, on in ((0, fwd), (1, rev)) if on for x in probe._at(k)]
+                yield pd.DataFrame({"place": np.unique(np.array(rows, np.int64))})
+
+        got = index.select("kmer", "forward", "reverse").mapInPandas(places, "place long").distinct().toArrow()
+        out = cls(bits, hashes)
+        out.table[got["place"].to_numpy()] = True
+        return out
+
+
+def classify_strands(reads: DataFrame, index: DataFrame, key: str, seq: str, k: int, bits: int = 1 << 20) -> DataFrame:
+    """key, strand of every read by the k-mers that an index has on one strand only."""
+    handle = reads.sparkSession.sparkContext.broadcast(StrandFilter.of(index, bits))
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({key: f[key], "strand": [handle.value.strand(x.tolist()) for x in f["kmers"]]})
+
+    kind = reads.schema[key].dataType.simpleString()
+    return reads.select(key, kmers(F.col(seq), k).alias("kmers")).mapInPandas(run, f"{key} {kind}, strand string")
+
 
 def strand_votes(reads: DataFrame, index: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     """key, forward, reverse: k-mer hits of each read in an index (kmer, forward, reverse of booleans)."""

@@ -58,12 +58,17 @@ def contig_mean_sd(spark, d):
     return rounded(cov(spark, d).groupBy("contig").agg(F.avg("counts").alias("mean"), F.stddev_samp("counts").alias("sd"), F.count("*").alias("n")), "mean", "sd")
 
 
-@query(f"""WITH {COV}, q AS (SELECT contig, quantile_cont(counts, 0.25) AS q1, quantile_cont(counts, 0.75) AS q3, count(*) AS m FROM cov GROUP BY contig),
-    c AS (SELECT contig, CASE WHEN count(*) < 10 THEN median(counts) ELSE avg(counts) END AS centre FROM cov JOIN q USING (contig) WHERE m < 5 OR counts BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY contig)
-    SELECT contig, round(centre, 6) AS centre, CASE WHEN centre * 1.5 > 25 THEN 'female' WHEN centre * 1.5 > 20 THEN 'unknown' ELSE 'male' END AS sex FROM c""")
+@query("""WITH c AS (SELECT o_custkey % 25 AS sample, CASE WHEN o_orderkey % 5 < 3 THEN 'chrX' ELSE 'chrY' END AS contig, o_totalprice / CASE WHEN o_orderkey % 5 < 3 THEN 1 ELSE 10 + o_custkey % 25 END AS v FROM orders),
+    q AS (SELECT sample, contig, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, count(*) AS m FROM c GROUP BY ALL),
+    k AS (SELECT c.* FROM c JOIN q USING (sample, contig) WHERE m < 5 OR v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+    s AS (SELECT sample, count(*) FILTER (contig = 'chrY') AS n, median(v) FILTER (contig = 'chrX') AS mx, median(v) FILTER (contig = 'chrY') AS my, avg(v) FILTER (contig = 'chrX') AS ax, avg(v) FILTER (contig = 'chrY') AS ay FROM k GROUP BY sample),
+    r AS (SELECT sample, CASE WHEN n < 10 THEN mx ELSE ax END AS x_mean, coalesce(CASE WHEN n < 10 THEN my ELSE ay END, 0) AS y_mean FROM s), f AS (SELECT *, x_mean / (y_mean + 0.0001) AS ratio FROM r)
+    SELECT sample, round(x_mean, 4) AS x_mean, round(y_mean, 4) AS y_mean, round(ratio, 6) AS ratio, CASE WHEN ratio IS NULL THEN 'unknown' WHEN ratio > 25 THEN 'female' WHEN ratio > 20 THEN 'unknown' ELSE 'male' END AS sex FROM f""")
 def sex_ratio_rule(spark, d):
-    c = CN.trimmed_mean_or_median(cov(spark, d), ["contig"], "counts")
-    return rounded(c.withColumn("sex", CN.sex_of_ratio(F.col("centre") * 1.5)), "centre")
+    x = F.col("o_orderkey") % 5 < 3
+    c = table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("sample"), F.when(x, "chrX").otherwise("chrY").alias("contig"), (F.col("o_totalprice") / F.when(x, 1).otherwise(10 + F.col("o_custkey") % 25)).alias("v"))
+    r = CN.xy_ratio(c, ["sample"], "contig", "v")
+    return r.select("sample", F.round("x_mean", 4).alias("x_mean"), F.round("y_mean", 4).alias("y_mean"), F.round("ratio", 6).alias("ratio"), CN.sex_of_ratio(F.col("ratio")).alias("sex"))
 
 
 @query(f"WITH {COV}, m AS (SELECT contig, median(tumor) AS t, median(normal) AS n FROM cov GROUP BY contig) SELECT contig, round(t, 6) AS t, round(n, 6) AS n, CASE WHEN t / nullif(n, 0) > 0.5 AND t / nullif(n, 0) < 2.5 THEN CASE WHEN round(t / n) = 1 THEN 'female' ELSE 'male' END ELSE 'unknown' END AS sex FROM m")
@@ -110,10 +115,10 @@ STATUS = "CASE WHEN m = 0 AND t = 2 THEN 'cnLOH' WHEN m = 0 AND t > 2 THEN 'gain
 
 
 @query(f"""WITH {SEG}, s AS (SELECT *, n % 5 AS t, n % 3 AS m, greatest((power(2, mean_log_ratio) * (0.7 * 2.1 + 0.6) - 0.6) / 0.7, 0) AS r FROM seg)
-    SELECT contig, t AS tcn, {STATUS} AS status, coalesce(nullif(concat_ws(';', CASE WHEN mean_mapq < 28 THEN 'lowMmMapq' END, CASE WHEN (t = 1 AND NOT r BETWEEN 0.7 AND 1.3) OR (t = 0 AND r > 0.3) THEN 'nonIntegerTcn' END, CASE WHEN stop - start < 8000 THEN 'cnvLength' END), ''), 'PASS') AS flags FROM s""")
+    SELECT contig, t AS tcn, {STATUS} AS status, coalesce(nullif(concat_ws(';', CASE WHEN mean_mapq < 28 AND t <> 0 THEN 'lowMmMapq' END, CASE WHEN (t = 1 AND NOT r BETWEEN 0.7 AND 1.3) OR (t = 0 AND r > 0.3) THEN 'nonIntegerTcn' END, CASE WHEN stop - start < 8000 THEN 'cnvLength' END, CASE WHEN contig % 7 = 0 THEN 'chrYFemale' END), ''), 'PASS') AS flags FROM s""")
 def cnv_status_flags(spark, d):
     s = seg(spark, d).withColumns({"tcn": F.col("n") % 5, "mcn": F.col("n") % 3})
-    out = CN.flags(s, 28, 8000, 0.7, 2.1)
+    out = CN.flags(s, 28, 8000, 0.7, 2.1, F.col("contig") % 7 == 0)
     return out.select("contig", "tcn", N.cnv_status(F.col("tcn"), F.col("mcn")).alias("status"), "flags")
 
 
@@ -156,8 +161,21 @@ def purity_from_vafs(spark, d):
 
 @query()
 def loess_gc(spark, d):
-    r = cov(spark, d).withColumn("gc", (F.col("bin") + 10) / 60.0)
-    return rounded(CN.gc_correct(r, "gc", "counts", F.col("contig") % 10 != 0).select("contig", "bin", "corrected"), "corrected")
+    r = cov(spark, d).withColumns({"gc": (F.col("bin") + 10) / 60.0, "coverage": F.col("counts") / 10.0, "counts": F.col("counts").cast("double"), "start": F.col("bin") * 100, "stop": F.col("bin") * 100 + 100 + F.col("contig") % 9, "on_target": F.col("bin") % 2 == 0, "mappability": F.when(F.col("contig") % 11 == 0, 0.9).otherwise(1.0)})
+    out = None
+    for on in (True, False):
+        own = CN.ideal_intervals(r, F.col("contig") % 10 != 0).where(F.col("on_target") == on)
+        own = CN.gc_correct(own, "gc", "coverage", ["counts"], F.col("valid"), F.col("ideal"))
+        out = own if out is None else out.unionByName(own)
+    return rounded(out.select("contig", "bin", "valid", "ideal", F.col("counts").alias("corrected")), "corrected")
+
+
+@query(f"""WITH {COV}, r AS (SELECT contig, bin, counts / 10.0 AS coverage, (bin + 10) / 60.0 AS gc, bin % 2 = 0 AS on_target, 100 + contig % 9 AS size, CASE WHEN contig % 11 = 0 THEN 0.9 ELSE 1.0 END AS mappability FROM cov),
+    q AS (SELECT on_target, quantile_cont(coverage, 0.99) AS c, quantile_cont(gc, 0.001) AS lo, quantile_cont(gc, 0.999) AS hi, quantile_cont(size, 0.1) AS s FROM r WHERE coverage > 0 AND gc >= 0 GROUP BY 1)
+    SELECT contig, bin, coverage > 0 AND gc >= 0 AS valid, coverage > 0 AND gc >= 0 AND contig % 10 <> 0 AND coverage <= c AND gc BETWEEN lo AND hi AND CASE WHEN on_target THEN mappability >= 1 ELSE size >= s END AS ideal FROM r JOIN q USING (on_target)""")
+def ideal_intervals(spark, d):
+    r = cov(spark, d).withColumns({"gc": (F.col("bin") + 10) / 60.0, "coverage": F.col("counts") / 10.0, "start": F.col("bin") * 100, "stop": F.col("bin") * 100 + 100 + F.col("contig") % 9, "on_target": F.col("bin") % 2 == 0, "mappability": F.when(F.col("contig") % 11 == 0, 0.9).otherwise(1.0)})
+    return CN.ideal_intervals(r, F.col("contig") % 10 != 0).select("contig", "bin", "valid", "ideal")
 
 
 @query()
@@ -183,22 +201,21 @@ def kde_peak(spark, d):
 
 @query()
 def low_mapq_merge(spark, d):
-    s = table(spark, d, "events").select((F.col("user_id") % 50).alias("contig"), F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("stop"), (F.col("event_id") % 60).cast("double").alias("mean_mapq"), (F.col("value") > 30).cast("long").alias("tcn"))
+    s = table(spark, d, "events").select((F.col("user_id") % 50).alias("contig"), (F.col("event_id") % 9 == 0).alias("in_par"), F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("stop"), F.when(F.col("event_id") % 13 > 0, (F.col("event_id") % 60).cast("double")).alias("mean_mapq"), (F.col("value") / 100).alias("mean_log_ratio"), (F.col("value") > 30).cast("long").alias("tcn"), (1 + F.col("event_id") % 4).alias("n"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(CN.merge_low_quality(f.sort_values("start").to_dict("records"), 10.0), columns=f.columns)
+        rows = f.sort_values("start").astype(object).where(f.notna(), None).to_dict("records")
+        return pd.DataFrame(CN.merge_low_quality(rows, 10.0), columns=f.columns)
 
-    return s.groupBy("contig").applyInPandas(run, s.schema)
+    return rounded(s.groupBy("contig").applyInPandas(run, s.schema), "mean_mapq", "mean_log_ratio")
 
 
 @query()
 def svd_denoise(spark, d):
     """A panel is samples by bins; every sample is denoised against the others' components."""
     c = cov(spark, d).groupBy((F.col("contig") % 12).alias("sample"), "bin").agg(F.sum("counts").alias("counts"))
-    panel = c.toPandas().pivot(index="bin", columns="sample", values="counts").sort_index()  # 12 by 40
-    import numpy as np
-
-    x = np.log2(panel.to_numpy(float) / panel.to_numpy(float).sum(0))
-    x = x - np.median(x, 1, keepdims=True)
-    out = [(int(s), int(b), float(round(v, 6))) for k, s in enumerate(panel.columns) for b, v in zip(panel.index, CN.denoise(np.delete(x, k, 1), x[:, k], 3), strict=True)]
-    return spark.createDataFrame(out, "sample long, bin long, log_ratio double")
+    total = c.groupBy("sample").agg(F.sum("counts").alias("total"))
+    logs = c.join(total, "sample").withColumn("log_ratio", F.log2(F.col("counts") / F.col("total")))
+    middle = logs.groupBy("bin").agg(F.percentile("log_ratio", F.lit(0.5)).alias("m"))  # a panel's samples are few
+    panel = logs.join(middle, "bin").select("sample", "bin", (F.col("log_ratio") - F.col("m")).alias("log_ratio"))
+    return rounded(CN.denoise_panel(panel, ["bin"], "sample", "log_ratio", 3).select(F.col("sample").cast("long").alias("sample"), F.col("bin").cast("long").alias("bin"), "log_ratio"), "log_ratio")

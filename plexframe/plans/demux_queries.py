@@ -178,17 +178,41 @@ def event_sessions(spark, d):
     return g.groupBy("user_id", "k").agg(F.min("ts").alias("start"), F.count("*").alias("n")).drop("k")
 
 
-@query("WITH a AS (SELECT DISTINCT l_partkey AS pos FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45), b AS (SELECT DISTINCT l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) SELECT 'both' AS part, count(*) AS n FROM (SELECT pos FROM a INTERSECT SELECT pos FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT pos FROM a EXCEPT SELECT pos FROM b) UNION ALL SELECT 'second', count(*) FROM (SELECT pos FROM b EXCEPT SELECT pos FROM a)")
+@query("WITH a AS (SELECT DISTINCT l_partkey AS pos FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R') SELECT 'both' AS part, count(*) AS n FROM (SELECT pos FROM a INTERSECT SELECT pos FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT pos FROM a EXCEPT SELECT pos FROM b) UNION ALL SELECT 'second', count(*) FROM (SELECT pos FROM b EXCEPT SELECT pos FROM a)")
 def key_set_operations(spark, d):
-    t = table(spark, d, "lineitem").where("l_quantity > 45")
+    t = table(spark, d, "lineitem")
     a, b = (t.where(F.col("l_returnflag") == x).select(F.col("l_partkey").alias("pos")) for x in "AR")
     # One aggregation in place of three set operations.
     both = a.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(b.withColumn("a", F.lit(0)).withColumn("b", F.lit(1))).groupBy("pos").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    part = F.when(F.col("a") + F.col("b") == 2, "both").when(F.col("a") == 1, "first").otherwise("second")
-    return both.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = both.agg(F.coalesce(n(F.expr("a + b = 2")), F.lit(0)).alias("both"), F.coalesce(n(F.expr("a > b")), F.lit(0)).alias("first"), F.coalesce(n(F.expr("b > a")), F.lit(0)).alias("second"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("n")) for p in ("both", "first", "second")])).alias("x")).select("x.*")
 
 
-@query("SELECT contig, start, stop FROM (SELECT l_suppkey AS contig, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS pos FROM lineitem WHERE l_quantity = 50), LATERAL (SELECT greatest(pos - 5, 0)::BIGINT AS start, (pos + 2 + 3)::BIGINT AS stop)")
+@query("SELECT contig, start, stop FROM (SELECT l_suppkey AS contig, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS pos FROM lineitem), LATERAL (SELECT greatest(pos - 5, 0)::BIGINT AS start, (pos + 2 + 3)::BIGINT AS stop)")
 def records_to_intervals(spark, d):
-    r = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("contig"), F.expr("cast(datediff(to_date(l_shipdate), date'1992-01-01') as bigint)").alias("pos"), F.lit("AC").alias("ref"))
+    r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("contig"), F.expr("cast(datediff(to_date(l_shipdate), date'1992-01-01') as bigint)").alias("pos"), F.lit("AC").alias("ref"))
     return V.to_intervals(r, 5, 3).select("contig", F.col("start").cast("long").alias("start"), "stop")
+
+
+@query(f"""WITH {PARTS}, w AS (SELECT id, seq, e, min(levenshtein(substring(seq, b + 1, e - b), 'GTAC')) AS dist FROM parts, range(1, 17) AS t(e), range(0, 17) AS u(b) WHERE b <= e GROUP BY id, seq, e),
+    k AS (SELECT id, e, dist, row_number() OVER (PARTITION BY id ORDER BY dist, e) AS k FROM w WHERE dist <= 1) SELECT id, e::BIGINT AS stop, dist::BIGINT AS errors FROM k WHERE k = 1""")
+def approximate_search(spark, d):
+    def run(frames):
+        for f in frames:
+            hits = [D.bitap(s, "GTAC", 1) for s in f["seq"]]
+            yield f[["id"]].assign(stop=[h and h[0] for h in hits], errors=[h and h[1] for h in hits]).dropna().astype("int64")
+
+    return parts(spark, d).mapInPandas(run, "id long, stop long, errors long")
+
+
+@query(f"""WITH {PARTS}, f AS (SELECT id, seq, unnest(list_transform(range(1, 9), lambda i: substring(seq, i, 9))) AS kmer FROM parts), x AS (SELECT DISTINCT kmer FROM f UNION SELECT DISTINCT reverse(translate(kmer, 'ACGT', 'TGCA')) FROM f),
+    s AS (SELECT kmer, EXISTS (SELECT 1 FROM f WHERE f.kmer = x.kmer) AS fwd, EXISTS (SELECT 1 FROM f WHERE reverse(translate(f.kmer, 'ACGT', 'TGCA')) = x.kmer) AS rev FROM x),
+    r AS (SELECT id, unnest(list_transform(range(1, 9), lambda i: substring(CASE WHEN id % 2 = 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END, i, 9))) AS kmer, unnest(range(1, 9)) AS i FROM parts),
+    v AS (SELECT r.id, count(*) FILTER (fwd <> rev) AS n, coalesce(sum(CASE WHEN fwd AND NOT rev THEN 1 WHEN rev AND NOT fwd THEN -1 ELSE 0 END), 0) AS diff FROM r LEFT JOIN s USING (kmer) GROUP BY r.id)
+    SELECT id, CASE WHEN n < 3 OR abs(diff) <= 2 * sqrt(n) THEN 'unknown' WHEN diff > 0 THEN 'forward' ELSE 'reverse' END AS strand FROM v""")
+def strand_classification(spark, d):
+    """The SQL counts all k-mers; the filter may stop at a significant difference, which these reads' later k-mers don't turn."""
+    p = parts(spark, d)
+    reads = p.select("id", F.when(F.col("id") % 2 == 0, F.col("seq")).otherwise(S.reverse_complement("seq")).alias("seq"))
+    return D.classify_strands(reads, D.strand_index(p, "seq", 9), "id", "seq", 9, 1 << 22)

@@ -85,32 +85,32 @@ def overlap_semi_anti(spark, d):
     return I.overlap_flag(reads(spark, d).select("read_id", "contig", "start", "stop"), regions(spark, d)).drop("stop")
 
 
-@query(f"""WITH {READS}, {REGIONS}, j AS (SELECT r.read_id, g.start AS r_start, g.stop AS r_stop, least(r.stop, g.stop) - greatest(r.start, g.start) AS shared,
-    row_number() OVER (PARTITION BY r.read_id ORDER BY least(r.stop, g.stop) - greatest(r.start, g.start) DESC, g.start, g.stop) AS k
-    FROM reads r JOIN regions g ON r.contig = g.contig AND r.start < g.stop AND r.stop > g.start) SELECT read_id, r_start, r_stop, shared FROM j WHERE k = 1""")
+@query(f"""WITH {READS}, {REGIONS}, j AS (SELECT r.read_id, g.start AS r_start, g.stop AS r_stop, abs(r.start - g.start) AS distance,
+    row_number() OVER (PARTITION BY r.read_id ORDER BY abs(r.start - g.start), CASE WHEN r.start >= g.start AND r.start < g.stop THEN 0 ELSE 1 END, g.start, g.stop) AS k
+    FROM reads r JOIN regions g ON r.contig = g.contig AND r.start < g.stop AND r.stop > g.start) SELECT read_id, r_start, r_stop, distance FROM j WHERE k = 1""")
 def closest_region(spark, d):
     return I.closest(reads(spark, d), regions(spark, d), "read_id")
 
 
 def _merge_sql(joins: str) -> str:
-    return f"""WITH {READS}, s AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop, read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reads WHERE mapq > 7),
+    return f"""WITH {READS}, s AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop, read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reads),
     i AS (SELECT *, sum(CASE WHEN {joins} THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY start, stop, read_id) AS island FROM s)
     SELECT contig, min(start) AS start, max(stop) AS stop, count(*) AS n FROM i GROUP BY contig, island"""
 
 
 @query(_merge_sql("start < reach"))
 def interval_merge_strict(spark, d):
-    return I.merge(reads(spark, d).where("mapq > 7"), None)
+    return I.merge(reads(spark, d), None)
 
 
 @query(_merge_sql("start <= reach"))
 def interval_merge_touching(spark, d):
-    return I.merge(reads(spark, d).where("mapq > 7"), 0)
+    return I.merge(reads(spark, d), 0)
 
 
 @query(_merge_sql("start <= reach + 10"))
 def interval_merge_distance(spark, d):
-    return I.merge(reads(spark, d).where("mapq > 7"), 10)
+    return I.merge(reads(spark, d), 10)
 
 
 @query(f"""WITH {REGIONS}, {READS}, {CLIP}, free AS (SELECT contig, start AS gs, unnest(range(start, stop)) AS p FROM regions),
@@ -140,12 +140,12 @@ def window_split_equal(spark, d):
     return I.split_equal(regions(spark, d), 40)
 
 
-@query(f"""WITH {READS}, w AS (SELECT contig, greatest(start - 25, 0) AS start, least(stop + 25, {LENGTH}) AS stop, read_id FROM reads WHERE mapq = 10),
+@query(f"""WITH {READS}, w AS (SELECT contig, greatest(start - 25, 0) AS start, least(stop + 25, {LENGTH}) AS stop, read_id FROM reads),
     s AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop, read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
     i AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY start, stop, read_id) AS island FROM s)
     SELECT contig, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, count(*) AS n FROM i GROUP BY contig, island""")
 def interval_pad_merge(spark, d):
-    return I.pad_merge(reads(spark, d).where("mapq = 10"), 25, lengths(spark, d))
+    return I.pad_merge(reads(spark, d), 25, lengths(spark, d))
 
 
 @query(f"""WITH {REGIONS}, w AS (SELECT contig, start, stop, start // 270 AS state FROM (SELECT contig, p AS start, p + 30 AS stop FROM (SELECT contig, stop, unnest(range(start, stop, 30)) AS p FROM regions))),

@@ -120,6 +120,8 @@ def test_segmentation_takes_whole_contigs(spark):
 
 def test_small_kernels():
     assert CN.local_maxima(np.array([3, 1, 2, 2, 2, 1, 5.0])) == [0, 3]
+    assert CN.local_maxima(np.array([0, 1, 1, 0, 5.0])) == [2] and CN.local_maxima(np.array([2, 2, 1, 0, 0, 3.0])) == [1]
+    assert CN.local_maxima(np.array([2.0, 1.0])) == [0] and CN.local_maxima(np.array([1.0])) == []
     assert CN.local_maxima(np.array([0, 2, 1, 3, 4.0])) == [1]
     names = CN.complete_linkage(np.array([[0, 0], [0.1, 0], [1, 1], [1.1, 1.0]]), 0.25)
     assert names[0] == names[1] != names[2] == names[3]
@@ -127,9 +129,12 @@ def test_small_kernels():
     assert abs(peak - 0.3) < 0.02
     x = np.linspace(0, 1, 50)
     assert np.allclose(CN.loess(x, 1 + 2 * x + 3 * x * x, x[5:45], 0.3), (1 + 2 * x + 3 * x * x)[5:45])
-    s = [{"contig": 1, "start": 0, "stop": 10, "tcn": 2, "mean_mapq": 50}, {"contig": 1, "start": 10, "stop": 12, "tcn": 3, "mean_mapq": 5}, {"contig": 1, "start": 12, "stop": 30, "tcn": 2, "mean_mapq": 50}]
-    assert [x["stop"] for x in CN.merge_low_quality(s, 10)] == [30]
-    assert len(CN.merge_low_quality(s, 0)) == 3
+    seg = lambda start, stop, tcn, mapq, par=False, n=10: {"contig": 1, "in_par": par, "start": start, "stop": stop, "tcn": tcn, "mean_mapq": mapq, "mean_log_ratio": 0.1 * tcn, "n": n}
+    s = [seg(0, 10, 2, 50), seg(10, 12, 3, 5, n=5), seg(12, 30, 2, 50)]
+    merged, = CN.merge_low_quality(s, 10)
+    assert (merged["start"], merged["stop"], merged["tcn"], merged["n"]) == (0, 30, 2, 25) and merged["mean_mapq"] == (500 + 25 + 500) / 25 and abs(merged["mean_log_ratio"] - (2 + 1.5 + 2) / 25) < 1e-12
+    assert len(CN.merge_low_quality(s, 0)) == 3 and len(CN.merge_low_quality([s[0], seg(10, 12, 0, 5), s[2]], 10)) == 3
+    assert len(CN.merge_low_quality([seg(0, 10, 2, 50, True), *s[1:]], 10)) == 3 and len(CN.merge_low_quality([seg(0, 10, 2, None), *s[1:]], 10)) == 3
 
 
 def edit(a, b):
@@ -149,10 +154,12 @@ def test_demux_kernels():
     for _ in range(200):
         text, pattern = ("".join(rnd.choice("AC") for _ in range(n)) for n in (12, 4))
         hit = D.bitap(text, pattern, 1)
-        ends = [j for j in range(1, 13) if min(edit(text[i:j], pattern) for i in range(j + 1)) <= 1]
-        assert (hit[0] if hit else None) == (ends[0] if ends else None)
+        ends = [(min(edit(text[i:j], pattern) for i in range(j + 1)), j) for j in range(1, 13)]
+        least, end = min(ends)
+        assert hit == ((end, least) if least <= 1 else None)
         a, b = text, "".join(rnd.choice("AC") for _ in range(10))
         assert sum(c != "=" for c in D.align(a, b)) == edit(a, b)
+    assert D.bitap("ACGAxxACGT", "ACGT", 1) == (10, 0)
     assert D.duplex_consensus("ACGT", "AGGT") == ("ACGT", "cdcc")
     assert D.duplex_consensus("ACGT", "ACT") == ("ACGT", "ccdc")
     assert D.duplex_consensus("ACGT", "AGGT", True)[0] == "ANGT"
@@ -176,3 +183,102 @@ def test_runs_and_rules(spark):
     votes = spark.createDataFrame([(1, "A"), (1, "C"), (2, "-"), (2, "G"), (3, "N")], "col long, b string")
     got = {r.col: (r.winner, r.dropped) for r in clusters.vote(votes, ["col"], "b", ["A", "C", "G", "T", "-"], "-").collect()}
     assert got == {1: ("A", False), 2: ("G", False)}
+
+
+def test_rules_of_genotypes_and_alleles(spark):
+    from plexframe.functions.sequences import common_ref
+    from plexframe.operators import variants as V
+
+    pairs = [("ATTGG", "A", "ATT", "A", ("ATTGG", "A", "AGG")), ("ACTGG", "A", "A", "ATTTT", ("ACTGG", "A", "ATTTTCTGG")), ("ACTGG", "A", "A", "G", ("ACTGG", "A", "GCTGG")), ("A", "G", "A", "C", ("A", "G", "C")),
+             ("A", "G", "C", "T", None), ("AT", "A", "*", "*", ("AT", "A", "*")), ("AT", "*", "AG", "A", ("AG", "*", "A")), ("AC", "GT", "A", "C", None)]
+    df = spark.createDataFrame([p[:4] for p in pairs], "ra string, aa string, rb string, ab string")
+    got = [r.c and tuple(r.c) for r in df.select(common_ref("ra", "aa", "rb", "ab").alias("c")).collect()]
+    assert got == [p[4] for p in pairs]
+    calls = [(1, "A", "C", "1/2", False), (2, "A", "C", "1/2", True), (3, "A", "C", "1/1", True), (4, "A", "C", "0/0", False), (5, "A", "C", "1/2", False), (5, "G", "T", "1/2", False), (6, "AT", "A", "0/1", False), (6, "A", "G", "0/1", False),
+             (7, "A", "C", "0/1", False), (7, "A", "G", "0/1", False), (8, "A", "C", "1/1", False), (8, "A", "G", "0/0", False)]
+    df = spark.createDataFrame(calls, "pos int, ref string, alt string, gt string, wild boolean")
+    got = sorted((r.pos, r.ref, r.alt, r.resolved) for r in V.reconcile_diploid(df, ["pos"], "gt", wildcard="wild").collect())
+    want = {1: ["FAIL"], 2: ["1/2"], 3: ["1/2"], 4: ["FAIL"], 5: ["FAIL", "FAIL"], 6: ["1/2", "1/2"], 7: ["FAIL", "FAIL"], 8: ["1/1", "FAIL"]}
+    assert {p: [r for q, _, _, r in got if q == p] for p in want} == want
+
+
+def test_closest_region_and_downsampling(spark):
+    from plexframe.operators import intervals as I
+
+    left = spark.createDataFrame([(1, 1, 100, 120), (2, 1, 50, 70)], "id int, contig int, start long, stop long")
+    right = spark.createDataFrame([(1, 80, 130), (1, 110, 200), (1, 99, 101), (1, 40, 60), (1, 60, 90)], "contig int, start long, stop long")
+    got = {r.id: (r.r_start, r.distance) for r in I.closest(left, right, "id").collect()}
+    assert got == {1: (99, 1), 2: (40, 10)}
+    rows = spark.createDataFrame([(k, k % 4 != 3, k < 8) for k in range(12)], "k int, full boolean, forward boolean").withColumn("c", F.lit(1))
+    kept = clusters.downsample(rows, ["c"], 7, F.col("full"), F.col("forward"), "k").collect()
+    assert sum(r.full and r.forward for r in kept) == 4 and sum(r.full and not r.forward for r in kept) == 3 and len(kept) == 7
+    assert clusters.downsample(rows, ["c"], 50, F.col("full"), F.col("forward"), "k").count() == 12
+
+
+def test_qualities_of_votes(spark):
+    """Values worked out by hand from the curves."""
+    from plexframe.operators.clusters import consensus_quality, legacy_quality
+
+    cases = [(5, 5, 0, 0), (3, 3, 3, 3), (10, 10, 10, 10), (10, 6, 10, 5), (1, 0, 1, 1), (40, 40, 40, 40)]
+    df = spark.createDataFrame(cases, "f int, fv int, r int, rv int")
+    got = [r[0] for r in df.select(consensus_quality(F.col("f"), F.col("fv"), F.col("r"), F.col("rv"))).collect()]
+
+    def by_hand(f, fv, r, rv):
+        import math
+
+        n, v = f + r, fv + rv
+        duplex = f and r and fv / f >= 0.5 and rv / r >= 0.5 and n > 5
+        pen, shift, low, high = (0.7, 0.06, 20, 50) if duplex else (1.4, 0.03, 10, 40)
+        ratio, obs = v / (n + pen), max(0.5, min(0.4 * math.log10(n) + 0.3, 0.8))
+        if ratio < 0.5:
+            return 5
+        m = 3 * n + 70
+        q = (m * math.log10(obs + shift) + 45) / (obs - 0.5) * (ratio - 0.5) if ratio < obs else m * math.log10(ratio + shift) + 45 - (5 * (max(f, r) * 2 / n - 1) if duplex else 0)
+        return int(math.floor(min(max(q, low), high) / 10 + 0.5) * 10)
+
+    assert got == [by_hand(*c) for c in cases]
+    legacy = spark.createDataFrame([(1, 1), (3, 5), (5, 5), (0, 4)], "v int, n int").select(legacy_quality(F.col("v"), F.col("n"))).collect()
+    assert [r[0] for r in legacy] == [20, 40, 40, 0]
+
+
+def test_denoise_panel_matches_singular_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 9)) + np.outer(rng.normal(size=40), rng.normal(size=9)) * 4
+    df = spark.createDataFrame([(s, b, float(x[b, s])) for b in range(40) for s in range(9)], "sample int, bin int, v double").repartition(4)
+    got = np.empty_like(x)
+    for r in CN.denoise_panel(df, ["bin"], "sample", "v", 3).collect():
+        got[r.bin, r.sample] = r.v
+    want = np.column_stack([CN.denoise(np.delete(x, k, 1), x[:, k], 3) for k in range(9)])
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_intervals_across_tiles_and_levels(spark, monkeypatch):
+    from plexframe.operators import intervals as I
+
+    monkeypatch.setattr(I, "TILE", 50)
+    rnd = random.Random(3)
+    rows = [(c, s, s + rnd.choice((1, 3, 20, 400))) for c in (1, 2) for s in (rnd.randrange(2000) for _ in range(60))]
+    big = [(1, 100, 90_000), (2, 5, 30_000)]
+    df = spark.createDataFrame(rows, "contig int, start long, stop long")
+    long = spark.createDataFrame(big, "contig int, start long, stop long")
+    pairs = sorted((r.contig, r.start, r.stop, r.r_start, r.r_stop) for r in I.range_join(df, long.unionByName(df)).collect())
+    assert pairs == sorted((*a, *b[1:]) for a in rows for b in big + rows if a[0] == b[0] and a[1] < b[2] and a[2] > b[1])
+    covered = {c: sorted({p for d, s, e in rows if d == c for p in range(s, e)}) for c in (1, 2)}
+
+    def islands(points):
+        out = []
+        for p in points:
+            if out and p == out[-1][1]:
+                out[-1][1] = p + 1
+            else:
+                out.append([p, p + 1])
+        return [tuple(x) for x in out]
+
+    for c in (1, 2):
+        assert sorted((r.start, r.stop) for r in I.merge(df, 0).collect() if r.contig == c) == islands(covered[c])
+        gaps = sorted((r.start, r.stop) for r in I.complement(df, spark.createDataFrame([(1, 3000), (2, 3000)], "contig int, length long")).collect() if r.contig == c)
+        assert gaps == islands(sorted(set(range(3000)) - set(covered[c])))
+        left = spark.createDataFrame([(7, c, 10, 2500)], "key int, contig int, start long, stop long")
+        assert sorted((r.start, r.stop) for r in I.subtract(left, df, "key").collect()) == islands(sorted(set(range(10, 2500)) - set(covered[c])))
+    w = I.split_windows(spark.createDataFrame([(1, 0, 500)], "contig int, start long, stop long"), 30).withColumn("state", F.floor(F.col("start") / 120))
+    assert [(r.start, r.stop) for r in sorted(I.merge_adjacent(w, same=("state",)).collect())] == [(0, 120), (120, 240), (240, 360), (360, 480), (480, 500)]
