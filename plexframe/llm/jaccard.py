@@ -67,6 +67,16 @@ def _level(total: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(total <= 4, total, big), 15).astype(np.uint8)
 
 
+def _small(total: np.ndarray) -> np.ndarray:
+    """A sum in one byte: exact to 127, then eight steps to a doubling."""
+    return np.where(total < 128, total, np.minimum(128 + 8 * np.log2(np.maximum(total, 128) / 128), 255)).astype(np.uint8)
+
+
+def _large(small: np.ndarray) -> np.ndarray:
+    wide = small.astype(np.int64)
+    return np.where(wide < 128, wide, (128 * 2 ** ((wide - 128) / 8)).astype(np.int64))
+
+
 def sketch(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, int]:
     """Counter levels, two to a byte, and the bits of a bucket number.
 
@@ -118,10 +128,10 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, int]
         for name, times in (("one", 1), ("two", 2), ("three", 3)):
             for v in table[name].to_pylist():
                 total[np.frombuffer(v, np.uint16)] += times
-        return pa.table({"block": table["block"][:1], "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+        return pa.table({"block": table["block"][:1], "counts": pa.array([_small(total).tobytes()], pa.binary())})
 
     def total(table: pa.Table) -> pa.Table:
-        level = _level(sum(np.frombuffer(v, np.uint16).astype(np.int64) for v in table["counts"].to_pylist()))
+        level = _level(sum(_large(np.frombuffer(v, np.uint8)) for v in table["counts"].to_pylist()))
         return pa.table({"block": table["block"][:1], "levels": pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())})
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "block int, part int, one binary, two binary, three binary")
@@ -233,7 +243,7 @@ def sifted(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     of = lambda c: signed.select(F.col("fp").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in fields])
     out = pairs.join(of("b"), "b").join(of("a"), "a")
     for order in ("one", "two"):
-        out = out.where(F.expr(f"(size(array_intersect(a_{order}, b_{order})) + CAST(greatest(a_rest_{order}, b_rest_{order}) AS long)) * {100 + percent} >= {percent}L * (CAST(a_n AS long) + b_n)"))
+        out = out.withColumn("shared", F.size(F.array_intersect(f"a_{order}", f"b_{order}"))).where(F.expr(f"shared > 0 AND (shared + CAST(greatest(a_rest_{order}, b_rest_{order}) AS long)) * {100 + percent} >= {percent}L * (CAST(a_n AS long) + b_n)"))
     return out.select("a", "b")
 
 
@@ -282,8 +292,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     scratch = scratch or Scratch(spark)
     table, bits = sketch(docs, text_col, width)
     rows, posts, posted = scratch.split(_post(docs, id_col, text_col, table, bits, width, percent), "kind", _KINDS, "posted")
-    shared = posts.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("many")).where("low < high").select("token", blocks("many"))
-    held = scratch.write(posts.join(shared, "token").dropDuplicates(["token", "fp"]).withColumn("c", F.col("fp")), "lists")
+    held = scratch.write(_shared_lists(posts.withColumn("c", F.col("fp"))).dropDuplicates(["token", "fp"]), "lists")
     scratch.drop(posts)
     texts = scratch.write(posted.join(held.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
     scratch.drop(posted)
@@ -307,8 +316,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         """Postings with their components, of the shingles that still join two; a shingle that no longer does stays out."""
         nonlocal held
         named = held.drop("c", "blocks").join(labels, held.fp == labels.node, "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
-        live = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("many")).where("low < high").select("token", blocks("many"))
-        last, held = held, scratch.write(named.join(live, "token"), "named")
+        last, held = held, scratch.write(_shared_lists(named), "named")
         scratch.drop(last)
         return held
 
@@ -339,9 +347,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return rows, labels
 
 
-def blocks(many: str):
-    """Into how many blocks a list is cut, as column ``blocks``."""
-    return F.ceil(F.col(many) / LIST).alias("blocks")
+def _shared_lists(posts: DataFrame) -> DataFrame:
+    """The postings of shingles that join two components, with the number of ``blocks`` that their list is cut into.
+
+    Postings are dealt by shingle once, for the summary and for the join with it.
+    """
+    dealt = posts.repartition("token")
+    live = dealt.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("many")).where("low < high").select("token", F.ceil(F.col("many") / LIST).alias("blocks"))
+    return dealt.join(live.hint("shuffle_merge"), "token")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
