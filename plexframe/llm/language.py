@@ -1,12 +1,17 @@
 """Language identification by prediction with partial matching.
 
-One context tree per language holds the counts of every byte symbol after
-every context of up to ``max_order`` symbols. A symbol that its context has
-seen costs -log2(c / (n + q)) bits; one it hasn't costs the escape
--log2(q / (n + q)) and then what the next shorter context charges (n: symbols
-seen there, q: distinct ones). Counts are frozen after training, so the cost
-of each (context, symbol) is a constant and the exact code length of a text
-is a sum of table look-ups.
+One context tree per language holds the counts of every byte after every
+context of up to ``order`` bytes. A byte that its context has seen costs
+-log2(c / (n + q)) bits; one it hasn't costs the escape -log2(q / (n + q))
+and then what the next shorter context charges (n: bytes seen there, q:
+distinct ones; below the empty context all 256 bytes are alike). Counts are
+frozen after training, so the cost of a byte in its context is a constant
+and the exact code length of a text is a sum of these.
+
+Trees are sparse: a level is the sorted codes of the contexts and bytes that
+training has seen, so a model's size follows from what it has seen and its
+order doesn't depend on how many languages there are. The distinct codes of
+a batch of texts are looked up once per language.
 """
 
 from __future__ import annotations
@@ -21,29 +26,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from plexframe.llm.batches import KEPT, lean, slices, text_views, with_batches
 
-#: Symbols: 0 white space and control, 1-26 letters, 27 digits, 28 other ASCII,
-#: 29-33 lead bytes by range, 34-49 continuation bytes by their low four bits.
-A = 50
+#: Bytes of context.
+ORDER = 3
 UNDECIDED = "und"
-#: Bytes that all cost tables of a model may take together in a worker.
-TABLE_BYTES = 128 << 20
-#: Bytes of text that are coded at once, and codes held back for one count.
-BYTES, HELD = 2 << 20, 4_000_000
-
-
-def _symbols() -> np.ndarray:
-    out = np.zeros(256, np.uint8)
-    for b in range(0x21, 0x7F):
-        c = chr(b).lower()
-        out[b] = 1 + ord(c) - 97 if c.isalpha() else 27 if c.isdigit() else 28
-    for b in range(0x80, 0xC0):
-        out[b] = 34 + (b & 15)
-    for at, (low, high) in enumerate(((0xC0, 0xC4), (0xC4, 0xD0), (0xD0, 0xE0), (0xE0, 0xF0), (0xF0, 0x100))):
-        out[low:high] = 29 + at
-    return out
-
-
-SYMBOLS = _symbols()
+#: Bytes of text that are coded at once; distinct codes that a counting task holds before it passes them on.
+BYTES, HELD = 4 << 20, 2_000_000
+#: Slots of the table that numbers a batch's codes.
+_SLOT_BITS = 21
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -55,45 +44,93 @@ def has_letter(text: str | None) -> bool:
 def gram_codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Per byte of each row the code of (its ``order`` predecessors, itself), and the rows' offsets.
 
-    Each text starts in the context of white space.
+    Each text starts in the context of blanks. A code is the bytes as one
+    unsigned number, the latest lowest; ``order`` is 3 at most.
     """
     data, offsets = text_views(column)
     n = len(offsets) - 1
     lens = np.diff(offsets)
-    padded = np.zeros(len(data) + order * n, np.int32)
+    padded = np.full(len(data) + order * n, 0x20, np.uint8)
     at = np.arange(len(data)) + np.repeat(order * np.arange(1, n + 1), lens)
-    padded[at] = SYMBOLS[data]
-    codes = np.zeros(len(padded), np.int32)
-    for back in range(order, 0, -1):
-        codes[order:] += padded[order - back : len(padded) - back]
-        codes *= A
-    codes += padded
+    padded[at] = data
+    codes = np.zeros(len(padded), np.uint32)
+    for back in range(order, -1, -1):
+        codes <<= np.uint32(8)
+        codes[back:] |= padded[: len(padded) - back]
     return codes[at], offsets
 
 
-def cost_table(codes: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-    """Bits for each code of ``order`` predecessors and a symbol, under the counts of the codes."""
-    prob = np.full((1, A), 1 / A)
-    for k in range(order):
-        size = A ** (k + 1)
-        prob = _coded(np.bincount(codes % size, weights=counts, minlength=size).reshape(-1, A), np.tile(prob, (A if k else 1, 1)))
-    # The longest contexts fill a table of their own, one oldest symbol at a time.
-    out = np.empty(A ** (order + 1), np.float32)
-    by = np.argsort(codes, kind="stable")
-    codes, counts = codes[by], np.asarray(counts)[by]
-    size = A**order
-    cuts = np.searchsorted(codes, np.arange(A + 1) * size)
-    for k in range(A):
-        own = slice(cuts[k], cuts[k + 1])
-        part = np.bincount(codes[own] - k * size, weights=counts[own], minlength=size).reshape(-1, A)
-        out[k * size : (k + 1) * size] = -np.log2(_coded(part, prob)).reshape(-1)
-    return out
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and the number of each code among them.
+
+    Codes claim slots of a table; those that lost theirs to another code
+    try again with another multiplier.
+    """
+    number = np.empty(len(codes), np.int32)
+    names: list[np.ndarray] = []
+    n, rest, step = 0, None, 0x9E3779B1
+    while rest is None or len(rest):
+        own = codes if rest is None else codes[rest]
+        with np.errstate(over="ignore"):
+            slot = (own * np.uint32(step)) >> np.uint32(32 - _SLOT_BITS)
+        step = (step * 0x85EBCA6B | 1) & 0xFFFFFFFF
+        holder = np.zeros(1 << _SLOT_BITS, np.uint32)
+        holder[slot] = own
+        won = holder[slot] == own
+        used = np.zeros(1 << _SLOT_BITS, bool)
+        used[slot] = True
+        names.append(holder[used])
+        rank = (np.cumsum(used, dtype=np.int32) + np.int32(n - 1))[slot]
+        if rest is None:
+            number[:] = rank
+            rest = np.flatnonzero(~won)
+        else:
+            number[rest[won]] = rank[won]
+            rest = rest[~won]
+        n += len(names[-1])
+    return np.concatenate(names) if names else np.zeros(0, np.uint32), number
 
 
-def _coded(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities of the symbols (columns) in their contexts (rows), given those in the next shorter contexts."""
-    n, q = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    return np.where(n == 0, shorter, np.where(counts > 0, counts, q * shorter) / np.maximum(n + q, 1))
+@dataclass
+class Tree:
+    """One language's levels: sorted codes, their counts, and the contexts with n and q."""
+
+    codes: list[np.ndarray]
+    counts: list[np.ndarray]
+    contexts: list[np.ndarray]
+    n: list[np.ndarray]
+    q: list[np.ndarray]
+
+    @classmethod
+    def grow(cls, codes: np.ndarray, counts: np.ndarray, order: int) -> Tree:
+        """From the counts of the longest contexts' codes; a shorter context sums those that end in it."""
+        out = cls([], [], [], [], [])
+        for k in range(order + 1):
+            own, at = np.unique(codes & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            c = np.bincount(at, weights=counts, minlength=len(own))
+            context, at = np.unique(own >> np.uint32(8), return_inverse=True)
+            out.codes.append(own)
+            out.counts.append(c)
+            out.contexts.append(context)
+            out.n.append(np.bincount(at, weights=c, minlength=len(context)))
+            out.q.append(np.bincount(at, minlength=len(context)).astype(np.float64))
+        return out
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of each code, which are to be in order."""
+        p = np.full(len(codes), 1 / 256)
+        for k, own in enumerate(self.codes):
+            code = codes & np.uint32((1 << 8 * (k + 1)) - 1)
+            at, known = _find(self.contexts[k], code >> np.uint32(8))
+            n, q = self.n[k][at], self.q[k][at]
+            at, seen = _find(own, code)
+            p = np.where(known, np.where(seen, self.counts[k][at], q * p) / (n + q), p)
+        return -np.log2(p)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
 @dataclass
@@ -108,62 +145,64 @@ class Model:
     def languages(self) -> list[str]:
         return sorted(self.counts)
 
-    def tables(self) -> list[np.ndarray]:
+    def trees(self) -> list[Tree]:
         if _BUILT.get("key") != self.key:
             _BUILT.clear()
-            _BUILT.update(key=self.key, tables=[cost_table(*self.counts[x], self.order) for x in self.languages])
-        return _BUILT["tables"]
+            _BUILT.update(key=self.key, trees=[Tree.grow(*self.counts[x], self.order) for x in self.languages])
+        return _BUILT["trees"]
 
 
 _BUILT: dict = {}
 KEPT["language"] = _BUILT.clear
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_order: int = 3) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Model:
     """Counts every context of every row whose text and language are not null.
 
-    The counting is distributed; the driver gets one row per language and
-    context seen, which the alphabet bounds (A ** (order + 1) per language),
-    whatever the input. With so many languages that their tables would
-    exceed TABLE_BYTES the order is lowered. No rows: a model of no language.
+    The counting is distributed; the driver gets three numbers per language
+    and context seen (some hundred thousand for a language in an alphabet,
+    whatever the input; never more than 256 ** (order + 1)) and the
+    languages' names. Repeated rows count again, very long texts whole. No
+    rows: a model of no language.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    kinds = rows.select("lang").distinct().count() if max_order > 1 else 1
-    order = max_order
-    while order > 1 and kinds * 4 * A ** (order + 1) > TABLE_BYTES:
-        order -= 1
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    if not names:
+        return Model(order, {})
+    numbers = {x: k for k, x in enumerate(names)}
 
     def count(batches):
         lean()
-        totals: dict[str, np.ndarray] = {}
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n = 0
 
-        def add(lang: str) -> None:
-            total = totals.setdefault(lang, np.zeros(A ** (order + 1), np.uint32))
-            seen = np.bincount(np.concatenate(held.pop(lang)))
-            total[: len(seen)] += seen.astype(np.uint32)
+        def flush():
+            for lang, parts in held.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                times = np.bincount(at, weights=np.concatenate([m for _, m in parts])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), lang, np.int32)), pa.array(codes.view(np.int32)), pa.array(times)], names=["lang", "code", "n"])
 
         for whole in batches:
             for batch in slices(whole, "text", BYTES):
                 codes, offsets = gram_codes(batch.column("text"), order)
-                langs = batch.column("lang").to_pylist()
-                names = sorted(set(langs))
-                at = {x: k for k, x in enumerate(names)}
-                owner = np.repeat(np.array([at[x] for x in langs], np.int8 if len(names) < 128 else np.int32), np.diff(offsets))
-                for k, lang in enumerate(names):
-                    held.setdefault(lang, []).append(codes if len(names) == 1 else codes[owner == k])
-                    if sum(map(len, held[lang])) > HELD:
-                        add(lang)
-        for lang in list(held):
-            add(lang)
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["lang", "code", "n"])
-
-    seen = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+                own, number = distinct(codes)
+                langs = np.array([numbers[x] for x in batch.column("lang").to_pylist()], np.int32)
+                owner = np.repeat(langs, np.diff(offsets))
+                for lang in np.unique(langs).tolist():
+                    times = np.bincount(number[owner == lang], minlength=len(own))
+                    seen = np.flatnonzero(times)
+                    held.setdefault(lang, []).append((own[seen], times[seen]))
+                    n += len(seen)
+                if n > HELD:
+                    yield from flush()
+                    held, n = {}, 0
+        yield from flush()
+
+    seen = rows.mapInArrow(count, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = seen.toArrow()
-    langs, codes, n = np.array(got["lang"].to_pylist(), object), got["code"].to_numpy(), got["n"].to_numpy()
-    return Model(order, {x: (codes[langs == x], n[langs == x]) for x in sorted(set(langs))})
+    langs, codes, n = (got[c].to_numpy() for c in ("lang", "code", "n"))
+    codes = codes.astype(np.int32).view(np.uint32)
+    return Model(order, {x: (codes[langs == k], n[langs == k]) for k, x in enumerate(names) if (langs == k).any()})
 
 
 def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
@@ -171,9 +210,14 @@ def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
     codes, offsets = gram_codes(column, model.order)
     bits = np.zeros((len(offsets) - 1, len(model.languages)))
     filled = np.flatnonzero(np.diff(offsets))
-    for k, table in enumerate(model.tables()):
-        if len(filled):
-            bits[filled, k] = np.add.reduceat(table[codes].astype(np.float64), offsets[filled])
+    if len(filled):
+        own, number = distinct(codes)
+        by = np.argsort(own)
+        rank = np.empty(len(own), np.int32)
+        rank[by] = np.arange(len(own), dtype=np.int32)
+        own, number = own[by], rank[number]
+        for k, tree in enumerate(model.trees()):
+            bits[filled, k] = np.add.reduceat(tree.costs(own)[number], offsets[filled])
     return bits
 
 
@@ -181,8 +225,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """Appends ``lang_pred`` and ``score`` (the posterior of that language under equal priors).
 
     Null text, text without a letter, or a model of no language: ``und``,
-    score 0. Ties go to the smaller language name. Columns of these names
-    in ``docs`` are replaced.
+    score 0. Ties go to the smaller language name. Very long texts are read
+    whole, repeated rows each get a result, an empty table stays empty.
+    Columns of these names in ``docs`` are replaced.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
