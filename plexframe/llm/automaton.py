@@ -5,16 +5,21 @@ alternation, ``? * + {m} {m,} {m,n}``), joins them into one
 nondeterministic automaton that searches at every position, determinises it
 by subset construction, minimises it by partition refinement and returns
 transition arrays over byte classes. ``Automaton.scan`` then runs all rules
-over many byte segments at once, one transition per byte.
+over many byte segments at once, one transition per byte. Compiled backward
+an automaton marks where matches start, compiled anchored it finds where the
+longest one ends.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 _UNBOUNDED = -1
+#: With fewer segments left than this, stepping through each by itself is faster.
+_FEW = 48
 
 
 class _Parser:
@@ -119,7 +124,8 @@ def alphabet(pattern: str) -> frozenset:
 
 
 class _Nfa:
-    def __init__(self):
+    def __init__(self, backward: bool = False):
+        self.order = -1 if backward else 1
         self.empty: list[list[int]] = []
         self.steps: list[list[tuple[frozenset, int]]] = []
 
@@ -136,13 +142,13 @@ class _Nfa:
             self.steps[start].append((node[1], end))
             return end
         if kind == "bytes":
-            for b in node[1]:
+            for b in node[1][:: self.order]:
                 end = self.state()
                 self.steps[start].append((frozenset([b]), end))
                 start = end
             return start
         if kind == "seq":
-            for part in node[1]:
+            for part in node[1][:: self.order]:
                 start = self.build(part, start)
             return start
         if kind == "or":
@@ -181,27 +187,87 @@ class Automaton:
     def n_states(self) -> int:
         return len(self.accept)
 
+    @cached_property
+    def _plain(self) -> tuple[bytes, list[int], list[int]]:
+        """The byte classes, transitions and (by state times n_classes) bits as plain Python values."""
+        bits = [0] * len(self.step)
+        for k, b in enumerate(self.accept.tolist()):
+            bits[k * self.n_classes] = b
+        return bytes(self.byte_class.astype(np.uint8)), self.step.tolist(), bits
+
+    @cached_property
+    def _dead(self) -> int:
+        """The state that nothing leads out of and that accepts nothing, times n_classes; -1 if there is none."""
+        step = self.step.reshape(-1, self.n_classes)
+        own = np.arange(len(step)) * self.n_classes
+        at = np.flatnonzero((step == own[:, None]).all(1) & (self.accept == 0))
+        return int(own[at[0]]) if len(at) else -1
+
     def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bits of the rules that match anywhere in each segment data[start:end]."""
         hits = np.zeros(len(starts), np.int64)
         order = np.argsort(starts - ends, kind="stable")  # longest first: the lanes still active are a prefix
-        at, lens = starts[order].copy(), (ends - starts)[order]
+        at, lens = starts[order].astype(np.int64), (ends - starts)[order]
         state = np.zeros(len(order), np.int32)
-        got = np.zeros(len(order), self.accept.dtype)
-        classes = self.byte_class[data]
-        active = len(order)
-        for k in range(int(lens[0]) if len(lens) else 0):
+        got = np.zeros(len(order), np.uint8 if len(self.names) <= 8 else np.int64)
+        classes = self.byte_class.astype(np.uint8)[data]
+        # A state's bits, found by its number times n_classes without dividing.
+        bits = np.zeros(len(self.step), got.dtype)
+        bits[:: self.n_classes] = self.accept
+        active, k = len(order), 0
+        while k < (int(lens[0]) if len(lens) else 0):
             while active and lens[active - 1] <= k:
                 active = int(np.searchsorted(-lens, -k, "left"))
-            state[:active] = self.step[state[:active] + classes[at[:active] + k]]
-            got[:active] |= self.accept[state[:active] // self.n_classes]
+            if active < _FEW:
+                break
+            own = state[:active]
+            own += classes.take(at[:active])
+            self.step.take(own, out=own, mode="clip")
+            got[:active] |= bits.take(own)
+            at[:active] += 1
+            k += 1
+        _, step, plain = self._plain
+        for lane in range(active):
+            s, seen = int(state[lane]), 0
+            for c in classes[at[lane] : at[lane] + lens[lane] - k].tobytes():
+                s = step[s + c]
+                if plain[s]:
+                    seen |= plain[s]
+            got[lane] |= seen
         hits[order] = got
         return hits
 
-
-def compile_rules(rules: dict[str, str]) -> Automaton:
-    """One automaton for all rules; at most 63 of them."""
-    nfa = _Nfa()
+    def marks(self, raw: bytes) -> list[int]:
+        """Of an automaton compiled backward: where matches start, in ascending order."""
+        table, step, plain = self._plain
+        s, out = 0, []
+        classes = raw.translate(table)
+        for i in range(len(raw) - 1, -1, -1):
+            s = step[s + classes[i]]
+            if plain[s]:
+                out.append(i)
+        return out[::-1]
+
+    def longest(self, raw: bytes, start: int) -> int:
+        """Of an anchored automaton: where the longest match from ``start`` on ends, -1 if there is none."""
+        table, step, plain = self._plain
+        s, last = 0, -1
+        for i in range(start, len(raw)):
+            s = step[s + table[raw[i]]]
+            if s == self._dead:
+                break
+            if plain[s]:
+                last = i + 1
+        return last
+
+
+def compile_rules(rules: dict[str, str], anchored: bool = False, backward: bool = False) -> Automaton:
+    """One automaton for all rules, at most 63 of them.
+
+    It searches at every position unless it is anchored; a backward one
+    reads its text from the end.
+    """
+    nfa = _Nfa(backward)
     root = nfa.state()
     finals: dict[int, int] = {}
     for k, pattern in enumerate(rules.values()):
@@ -232,7 +298,7 @@ def compile_rules(rules: dict[str, str]) -> Automaton:
         row = []
         for c in range(len(kinds)):
             b = sample[c]
-            target = closure({t for s in current for on, t in nfa.steps[s] if b in on} | {root})
+            target = closure({t for s in current for on, t in nfa.steps[s] if b in on} | (set() if anchored else {root}))
             if target not in index:
                 index[target] = len(index)
                 queue.append(target)
