@@ -43,7 +43,7 @@ def shares(sizes: list[int], weights: tuple = WEIGHTS, most: float = MAX_REPEATS
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Columns mix_id, mix_source, mix_size, mix_h and mix_g beside those of ``docs``.
+    """Columns mix_source, mix_size, mix_h and mix_g beside those of ``docs``.
 
     The key is (h, g): h hashes id and text; g tells identical rows apart.
     """
@@ -62,15 +62,18 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """Appends size, source_size, target, taken and copies to every row.
 
     Sources count by code point, null last; ``weights`` repeat along them.
-    Null text has size 0. A source of size 0 gets nothing. Identical rows are
-    told apart by their place in the input. Columns of these names in
-    ``docs`` are replaced. An empty table stays empty.
+    Null text has size 0; very long texts are counted whole. A source of size
+    0 gets nothing. Rows of the same id and text are told apart by their
+    place in the input. Columns of these names in ``docs`` are replaced, all
+    others returned as they are. An empty table stays empty.
     """
     spark = docs.sparkSession
     added = ("size", "source_size", "target", "taken", "copies")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added or c.lower().startswith("mix_")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    at = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
+    own, own_cols = docs.toDF(*at.values()), (at[id_col], at[text_col], at[source_col])
     scratch = Scratch(spark)
-    rows = scratch.write(keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col).select("mix_source", "mix_size", "mix_h", "mix_g"), "keys")
+    rows = scratch.write(keyed(own.select(*own_cols), *own_cols).select("mix_source", "mix_size", "mix_h", "mix_g"), "keys")
     sources = rows.groupBy("mix_source").agg(F.sum("mix_size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -80,22 +83,25 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     budget = {k: t - c * r[1] for k, (t, c, r) in enumerate(zip(target, copies, sources, strict=True)) if r[1]}
     names = spark.createDataFrame([(k, r[0], int(r[1]), t, c) for k, (r, t, c) in enumerate(zip(sources, target, copies, strict=True))], "mix_k int, mix_name string, source_size long, target double, mix_copies int")
     named = lambda df: df.join(F.broadcast(names), F.col("mix_source").eqNullSafe(F.col("mix_name")))
-    rules = thresholds(named(rows).select("mix_k", "mix_size", "mix_h", "mix_g"), {k: b for k, b in budget.items() if b >= 1})
+    rules = thresholds(named(rows).select("mix_k", "mix_size", "mix_h", "mix_g"), {k: b for k, b in budget.items() if b >= 1}, scratch)
+    scratch.drop(rows)
     once = F.exists("mix_rules", lambda r: _before(r["h"], r["g"]) & (F.col("mix_size") <= r["most"]))
-    out = named(keyed(docs, id_col, text_col, source_col)).join(F.broadcast(rules), "mix_k", "left")
+    out = named(keyed(own, *own_cols)).join(F.broadcast(rules), "mix_k", "left")
     out = out.withColumn("copies", F.col("mix_copies") + F.coalesce(once, F.lit(False)).cast("int"))
-    return out.select(*docs.columns, F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("copies")).alias("taken"), "copies")
+    return out.select(*at.values(), F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("copies")).alias("taken"), "copies").toDF(*at, *added)
 
 
 def _before(h, g):
     return (F.col("mix_h") < h) | ((F.col("mix_h") == h) & (F.col("mix_g") < g))
 
 
-def thresholds(rows: DataFrame, budget: dict[int, float]) -> DataFrame:
+def thresholds(rows: DataFrame, budget: dict[int, float], scratch: Scratch) -> DataFrame:
     """Per source the rules (key bound, largest size): a row that fits any of them is taken.
 
     ``rows`` has mix_k, mix_size and the key. One rule is made a round; each
-    round spends what the one before left on rows behind its bound.
+    round spends what the one before left on rows behind its bound. A round
+    reads all rows once, for the first level; the rows of the boundary
+    buckets, one in 2 ** BITS or so, are then written and refined alone.
     """
     spark = rows.sparkSession
     rules: dict[int, list[tuple[int, int, int]]] = {k: [] for k in budget}
@@ -108,49 +114,53 @@ def thresholds(rows: DataFrame, budget: dict[int, float]) -> DataFrame:
             break
         most = {k: int(min(b, 1 << 62)) if rules[k] else 1 << 62 for k, b in now.items()}
         path = {k: 0 for k in now}
-        depth, found = 0, {}
+        depth, found, here = 0, {}, rows
         while path:
-            state = spark.createDataFrame([(k, path[k], float(now[k]), most[k], *floor[k]) for k in path], "mix_k int, path long, budget double, most long, fh long, fg long")
-            cell = histogram(rows.join(F.broadcast(state), "mix_k"), depth)
-            crossed = {r["mix_k"]: r for r in cell.collect()}
+            state = F.broadcast(spark.createDataFrame([(k, path[k], float(now[k]), most[k], *floor[k]) for k in path], "mix_k int, path long, budget double, most long, fh long, fg long"))
+            open_ = here.join(state, "mix_k").where((F.col("mix_size") <= F.col("most")) & ((F.col("mix_h") > F.col("fh")) | ((F.col("mix_h") == F.col("fh")) & (F.col("mix_g") > F.col("fg")))))
+            if depth:  # the path names the bucket of the level before
+                open_ = open_.where(F.col("path") == path_id(depth))
+            if depth == 1:
+                here = scratch.write(open_.select("mix_k", "mix_size", "mix_h", "mix_g"), "boundary")
+                open_ = here.join(state, "mix_k")
+            crossed = {r["mix_k"]: r for r in histogram(open_, depth).collect()}
             for k in list(path):
                 r = crossed.get(k)
                 now[k] -= r["before"] if r else 0
-                if r is None or r["bucket"] is None:
+                if r is None or r["path"] is None:
                     found[k] = end
                 elif r["n"] == 1 or (depth + 1) * BITS >= 2 * KEY_BITS:
-                    found[k] = (r["key"]["mix_h"], r["key"]["mix_g"])
+                    found[k] = (r["h"], r["g"])
                 else:
-                    path[k] = r["bucket"]
+                    path[k] = r["path"]
                     continue
                 del path[k]
             depth += 1
+        if depth > 1:
+            scratch.drop(here)
         for k, bound in found.items():
             rules[k].append((*bound, most[k]))
             floor[k], left[k] = bound, now[k]
     return spark.createDataFrame([(k, x) for k, x in rules.items()], "mix_k int, mix_rules array<struct<h: long, g: long, most: long>>")
 
 
-def histogram(rows: DataFrame, depth: int) -> DataFrame:
-    """Per source the bucket in which its budget runs out: before (words in front of it), n, key.
+def histogram(open_rows: DataFrame, depth: int) -> DataFrame:
+    """Per source the bucket in which its budget runs out: before (words in front of it), path, n, and the key h, g if it is one.
 
-    A bucket of null means that all fits, and ``before`` is all there is.
+    A path of null means that all fits, and ``before`` is all there is. A
+    source has at most 2 ** BITS cells, whatever its rows; the least h and
+    least g are taken each by itself, as they are used where a cell holds
+    one key only.
     """
     per = KEY_BITS // BITS
     word, level = ("mix_h", depth) if depth < per else ("mix_g", depth - per)
     here = F.shiftright(word, KEY_BITS - BITS * (level + 1)).bitwiseAND((1 << BITS) - 1).cast("int")
-    open_ = (F.col("mix_size") <= F.col("most")) & ((F.col("mix_h") > F.col("fh")) | ((F.col("mix_h") == F.col("fh")) & (F.col("mix_g") > F.col("fg"))))
-    if depth:
-        # The path names the bucket of the level before; its row range came from the levels above.
-        open_ &= F.col("path") == path_id(depth)
-    w = Window.partitionBy("mix_k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.where(open_).groupBy("mix_k", "budget", here.alias("bucket")).agg(F.sum("mix_size").alias("words"), F.count("*").alias("n"), F.min(F.struct("mix_h", "mix_g")).alias("key"), F.min(path_id(depth + 1)).alias("path"))
-    cells = cells.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
-    crossing = F.col("before") + F.col("words") > F.col("budget")
-    return cells.groupBy("mix_k").agg(
-        F.coalesce(F.min(F.when(crossing, F.col("before"))), F.sum("words")).alias("before"),
-        F.min(F.when(crossing, F.struct("before", "bucket", "path", "n", "key"))).alias("x"),
-    ).select("mix_k", "before", F.col("x.path").alias("bucket"), F.col("x.n").alias("n"), F.col("x.key").alias("key"))
+    w = Window.partitionBy("mix_k").orderBy("bucket")
+    cells = open_rows.groupBy("mix_k", "budget", here.alias("bucket")).agg(F.sum("mix_size").alias("words"), F.count("*").alias("n"), F.min("mix_h").alias("h"), F.min("mix_g").alias("g"), F.min(path_id(depth + 1)).alias("path"))
+    cells = cells.withColumn("upto", F.sum("words").over(w)).withColumn("last", F.lead("bucket").over(w).isNull())
+    crossing = (F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("words") <= F.col("budget"))
+    all_fits = F.col("last") & (F.col("upto") <= F.col("budget"))
+    return cells.where(crossing | all_fits).select("mix_k", (F.col("upto") - F.when(all_fits, 0).otherwise(F.col("words"))).alias("before"), F.when(~all_fits, F.col("path")).alias("path"), "n", "h", "g")
 
 
 def path_id(depth: int):
@@ -163,6 +173,7 @@ def path_id(depth: int):
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS) -> DataFrame:
     """The mixed rows: every row as often as ``plan`` takes it, with the columns of ``docs``."""
-    planned = plan(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}), f"own_{id_col}", f"own_{text_col}", f"own_{source_col}", weights)
-    repeated = planned.where("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
+    at = {c: f"mixed_{k}" for k, c in enumerate(docs.columns)}
+    planned = plan(docs.toDF(*at.values()), at[id_col], at[text_col], at[source_col], weights)
+    repeated = planned.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*at.values()).toDF(*at)
