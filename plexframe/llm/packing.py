@@ -5,10 +5,14 @@ lengths takes part in the search, so its state is small whatever the texts
 are. Best-fit decreasing gives the first solution; where it needs as many
 bins as the total length demands, it is optimal and the shard is done.
 Every other shard evolves on several islands, each a row of its own that any
-executor may hold. Crossover injects some whole well-filled bins of one
-parent into the other, takes out the bins that hold the same items, and
-puts the displaced rest back by best fit. After each epoch an island's elite
-moves on to the next island.
+executor may hold. An island's first population has best fits and exact
+fills in orders that chance has changed. Crossover injects some whole
+well-filled bins of one parent into the other, takes out the bins that hold
+the same items, lets displaced items replace smaller ones where that fills a
+bin better, and puts the rest back by best fit; of what is still in bins with
+room, and some others, chance then lets a part be filled anew. After each
+epoch an island's elite moves on to the next island; epochs end when none
+has gained.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ CAPACITY = 4096
 #: Id at the end of every document.
 END_ID = 1
 SHARD_ITEMS = 50_000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 6, 4
+#: Islands and epochs at most; generations an island goes on without a gain, and at most; parents it holds.
+ISLANDS, EPOCHS, PATIENCE, GENERATIONS, POPULATION = 3, 4, 25, 200, 6
 
 
 def best_fit(sizes: np.ndarray, capacity: int, room: list[int] | None = None) -> list[int]:
@@ -74,11 +79,92 @@ def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, fl
     return len(fill), -float((fill * fill).sum())
 
 
+def exact_fill(sizes: np.ndarray, capacity: int, rng: np.random.Generator | None = None) -> np.ndarray:
+    """The bin of each size (descending), bin by bin: the largest that is left, then again and again the one or two that fill it best.
+
+    Chance, if given, decides between pairs that fill it equally well.
+    """
+    values, first, left = np.unique(sizes, return_index=True, return_counts=True)
+    held, left, n, bin_, top = left.copy(), left.copy(), len(sizes), 0, len(values) - 1
+    out = np.empty(len(sizes), np.int64)
+
+    def take(k: int) -> int:
+        nonlocal n
+        left[k] -= 1
+        n -= 1
+        out[first[k] + held[k] - left[k] - 1] = bin_
+        return int(values[k])
+
+    while n:
+        while not left[top]:
+            top -= 1
+        room = capacity - take(top)
+        while n:
+            own = np.flatnonzero(left[: np.searchsorted(values, room, "right")])
+            if not len(own):
+                break
+            one, v = own[-1], values[own]
+            pick = [one]
+            if values[one] < room:
+                other = np.searchsorted(v, room - v, "right") - 1
+                other -= (other == np.arange(len(v))) & (left[own] < 2)
+                sums = np.where(other >= 0, v + v[np.maximum(other, 0)], 0)
+                best = sums.max()
+                if best > values[one]:
+                    equal = np.flatnonzero(sums == best)
+                    k = int(equal[rng.integers(len(equal))] if rng is not None else equal[0])
+                    pick = [own[k], own[other[k]]]
+            for k in pick:
+                room -= take(k)
+        bin_ += 1
+    return out
+
+
+def replace(bins: np.ndarray, displaced: list[int], sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> list[int]:
+    """Puts one or two displaced items in the place of one or two that are smaller, where a bin's room allows; returns what is displaced now."""
+    placed = np.flatnonzero(bins >= 0)
+    fill = np.bincount(bins[placed], weights=sizes[placed]).astype(np.int64)
+    open_ = np.flatnonzero(fill < capacity)
+    at = placed[np.argsort(bins[placed], kind="stable")]
+    ends = np.cumsum(np.bincount(bins[placed], minlength=len(fill)))
+    out = sorted(displaced, key=lambda k: sizes[k])
+    for b in rng.permutation(open_):
+        if not out:
+            break
+        items = at[ends[b - 1] if b else 0 : ends[b]][:24].tolist()
+        room, v = capacity - int(fill[b]), sizes[out]
+        best = (0, None, None)
+        for gone in [(i,) for i in items] + [(i, j) for x, i in enumerate(items) for j in items[x + 1 :]]:
+            size = int(sum(sizes[i] for i in gone))
+            other = np.searchsorted(v, size + room - v, "right") - 1
+            other -= other == np.arange(len(v))
+            sums = np.where(other >= 0, v + v[np.maximum(other, 0)], 0)
+            k = int(sums.argmax())
+            single = int(np.searchsorted(v, size + room, "right")) - 1
+            for gain, come in ((int(sums[k]) - size, [k, int(other[k])]), (int(v[single]) - size if single >= 0 else 0, [single])):
+                if gain > best[0]:
+                    best = (gain, gone, come)
+            if best[0] == room:
+                break
+        gain, gone, come = best
+        if gain:
+            for k in come:
+                bins[out[k]] = b
+            for i in gone:
+                bins[i] = -1
+            out = sorted([x for k, x in enumerate(out) if k not in come] + list(gone), key=lambda k: sizes[k])
+    return out
+
+
+def _named(bins: np.ndarray) -> np.ndarray:
+    return np.unique(bins, return_inverse=True)[1]
+
+
 def crossover(host: np.ndarray, donor: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """``host`` with some of the fullest bins of ``donor`` put in; sizes are in descending order."""
     fill = np.bincount(donor, weights=sizes)
     full = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 2)]
-    chosen = rng.choice(full, size=max(1, min(len(full), 1 + len(fill) // 10)), replace=False)
+    chosen = rng.choice(full, size=max(1, min(len(full), 1 + int(len(fill) * rng.uniform(0, 0.1)))), replace=False)
     injected = np.isin(donor, chosen)
     hit = np.unique(host[injected])
     # The host's emptiest bin goes too, so that its items get a chance elsewhere.
@@ -89,35 +175,56 @@ def crossover(host: np.ndarray, donor: np.ndarray, sizes: np.ndarray, capacity:
     names, child[kept] = np.unique(host[kept], return_inverse=True)
     mine, into = np.unique(donor[injected], return_inverse=True)
     child[injected] = into + len(names)
+    rest = replace(child, np.flatnonzero(displaced).tolist(), sizes, capacity, rng)
+    rest = np.array(sorted(rest), int)
     room = (capacity - np.bincount(child[child >= 0], weights=sizes[child >= 0], minlength=len(names) + len(mine))).astype(int).tolist()
-    child[displaced] = best_fit(sizes[displaced], capacity, room)
-    return child
+    child[rest] = best_fit(sizes[rest], capacity, room)
+    return _named(child)
+
 
+def refill(bins: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """The bins with room and as many others by chance, filled anew if that takes no more of them."""
+    fill = np.bincount(bins, weights=sizes)
+    open_ = np.flatnonzero(fill < capacity)
+    full = np.flatnonzero(fill == capacity)
+    again = np.r_[open_, rng.choice(full, size=min(len(full), len(open_) * int(rng.integers(1, 6))), replace=False)]
+    own = np.flatnonzero(np.isin(bins, again))
+    anew = exact_fill(sizes[own], capacity, rng)
+    out = bins.copy()
+    out[own] = len(fill) + anew
+    out = _named(out)
+    return out if fitness(out, sizes, capacity) <= fitness(bins, sizes, capacity) else bins
 
-def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> np.ndarray:
+
+def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION, patience: int = PATIENCE) -> np.ndarray:
     """The best assignment of items (sizes descending) to bins that an island finds."""
     least = lower_bound(sizes, capacity)
     best = min(elites, key=lambda x: fitness(x, sizes, capacity)) if elites else np.array(best_fit(sizes, capacity))
     if best.max(initial=-1) + 1 <= least:
         return best
     rng = np.random.default_rng(seed)
-    pool = [best, *elites]
-    while len(pool) < population:  # best fit in an order that chance has changed a little
-        order = np.argsort(-sizes * rng.uniform(0.9, 1.1, len(sizes)), kind="stable")
-        one = np.empty(len(sizes), int)
-        one[order] = best_fit(sizes[order], capacity)
-        pool.append(one)
+    pool = [*(elites or [best])]
+    while len(pool) < population:
+        if len(pool) % 2:
+            pool.append(exact_fill(sizes, capacity, rng))
+        else:  # best fit in an order that chance has changed a little
+            order = np.argsort(-sizes * rng.uniform(0.9, 1.1, len(sizes)), kind="stable")
+            one = np.empty(len(sizes), int)
+            one[order] = best_fit(sizes[order], capacity)
+            pool.append(one)
+    score = [fitness(x, sizes, capacity) for x in pool]
+    idle = 0
     for _ in range(generations):
-        for k in range(len(pool)):
-            a, b = rng.choice(len(pool), 2, replace=False)
-            child = crossover(pool[a], pool[b], sizes, capacity, rng)
-            worst = max(range(len(pool)), key=lambda x: fitness(pool[x], sizes, capacity))
-            if fitness(child, sizes, capacity) < fitness(pool[worst], sizes, capacity):
-                pool[worst] = child
-        best = min(pool, key=lambda x: fitness(x, sizes, capacity))
-        if best.max() + 1 <= least:
+        before = min(score)
+        if before[0] <= least or idle >= patience:
             break
-    return best
+        a, b = rng.choice(len(pool), 2, replace=False)
+        child = refill(crossover(pool[a], pool[b], sizes, capacity, rng), sizes, capacity, rng)
+        own, worst = fitness(child, sizes, capacity), max(range(len(pool)), key=score.__getitem__)
+        if own < score[worst] and own not in score:
+            pool[worst], score[worst] = child, own
+        idle = 0 if min(score)[0] < before[0] else idle + 1
+    return pool[min(range(len(pool)), key=score.__getitem__)]
 
 
 _STATE = "shard long, island int, sizes array<int>, counts array<int>, elites array<array<int>>, bins int, least int"
@@ -155,6 +262,9 @@ def _slots(shard: pa.Table, best: pa.Table) -> pa.Table:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
     """Appends sequence_id and offset to rows with a ``length`` from 0 to ``capacity``.
 
+    Shards are packed by themselves, so each may leave one bin more than all
+    together would need.
+
     The rows are numbered as they are written, once: how a table is read
     again depends on the cores of the moment, and a row's shard must not.
     Rows of the full capacity are sequences by themselves. Equal lengths are
@@ -173,17 +283,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None =
     start = histogram.agg(cells.alias("cells")).select(F.col("pack_shard").alias("shard"), F.lit(0).alias("island"), F.col("cells.size").alias("sizes"), F.col("cells.n").alias("counts"), F.expr("array() :: array<array<int>>").alias("elites"))
     spread = max(1, min(shards, 4096))
     state = scratch.write(start.repartition(spread, "shard").mapInPandas(_epoch(capacity, 0), _STATE), "seeded")
+    total = None
     for epoch in range(1, EPOCHS + 1):
-        if state.where("bins > least").isEmpty():
-            break
+        open_ = state.where("bins > least")
+        now = open_.groupBy("shard").agg(F.min("bins").alias("n")).agg(F.sum("n")).first()[0]
+        if now is None or total is not None and now >= total:
+            break  # all are optimal, or no island has gained in the last epoch
+        total = now
         if epoch == 1:
-            islands = state.where("bins > least").drop("island").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).select(*[c.split()[0] for c in _STATE.split(", ")])
+            islands = open_.drop("island").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).select(*[c.split()[0] for c in _STATE.split(", ")])
         else:  # each island also gets the elite of the one before
             come = state.select("shard", F.expr(f"(island + 1) % {ISLANDS}").alias("island"), F.col("elites").alias("more"))
-            islands = state.where("bins > least").join(come, ["shard", "island"], "left").withColumn("elites", F.concat("elites", F.coalesce("more", F.array().cast("array<array<int>>")))).drop("more")
+            islands = open_.join(come, ["shard", "island"], "left").withColumn("elites", F.concat("elites", F.coalesce("more", F.array().cast("array<array<int>>")))).drop("more")
         islands = islands.repartition(spread * ISLANDS, "shard", "island").mapInPandas(_epoch(capacity, epoch), _STATE)
-        state = scratch.write(islands.unionByName(state), "epoch")
-        state = scratch.write(state.groupBy("shard", "island").agg(*[F.min_by(c, "bins").alias(c) for c in ("sizes", "counts", "elites")], F.min("bins").alias("bins"), F.min("least").alias("least")), "best") if epoch < EPOCHS else state
+        grown = scratch.write(islands.unionByName(state), "epoch")
+        last, state = state, scratch.write(grown.groupBy("shard", "island").agg(*[F.min_by(c, "bins").alias(c) for c in ("sizes", "counts", "elites")], F.min("bins").alias("bins"), F.min("least").alias("least")), "best")
+        scratch.drop(last, grown)
     best = state.groupBy("shard").agg(F.min_by("elites", "bins").alias("elites"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     placed = dealt.groupBy("pack_shard").cogroup(best.withColumnRenamed("shard", "pack_shard").groupBy("pack_shard")).applyInArrow(_slots, schema)
