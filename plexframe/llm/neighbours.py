@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted on a bounded sample; every row is then assigned to its
-leaf. To search by inner product, rows get one more coordinate that makes
+leaf. Leaves that get very many rows are split by trees fitted on samples of
+their own rows, so that the tree grows with the table. To search by inner product, rows get one more coordinate that makes
 all of one length, so nearness on the tree means a large product. A query
 walks the tree with a priority queue of nodes by distance and so lists the
 leaves best first. How many it visits is calibrated: for a sample of queries
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, functions as F, Window
 from plexframe.session import Scratch
 
 #: Bounds: rows and bytes of the fitting sample, queries that calibrate, the recall they are to reach.
-SAMPLE_ROWS, SAMPLE_BYTES, CALIBRATION, RECALL = 20_000, 64 << 20, 64, 0.97
+SAMPLE_ROWS, SAMPLE_BYTES, CALIBRATION, RECALL = 20_000, 64 << 20, 256, 0.93
 BRANCH, LEAF_SAMPLE = 8, 32
-#: Rows and queries that a search task takes at most.
-BLOCK, QUERY_BLOCK = 8192, 4096
+#: A leaf of more rows is split once more, by a sample of its own; leaves there may be at most (the tree is broadcast).
+LEAF_ROWS, SPLIT_SAMPLE, MAX_LEAVES = 4096, 4096, 16_384
+#: Rows and queries that a search task takes at most; queries that walk the tree in one task.
+BLOCK, QUERY_BLOCK, WALK = 8192, 4096, 256
 
 
 @dataclass
@@ -105,6 +108,44 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8):
     return [(c[j], np.flatnonzero(near == j)) for j in used] if len(used) > 1 else None
 
 
+def deepen(tree: Tree, index: DataFrame, counts: dict[int, int]) -> Tree:
+    """The tree with every leaf of more than LEAF_ROWS rows split, as far as MAX_LEAVES allows.
+
+    ``index`` has v and leaf. Each such leaf sends SPLIT_SAMPLE rows or so to
+    a task, which fits a tree below it; the driver gets centres only.
+    """
+    large = {k: n for k, n in counts.items() if n > LEAF_ROWS}
+    free = MAX_LEAVES - len(counts)
+    if not large or free <= 0:
+        return tree
+    wanted = {k: -(-n // LEAF_ROWS) * 2 for k, n in large.items()}
+    shrink = min(1.0, free / sum(wanted.values()))
+    plan = [(k, max(2, int(wanted[k] * shrink)), min(1.0, SPLIT_SAMPLE / n)) for k, n in large.items()]
+    spark = index.sparkSession
+    plan = F.broadcast(spark.createDataFrame(plan, "leaf int, leaves int, share double"))  # a row per leaf
+    some = index.join(plan, "leaf").where((F.shiftrightunsigned(F.xxhash64(F.lit(13), "id"), 11) / float(1 << 53)) < F.col("share"))
+
+    def split(rows: pa.Table) -> pa.Table:
+        below = fit(matrix(rows["v"]), tree.norm2, rows["leaves"][0].as_py(), seed=rows["leaf"][0].as_py())
+        parent = np.full(len(below.children), -1)
+        for k, kids in enumerate(below.children):
+            parent[kids] = k
+        return pa.table({"leaf": pa.array([rows["leaf"][0].as_py()] * len(parent), pa.int32()), "node": pa.array(np.arange(len(parent)), pa.int32()), "parent": pa.array(parent, pa.int32()), "centre": pa.array(below.centres.tolist(), pa.list_(pa.float64()))})
+
+    got = some.groupBy("leaf").applyInArrow(split, "leaf int, node int, parent int, centre array<double>").toArrow()
+    children, centres = [list(c) for c in tree.children], tree.centres.tolist()
+    names: dict[tuple[int, int], int] = {}
+    for leaf, node, parent, centre in sorted(zip(*(got[c].to_pylist() for c in ("leaf", "node", "parent", "centre")), strict=True)):
+        if parent < 0:
+            names[leaf, node] = leaf  # the root below is the leaf itself
+            continue
+        names[leaf, node] = len(centres)
+        children[names[leaf, parent]].append(len(centres))
+        centres.append(centre)
+        children.append([])
+    return Tree(np.array(centres), children, tree.norm2)
+
+
 def matrix(column) -> np.ndarray:
     """A list column without nulls, all of one length, as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
@@ -170,8 +211,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     ``queries`` are rows like ``vectors``; a query isn't its own neighbour
     (rows compare by id). Rows that ``usable`` rejects take no part.
-    Repeated query ids count once. Fewer than k candidates: all of them.
-    No candidates or no queries: no rows.
+    Repeated query ids count once, with the least of their vectors; repeated
+    rows are candidates each. Ties go to smaller ids. Fewer than k candidates:
+    all of them. No candidates or no queries: no rows. Other columns of either
+    table are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -185,27 +228,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(part)) == 0).limit(size).select("v").toArrow()
     sample = matrix(sample["v"]) if sample.num_rows else np.zeros((0, d))
     tree = fit(sample, shape["norm2"], leaves=max(1, min(int(n**0.5), len(sample) // LEAF_SAMPLE)))
-    handle = spark.sparkContext.broadcast(tree)  # at most SAMPLE_ROWS / LEAF_SAMPLE leaves
+    kind = rows.schema["v"].dataType.simpleString()
 
-    def assign(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(handle.value.assign(matrix(b.column("v"))).astype(np.int32))], names=["id", "v", "leaf"])
+    def indexed(source: DataFrame, tree: Tree) -> tuple:
+        handle = spark.sparkContext.broadcast(tree)  # at most SAMPLE_ROWS / LEAF_SAMPLE leaves at first, MAX_LEAVES in the end
 
-    kind = rows.schema["v"].dataType.simpleString()
-    index = scratch.write(rows.mapInArrow(assign, f"id long, v {kind}, leaf int"), "index")
-    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
-    asked = usable(queries, id_col, vec_col).where(F.size("v") == d).dropDuplicates(["id"])
+        def assign(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(handle.value.assign(matrix(b.column("v"))).astype(np.int32))], names=["id", "v", "leaf"])
+
+        index = scratch.write(source.mapInArrow(assign, f"id long, v {kind}, leaf int"), "index")
+        return handle, index, {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+
+    handle, index, counts = indexed(rows, tree)
+    if max(counts.values()) > LEAF_ROWS and (grown := deepen(tree, index, counts)) is not tree:
+        tree, last = grown, index
+        handle, index, counts = indexed(index.select("id", "v"), tree)
+        scratch.drop(last)
+    asked = usable(queries, id_col, vec_col).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
     leaves = _calibrate(index, asked, tree, counts, k, recall)
 
     def visit(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             ids, x = b.column("id").to_numpy(), matrix(b.column("v"))
             lists = [handle.value.visits(q, counts, leaves, k + 1) for q in x]
             at = np.repeat(np.arange(len(ids)), [len(v) for v in lists])
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), b.column("v").take(pa.array(at)), pa.array([y for v in lists for y in v], pa.int32())], names=["q", "qv", "leaf"])
 
-    visits = scratch.write(asked.mapInArrow(visit, f"q long, qv {kind}, leaf int"), "visits")
+    walks = max(1, -(-asked.count() // WALK))
+    visits = scratch.write(asked.repartition(walks, "id").mapInArrow(visit, f"q long, qv {kind}, leaf int"), "visits")
     plan = [(r["leaf"], -(-counts[r["leaf"]] // BLOCK), -(-r["count"] // QUERY_BLOCK)) for r in visits.groupBy("leaf").count().collect()]
     if not plan:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
