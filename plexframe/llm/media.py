@@ -125,8 +125,23 @@ def wav_data(d: bytes, at: int, end: int) -> tuple[int, int] | None:
     return None
 
 
-def _zip(d: bytes, at: int) -> int:
-    pos = d.find(b"PK\x05\x06", at)
+class _Next:
+    """Where a mark comes next in one object's bytes: hits are asked for in order, so every byte is searched once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found, self.dead = data, {}, set()  # dead: pages of streams that don't end
+
+    def __call__(self, mark: bytes, at: int) -> int:
+        """The mark's first place from ``at`` on, -1 if there is none."""
+        last, place = self.found.get(mark, (0, -2))
+        if not (last <= at and (place == -1 or place >= at)):
+            place = self.data.find(mark, at)
+            self.found[mark] = (at, place)
+        return place
+
+
+def _zip(d: bytes, at: int, following: _Next) -> int:
+    pos = following(b"PK\x05\x06", at)
     if pos < 0 or pos + 22 > len(d):
         return 0
     size, offset, comment = struct.unpack_from("<IIH", d, pos + 12)
@@ -147,25 +162,27 @@ def _gzip(d: bytes, at: int) -> int:
     return 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 if d[at + 5 : at + 6].isdigit() and d.find(b"startxref", at, max(at, end)) >= 0 else 0
+def _pdf(d: bytes, at: int, following: _Next) -> int:
+    end, table = following(b"%%EOF", at), following(b"startxref", at)
+    return end + 5 if d[at + 5 : at + 6].isdigit() and 0 <= table <= end - 9 else 0
 
 
 def _flac(d: bytes, at: int) -> int:
     return len(d) if d[at + 4 : at + 8] in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") and at + 42 <= len(d) else 0
 
 
-def _ogg(d: bytes, at: int) -> int:
-    pos = at
-    while d[pos : pos + 5] == b"OggS\x00" and pos + 27 <= len(d):
+def _ogg(d: bytes, at: int, following: _Next) -> int:
+    pos, pages = at, []
+    while pos not in following.dead and d[pos : pos + 5] == b"OggS\x00" and pos + 27 <= len(d):
+        pages.append(pos)
         n = d[pos + 26]
         end = pos + 27 + n + sum(d[pos + 27 : pos + 27 + n])
         if end > len(d):
-            return 0
+            break
         last, pos = d[pos + 5] & 4, end
         if last:
             return pos
+    following.dead.update(pages)
     return 0
 
 
@@ -179,6 +196,8 @@ def _mp4(d: bytes, at: int) -> int:
     return pos if boxes > 1 else 0
 
 
+#: Formats whose validators look far ahead and so remember what they saw.
+_SEARCHING = ("application/pdf", "application/zip", "application/ogg")
 _VALID = dict(zip(MAGIC, (_png, _jpeg, _gif, _bmp, _wav, _flac, _ogg, _pdf, _zip, _gzip, _mp4), strict=True))
 
 
@@ -186,9 +205,10 @@ def carve(data: bytes | None) -> list[tuple[str, int, int]]:
     """(type, start, end) of the confirmed objects, outermost first; nothing inside another object is reported twice by its own format."""
     found: list[tuple[str, int, int]] = []
     inside: dict[str, int] = {}
+    following = _Next(data or b"")
     for last, (kind, back) in _locator().iter((data or b"").decode("latin-1")):
         start = last - back
-        if start >= inside.get(kind, 0) and (end := _VALID[kind](data, start)):
+        if start >= inside.get(kind, 0) and (end := _VALID[kind](data, start, *([following] if kind in _SEARCHING else []))):
             found.append((kind, start, end))
             inside[kind] = end
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
@@ -257,8 +277,10 @@ def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256 and feature (type, sample count, mean, standard deviation,
-    mean absolute step, count of embedded objects). Columns of these names
-    in ``docs`` are replaced.
+    mean absolute step, count of embedded objects). Null and empty texts are
+    one block of padding, very long ones are stored whole, repeated rows each
+    return (equal texts with equal values), an empty table stays empty.
+    Columns of these names in ``docs`` are replaced.
     """
     long, string = T.LongType(), T.StringType()
     added = T.StructType([T.StructField(n, k) for n, k in (("n_bytes", long), ("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("feature", string))])
