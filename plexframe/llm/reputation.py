@@ -17,6 +17,8 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: (verdict, host, path): fits the host and its subdomains where the path starts so; the longest wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 THRESHOLD, Z = 0.5, 1.645
+#: Public suffixes of more than one label, a parameter; a last label is always one. The hosts at hand need none.
+SUFFIXES: tuple[str, ...] = ()
 #: Prior strengths stay between these; the default holds where a level shows no variance.
 WEAKEST, STRONGEST, DEFAULT = 1.0, 1000.0, 10.0
 
@@ -49,14 +51,30 @@ def strength(children: DataFrame, n: str, k: str) -> DataFrame:
     return spread.select(F.coalesce(F.round(F.when(q > 0, F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), q / tau - 1))), 6), F.lit(DEFAULT)).alias("strength"))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def last_labels(host: Column, n) -> Column:
+    """The last n labels of a host, all if it has fewer."""
+    labels = F.split(host, r"\.")
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+
+def suffix_of(host: Column, suffixes=SUFFIXES) -> Column:
+    """The longest public suffix of several labels that the host ends with, else its last label."""
+    out = last_labels(host, F.lit(1))
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        own = last_labels(host, F.lit(n))
+        out = F.when(own.isin([s for s in suffixes if s.count(".") + 1 == n]), own).otherwise(out)
+    return out
+
+
+def reputations(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """host, n, k, rate and bound from rows (host, n, k), one or more per host; n labelled pages, k of them bad.
 
-    Hosts without labelled pages get their domain's prior.
+    Hosts without labelled pages get their domain's prior. A registered
+    domain is a public suffix and one label before it.
     """
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    labels = F.split("host", r"\.")
-    hosts = hosts.withColumns({"domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), "suffix": F.element_at(labels, -1)})
+    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes))
+    hosts = hosts.withColumn("domain", last_labels(F.col("host"), F.size(F.split("suffix", r"\.")) + 1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
     top = suffixes.agg(F.sum("sn").alias("tn"), F.sum("sk").alias("tk")).select(((F.col("tk") + 0.5) / (F.col("tn") + 1)).alias("top"))
@@ -70,26 +88,33 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return one(hosts.join(d, "domain"), strength(hosts, "n", "k")).select("host", "n", "k", (a / (a + b)).alias("rate"), (a / (a + b) - Z * sd).alias("bound"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, url_col: str = "url", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, url_col: str = "url", rules=RULES, threshold: float = THRESHOLD, suffixes=SUFFIXES) -> DataFrame:
     """Appends host, path, rule and verdict to every page.
 
     ``labels`` has doc_id, quality and toxic; a page's outcome is the label
     of the document that the last number of its path names, bad if quality
-    is 0 or toxic is 1 (repeated labels of a document: bad if any is).
-    Null urls and urls without ``://`` have empty host and path. Columns of
-    these names in ``pages`` are replaced.
+    is 0 or toxic is 1 (repeated labels of a document: bad if any is; null
+    ids label nothing). Repeated pages count each and each return. Of rules
+    that fit, the longest wins, of equally long ones the last by spelling. A
+    bound equal to the threshold doesn't block. Null urls and urls without
+    ``://`` have empty host and path; very long ones are read whole. An empty
+    table of pages stays empty; without labels only rules block. Columns of
+    the new names in ``pages`` are replaced, all others kept as they are.
     """
-    pages = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")])
-    url = F.col(url_col)
-    pages = pages.withColumns({"host": host_of(url), "path": path_of(url)})
+    added = ("host", "path", "rule", "verdict")
+    pages = pages.drop(*[c for c in pages.columns if c.lower() in added])
+    at = {c: f"own_{k}" for k, c in enumerate(pages.columns)}
+    url = F.col(at[url_col])
+    own = pages.toDF(*at.values()).withColumns({"host": host_of(url), "path": path_of(url)})
     bad = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("string").alias("number")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     # Pages first shrink to a row per host and number, so that a host of very many pages doesn't travel.
-    seen = pages.groupBy("host", F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1).alias("number")).agg(F.count("*").alias("pages"))
-    outcomes = seen.join(bad, "number", "left").select("host", F.when(F.col("bad").isNotNull(), F.col("pages")).otherwise(0).alias("n"), F.coalesce(F.col("pages") * F.col("bad"), F.lit(0)).alias("k"))
-    blocked = reputations(outcomes).where(F.col("bound") > threshold).select("host", F.lit("block").alias("said"))
+    seen = own.groupBy("host", F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1).alias("number")).agg(F.count("*").alias("pages"))
+    numbered = seen.where("number <> ''").join(bad, "number").select("host", F.col("pages").alias("n"), (F.col("pages") * F.col("bad")).alias("k"))
+    every = seen.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
+    blocked = reputations(numbered.unionByName(every), suffixes).where(F.col("bound") > threshold).select("host", F.lit("block").alias("said"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = pages.join(blocked, "host", "left").withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.col("said"), F.lit("allow"))})
-    return out.drop("said")
+    out = own.join(blocked, "host", "left").select(*at.values(), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("said"), F.lit("allow")).alias("verdict"))
+    return out.toDF(*at, *added)
 
 
 def oracle() -> str:
