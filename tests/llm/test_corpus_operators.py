@@ -77,6 +77,56 @@ def test_jaccard_very_long_texts(spark):
     assert got == {1: (149_996, 1), 2: (149_996, 1), 4: (2, 4)}
 
 
+def test_jaccard_long_lists_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 7)
+    monkeypatch.setattr(jaccard, "STARS", 0)
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()} == brute_components(rows)
+    clash = df.withColumns({c: F.lit("own") for c in ("keep_id", "keep_hash", "mark_id", "own_0", "fp", "th")})
+    kept = jaccard.representatives(clash)
+    assert kept.columns == clash.columns and {r.keep_hash for r in kept.collect()} == {"own"}
+    monkeypatch.setattr(jaccard, "MARK_BYTES", 0)
+    assert sorted(r.doc_id for r in jaccard.representatives(clash).collect()) == sorted(r.doc_id for r in kept.collect())
+
+
+def test_jaccard_repeated_rows_keep_the_same_one(spark):
+    df = spark.createDataFrame([(7, "a b c d e f", f"s{k}") for k in range(5)] + [(8, "a b c d e f", "x")], "doc_id long, text string, source string")
+    one = [tuple(r) for r in jaccard.representatives(df).collect()]
+    assert len(one) == 1 and one == [tuple(r) for r in jaccard.representatives(df.repartition(4)).collect()]
+
+
+def test_jaccard_leaves_no_scratch_tables(spark):
+    import glob
+
+    from plexframe import session
+
+    root = session.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(glob.glob(f"{root}/plexframe-*"))
+    with session.temporary():
+        assert jaccard.join(spark.createDataFrame(near_copies(), "doc_id long, text string")).count() == 248
+    assert set(glob.glob(f"{root}/plexframe-*")) == before
+
+
+def test_jaccard_signatures_never_lose_a_link(spark):
+    rnd = np.random.default_rng(16)
+    sets, links = [], []
+    for _ in range(200):
+        n = int(rnd.integers(1, 80))
+        a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[rnd.random(len(a)) < 0.92], rnd.integers(0, 2**63, int(rnd.integers(0, 5))).astype(np.uint64)])
+        if len(b):
+            sets += [a, b]
+            links.append(jaccard.linked(a, b))
+    rows = [(k, len(s), *(x for seed in jaccard.ORDERS for x in (lambda kept, rest: (kept.tolist(), rest))(*jaccard.signature(s, seed)))) for k, s in enumerate(sets)]
+    signed = spark.createDataFrame(rows, "fp long, n int, one array<int>, rest_one int, two array<int>, rest_two int")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(links))], "a long, b long")
+    kept = {r.a // 2 for r in jaccard.sifted(pairs, signed, 80).collect()}
+    assert {k for k, x in enumerate(links) if x} <= kept
+    other = spark.createDataFrame([(2 * k, (2 * k + 3) % len(sets)) for k in range(len(links))], "a long, b long")
+    assert jaccard.sifted(other, signed, 80).count() == 0
+
+
 def test_jaccard_prefix_never_loses_a_link():
     rnd = np.random.default_rng(6)
     for _ in range(300):
@@ -84,7 +134,11 @@ def test_jaccard_prefix_never_loses_a_link():
         a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.r_[a[rnd.random(len(a)) < 0.9], rnd.integers(0, 2**63, int(rnd.integers(0, 6))).astype(np.uint64)])
         both = len(np.intersect1d(a, b))
-        assert jaccard.linked(a, b) == (bool(both) and 100 * both >= 80 * (len(a) + len(b) - both))
+        link = bool(both) and 100 * both >= 80 * (len(a) + len(b) - both)
+        assert jaccard.linked(a, b) == link
+        for seed in jaccard.ORDERS if link else ():
+            one, other = (np.sort(jaccard.mix(x, seed))[: jaccard.prefix_size(len(x))] for x in (a, b))
+            assert len(np.intersect1d(one, other))
 
 
 def test_mixing_reaches_targets(spark):
@@ -104,10 +158,50 @@ def test_mixing_shares():
     assert mixing.shares([0, 10]) == pytest.approx([0.0, 10.0]) and mixing.shares([]) == [] and mixing.shares([0, 0]) == [0.0, 0.0]
 
 
+def greedy(rows, budget):
+    """The rows that a plain pass in key order takes: the first that doesn't fit ends it, and what is left goes to smaller rows behind."""
+    taken, left, most, floor = set(), budget, float("inf"), (-1, -1)
+    for _ in range(mixing.ROUNDS):
+        if left < 1 or floor is None:
+            break
+        bound = None
+        for h, g, size in sorted(rows):
+            if (h, g) <= floor or size > most:
+                continue
+            if size > left:
+                bound = (h, g)
+                break
+            taken.add((h, g))
+            left -= size
+        floor, most = bound, left
+    return taken
+
+
+@pytest.mark.parametrize("shift", [0, 48])
+def test_mixing_thresholds_against_a_greedy_pass(spark, shift):
+    """Keys spread out, and keys that agree in all but their last bits."""
+    rng = np.random.default_rng(20)
+    rows = [(k, int(s), int(h) >> shift, int(g)) for k in range(6) for s, h, g in zip(rng.integers(0, 60, 400), rng.integers(0, 1 << 60, 400), rng.integers(0, 1 << 60, 400))]
+    rows += [(6, 9, 5, g) for g in range(20)] + [(7, 0, 1, 1), (7, 5, 2, 2)]
+    budget = {k: float(b) for k, b in enumerate([1, 17, 500, 3000.5, 11_000, 10**6, 50, 5])}
+    df = spark.createDataFrame(rows, "mix_k int, mix_size long, mix_h long, mix_g long").repartition(5)
+    rules = {r.mix_k: r.mix_rules for r in mixing.thresholds(df, budget, Scratch(spark)).collect()}
+    for k, b in budget.items():
+        own = [(h, g, s) for j, s, h, g in rows if j == k]
+        assert {(h, g) for h, g, s in own if any((h, g) < (r.h, r.g) and s <= r.most for r in rules[k])} == greedy(own, b), k
+
+
+def test_mixing_plan_sorts_no_rows(spark):
+    rows = spark.createDataFrame([(0, 1, 2, 3, 4.0, 0)], "mix_k int, mix_size long, mix_h long, mix_g long, budget double, path long")
+    plan = mixing.histogram(rows, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, "a b c", "x")] * 300 + [(None, None, None)] * 3 + [(2, "q " * 50, "y"), (3, "", "y")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"Taken": F.lit("old"), "mix_h": F.lit(1)})
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"Taken": F.lit("old"), "mix_h": F.lit(1), "mix_mine": F.lit("kept"), "own_1": F.lit(2)})
     got = {r["source"]: (r["taken"], r["target"], r["copies"]) for r in mixing.plan(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("copies")).collect()}
+    assert {"mix_h", "mix_mine", "own_1"} <= set(mixing.plan(df).columns) and "Taken" not in mixing.plan(df).columns
     assert got[None] == (0, 0.0, 0) and abs(got["x"][0] - got["x"][1]) <= 3 and got["y"][0] == 150
     out = mixing.mix(df)
     assert out.columns == df.columns and out.where("source = 'y' AND doc_id = 2").count() == 3
@@ -153,7 +247,7 @@ def test_packing_by_islands(spark, monkeypatch):
     table = Scratch(spark).write(spark.createDataFrame([(k, s) for k, s in enumerate(sizes)] + [(0, sizes[0])], "id long, length long").withColumn("Offset", F.lit("old")).repartition(3))
     rows = packing.pack(table, 100).collect()
     assert sorted((r.id, r.length) for r in rows) == sorted([*enumerate(sizes), (0, sizes[0])])
-    assert 61 <= check_packed(rows, 100) <= 68
+    assert 60 <= check_packed(rows, 100) <= 62
     assert packing.pack(Scratch(spark).write(table.limit(0)), 100).count() == 0
 
 
@@ -176,6 +270,36 @@ def test_packing_whatever_partitions_are_read(spark, monkeypatch):
     check_packed(rows, 100)
 
 
+def fewest(sizes, capacity):
+    """The fewest bins, by trying all subsets."""
+    n = len(sizes)
+    best = [(0, 0)] + [None] * (2**n - 1)  # items taken: bins closed, room used of the last
+    for mask in range(1, 2**n):
+        options = []
+        for k in range(n):
+            if mask >> k & 1:
+                bins, used = best[mask ^ 1 << k]
+                options.append((bins, used + sizes[k]) if bins and used + sizes[k] <= capacity else (bins + 1, sizes[k]))
+        best[mask] = min(options)
+    return best[-1][0]
+
+
+def test_packing_against_all_packings():
+    rng = np.random.default_rng(21)
+    for _ in range(40):
+        sizes = np.sort(rng.integers(1, 14, 9))[::-1]
+        assert packing.evolve(sizes, [], 20, seed=3).max() + 1 == fewest(sizes.tolist(), 20)
+
+
+def test_packing_triplets_within_one_percent():
+    rng = np.random.default_rng(22)
+    sizes = [x for a, b in rng.integers(1100, 1500, (1000, 2)).tolist() for x in (a, b, 4096 - a - b)]
+    sizes = np.sort(np.array(sizes))[::-1]
+    best = packing.evolve(sizes, [], 4096, seed=1)
+    assert (np.bincount(best, weights=sizes) <= 4096).all() and len(packing.best_fit(sizes, 4096)) == 3000
+    assert best.max() + 1 <= 1010 < max(packing.best_fit(sizes, 4096)) + 1
+
+
 def test_packing_kernels():
     rng = np.random.default_rng(8)
     for _ in range(30):
@@ -184,6 +308,8 @@ def test_packing_kernels():
         best = packing.evolve(sizes, [], 100, seed=1)
         assert (np.bincount(best, weights=sizes) <= 100).all()
         assert packing.lower_bound(sizes, 100) <= best.max() + 1 <= first.max() + 1
+        filled = packing.exact_fill(sizes, 100, rng)
+        assert (filled >= 0).all() and (np.bincount(filled, weights=sizes) <= 100).all()
         child = packing.crossover(first, best, sizes, 100, rng)
         assert (child >= 0).all() and (np.bincount(child, weights=sizes) <= 100).all()
 
@@ -208,6 +334,31 @@ def test_neighbours_recall_and_scores(spark):
     assert len(by) == sum(i % 20 == 0 for i in table) and hit >= 0.9 * 20 * len(by)
 
 
+def test_neighbours_leaves_grow_with_the_rows(spark, monkeypatch):
+    for name, value in (("SAMPLE_ROWS", 400), ("LEAF_ROWS", 60), ("SPLIT_SAMPLE", 300)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(6000, 8)) + 6 * rng.normal(size=(12, 8))[rng.integers(0, 12, 6000)]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    index = rows.selectExpr("vec_id AS id", "embedding AS v")
+    tree = neighbours.fit(x[:400], float((x * x).sum(1).max()), 12)
+    leaf = tree.assign(x)
+    counts = {int(k): int((leaf == k).sum()) for k in np.unique(leaf)}
+    of = spark.createDataFrame([(k, int(v)) for k, v in enumerate(leaf)], "id long, leaf int")
+    grown = neighbours.deepen(tree, index.join(of, "id"), counts)
+    sizes = np.unique(grown.assign(x), return_counts=True)[1]
+    assert len(sizes) > 60 and sizes.sum() == 6000 and sizes.max() < max(counts.values()) / 3
+    got = collections.defaultdict(set)
+    for r in neighbours.search(rows, rows.where("vec_id % 100 = 0"), k=10).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(found & set(np.argsort(-score)[:10].tolist()))
+    assert len(got) == 60 and hit >= 0.9 * 600
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(i, [1.0, 2.0]) for i in range(40)] + [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [1.0, None]), (180, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
@@ -242,6 +393,78 @@ def test_chat_links(spark):
     assert chat.link(df.limit(0)).count() == 0
 
 
+def brute_chat(rows):
+    """(turn, n_calls, n_linked, n_invalid) by plain loops over parsed messages."""
+    def parsed(role, text):
+        try:
+            x = json.loads(text or "")
+        except ValueError:
+            return None
+        return x if isinstance(x, dict) and role in ("assistant", "tool") else None
+
+    known = {name: (set(s["properties"]), s["required"]) for name, s in chat.TOOLS.items()}
+    calls, results = collections.defaultdict(list), set()
+    for conv, turn, role, text in rows:
+        x = parsed(role, text) or {}
+        for c in x.get("tool_calls", []) if role == "assistant" else []:
+            if c.get("id") is not None:
+                calls[conv, c["id"]].append(turn)
+        if role == "tool" and x.get("tool_call_id") is not None:
+            results.add((conv, x["tool_call_id"]))
+    out = []
+    for conv, turn, role, text in rows:
+        x = parsed(role, text) or {}
+        own = x.get("tool_calls", []) if role == "assistant" else []
+        bad = sum(not (c["name"] in known and set(c["arguments"]) <= known[c["name"]][0] and set(known[c["name"]][1]) <= set(c["arguments"]) and all(isinstance(c["arguments"][k], str) for k in known[c["name"]][1])) for c in own)
+        sort = turn
+        if role == "tool" and x.get("tool_call_id") is not None:
+            hit = calls.get((conv, x["tool_call_id"]))
+            out.append((conv, max([turn, min(hit)]) if hit else sort, 0, int(bool(hit)), 0))
+        else:
+            out.append((conv, sort, len(own), sum((conv, c.get("id")) in results for c in own), bad))
+    return sorted(out)
+
+
+def test_chat_against_brute_force(spark):
+    rnd = random.Random(14)
+    rows = []
+    for k in range(600):
+        conv, turn, name = rnd.randrange(25), rnd.randrange(30), rnd.choice(["search", "calculator", "nope"])
+        if k % 3 == 0:
+            own = [{k: v for k, v in {"id": rnd.choice(["a", "b", "c", None]), "name": name, "arguments": rnd.choice([{"query": "q"}, {"expression": "1"}, {"query": 3}, {}, {"expression": "x", "more": 1}])}.items() if v is not None} for _ in range(rnd.randrange(1, 4))]
+            rows.append((conv, turn, "assistant", json.dumps({"content": "c", "tool_calls": own})))
+        elif k % 3 == 1:
+            rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rnd.choice("abcd"), "content": "r"})))
+        else:
+            rows.append((conv, turn, "user", rnd.choice(["hello", "{}", '{"tool_calls":[]}'])))
+    rows += rows[:5] + [(7, 400 + k, "tool", '{"tool_call_id":"a"}') for k in range(300)]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    assert sorted((r.conv_id, r.sort_turn, r.n_calls, r.n_linked, r.n_invalid) for r in got.collect()) == brute_chat(rows)
+
+
+def test_chat_keeps_text_behind_json_and_counts_every_call(spark):
+    call = '{"name":"search","arguments":{"limit":1}}'
+    whole = '{"content":"c","tool_calls":[' + call + "]}"
+    cases = {whole: True, whole + " \n": True, whole + "x": False, whole + ',"b":1': False, whole + "}": False, whole + ',"a":2': False, whole + ',"z":"s"}': False, "{": False, whole + whole: False}
+    df = spark.createDataFrame(list(cases.items()), "text string, ok boolean")
+    assert df.where(chat.whole_object(F.col("text")) != F.col("ok")).collect() == []
+    rows = [(1, 0, "assistant", whole + " trailing junk"), (1, 1, "assistant", f'{{"tool_calls":[{call},{call},{call}]}}'), (1, 2, "assistant", '{"tool_calls":[{"arguments":{}}]}')]
+    got = {r.turn: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert json.loads(got[0].json) == {"content": rows[0][3], "role": "assistant"} and got[0].n_calls == 0
+    assert (got[1].n_calls, got[1].n_invalid, got[1].n_linked) == (3, 3, 0)
+    assert json.loads(got[2].json)["tool_calls"] == [{"arguments": {}}]
+
+
+def test_chat_schemas(spark):
+    cases = [
+        ("get_weather", {"city": "x", "unit": "celsius"}, True), ("get_weather", {"city": "x", "unit": "kelvin"}, False),
+        ("search", {"query": "q", "filters": ["a", "b"]}, True), ("search", {"query": "q", "filters": ["a", 1]}, False), ("search", {"query": "q", "filters": "a"}, False), ("search", {"query": "q", "filters": []}, True),
+        ("fetch", {"url": "u", "retry": {"times": 2}}, True), ("fetch", {"url": "u", "retry": {"times": "2"}}, False), ("fetch", {"url": "u", "retry": {}}, False), ("fetch", {"url": "u", "headers": {"any": 1}}, True),
+    ]
+    df = spark.createDataFrame([(n, json.dumps(a), ok) for n, a, ok in cases], "name string, arguments string, ok boolean")
+    assert df.where(chat.valid(F.col("name"), F.col("arguments")) != F.col("ok")).collect() == []
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
@@ -268,6 +491,18 @@ def test_reputation_rules_and_bounds(spark):
     assert reputation.judge(df.limit(0), labels).count() == 0
 
 
+def test_reputation_clashing_columns_and_suffixes(spark):
+    pages = [(k, f"http://{'bad' if k % 2 else 'good'}.co.uk/x/{k}") for k in range(60)] + [(100, "http://www.bad.co.uk/"), (101, "http://www.good.co.uk/")]
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumns({c: F.lit("own") for c in ("said", "number", "n", "bound", "Rule")})
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    out = reputation.judge(df, labels, suffixes=("co.uk",))
+    assert out.columns == ["page_id", "url", "said", "number", "n", "bound", "host", "path", "rule", "verdict"]
+    got = {r.page_id: r for r in out.collect()}
+    assert got[100].said == "own" and got[100].verdict == "block" and got[101].verdict == "allow"
+    names = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.uk",), ("",)], "host string").select(reputation.suffix_of(F.col("host"), ("co.uk",))).collect()
+    assert [r[0] for r in names] == ["co.uk", "co.uk", "uk", ""]
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     import corpus_pipeline as P
 
