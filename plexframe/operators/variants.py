@@ -137,3 +137,9 @@ def best_class(probabilities: list[str], least: float) -> Column:
 def to_intervals(records: DataFrame, left: int, right: int) -> DataFrame:
     """contig, start, stop around each record's reference allele."""
     return records.select("contig", F.greatest(F.col("pos") - left, F.lit(0)).alias("start"), (F.col("pos") + F.length("ref") + right).alias("stop"))
+
+
+def tumor_fraction(sites: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sites, fraction: twice the mean allele fraction, the alternative's count less half of the other alternatives'."""
+    adjusted = F.greatest(F.col("alt") - F.col("other") / 2, F.lit(0.0)) / F.col("depth")
+    return sites.where("depth > 0").groupBy(*keys).agg(F.count("*").alias("sites"), (2 * F.avg(adjusted)).alias("fraction"))

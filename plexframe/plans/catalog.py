@@ -1,4 +1,4 @@
 """Registered queries over the driver tables, and their SQL."""
 
-from plexframe.plans import copy_queries, demux_queries, interval_queries, read_queries  # noqa: F401
+from plexframe.plans import copy_queries, demux_queries, filter_queries, interval_queries, read_queries  # noqa: F401
 from plexframe.plans.views import QUERIES, SQL  # noqa: F401
