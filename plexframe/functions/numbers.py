@@ -96,3 +96,31 @@ def metric_suffix(n) -> Column:
     n = _col(n)
     form = lambda d, s: F.concat(F.format_number(F.round(n / d, 1), 1), F.lit(s))
     return F.when(n >= 1e9, form(1e9, "G")).when(n >= 1e6, form(1e6, "M")).when(n >= 1e3, form(1e3, "k")).otherwise(n.cast("string"))
+
+
+def genotype_quality(p) -> Column:
+    """The Phred score of a probability, rounded."""
+    return F.round(phred_of_probability(p)).cast("int")
+
+
+def variant_quality(probabilities: list[str]) -> Column:
+    """The Phred score, to two places, of any class but the first (the reference); negative probabilities don't count."""
+    total = sum((F.greatest(F.col(p), F.lit(0.0)) for p in probabilities[1:]), F.lit(0.0))
+    return F.round(phred_of_probability(total), 2)
+
+
+def window_bounds(pos, length, half: int = 100) -> Column:
+    """(start, stop) of the bases within ``half`` of a position, clipped to the sequence."""
+    p, n = _col(pos), _col(length)
+    return F.struct(F.greatest(p - half, F.lit(0)).alias("start"), F.least(p + half + 1, n).alias("stop"))
+
+
+#: The digits of compact identifiers, in order.
+DIGITS_64 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+_"
+
+
+def base64_of(n) -> Column:
+    """An unsigned 32-bit number as six digits to base 64, the most significant first."""
+    v = _col(n).cast("long")
+    digit = lambda k: F.substring(F.lit(DIGITS_64), F.shiftright(v, 6 * k).bitwiseAND(63).cast("int") + 1, F.lit(1))
+    return F.concat(*[digit(k) for k in range(5, -1, -1)])

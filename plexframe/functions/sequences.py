@@ -186,3 +186,61 @@ def duplex_error_rate(yc) -> Column:
     c = yc_counts(yc)
     n = c["concordant"] + c["discordant"]
     return F.when(n > 0, c["discordant"] / n)
+
+
+# Contexts and homopolymers of a reference sequence; positions count from 0.
+
+
+def context(seq, pos) -> Column:
+    """The bases before and after a position; empty at the ends and beside other characters than ACGT."""
+    s, p = _col(seq), _col(pos)
+    two = F.concat(F.substring(s, p, F.lit(1)), F.substring(s, p + 2, F.lit(1)))
+    return F.when((p > 0) & (p + 1 < F.length(s)) & two.rlike("^[ACGT]{2}$"), two).otherwise("")
+
+
+def context_index(two) -> Column:
+    """1-16 for the pairs of bases in order, 17 for an empty context, null for others."""
+    t = _col(two)
+    out = F.when(t == "", F.lit(17))
+    for k, (a, b) in enumerate((a, b) for a in "ACGT" for b in "ACGT"):
+        out = out.when(t == a + b, F.lit(k + 1))
+    return out
+
+
+def homopolymer_over(seq, pos, least: int) -> Column:
+    """The start of the run of equal bases over a position if it is at least ``least`` long, else null."""
+    s, p = _col(seq), _col(pos)
+    base = F.substring(s, p + 1, F.lit(1))
+    before = F.length(F.regexp_extract(F.reverse(F.substring(s, F.lit(1), p + 1)), r"^(.)\1*", 0))
+    after = F.length(F.regexp_extract(F.substring(s, p + 1, F.length(s)), r"^(.)\1*", 0))
+    run = before + after - 1
+    return F.when((p >= 0) & (p < F.length(s)) & (base != "") & (run >= least) & F.lit(least >= 2), p + 1 - before)
+
+
+def numeric(value, kind: str) -> Column:
+    """A feature as a double by its kind: number, boolean, genotype, context, sequence or text length."""
+    v = _col(value)
+    return {"number": lambda: v.cast("double"), "boolean": lambda: v.cast("int").cast("double"), "genotype": lambda: genotype_number(v).cast("double"), "context": lambda: context_index(v).cast("double"), "sequence": lambda: two_bit(v), "length": lambda: F.length(v).cast("double")}[kind]()
+
+
+def unpacked_bases(packed, n) -> Column:
+    """``n`` bases from bytes that hold four each, the first in the highest bits (A C G T = 0 1 2 3)."""
+    return _unpacked(packed, n, "ACGT")
+
+
+def unpacked_qualities(packed, n) -> Column:
+    """``n`` binned qualities from bytes that hold four each: the characters + 5 ? I."""
+    return _unpacked(packed, n, "+5?I")
+
+
+def _unpacked(packed, n, letters: str) -> Column:
+    h = F.hex(_col(packed))  # two bases to a digit
+    pairs = [a + b for a in letters for b in letters]
+    digits = F.transform(F.split(h, ""), lambda d: F.element_at(F.array(*map(F.lit, pairs)), F.conv(d, 16, 10).cast("int") + 1))
+    return F.substring(F.array_join(digits, ""), F.lit(1), _col(n).cast("int"))
+
+
+def unsupported_names(names: list[str], supported: set[str], prefixes: tuple[str, ...] = ()) -> list[str]:
+    """The requested names that aren't supported, with or without one of the prefixes, in their order."""
+    plain = lambda x: next((x[len(p) :] for p in prefixes if x.startswith(p)), x)
+    return [x for x in names if x not in supported and plain(x) not in supported]

@@ -567,3 +567,184 @@ def denoise_panel(panel: DataFrame, keys: list[str], sample: str, value: str, co
         each = rows.crossJoin(wide)  # MAX_SAMPLES rows at most, as the output has
     value_of = F.aggregate(F.zip_with("row", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return each.select(*keys, "k", value_of.alias(value)).join(number, "k").select(sample, *keys, value)
+
+
+# Segments, grids and whole pipelines.
+
+
+def aligned_coverage(tumor: DataFrame, normal: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, tumor, normal of the normal's rows in its intervals; a normal interval that the tumor lacks is an error when read."""
+    out = normal.select(*keys, F.col(value).alias("normal")).join(tumor.select(*keys, F.col(value).alias("tumor")), keys, "left")
+    return out.withColumn("tumor", F.when(F.col("tumor").isNull(), F.raise_error("an interval of the normal is missing in the tumor").cast("double")).otherwise(F.col("tumor")))
+
+
+def midpoints(segments: DataFrame, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
+    """Neighbouring segments meet halfway: prev_stop + (start - prev_stop) / 2, a whole number."""
+    w = Window.partitionBy(*keys).orderBy("start", "stop")
+    half = lambda a, b: F.expr(f"{a} + ({b} - {a}) div 2")
+    out = segments.withColumns({"before": F.lag("stop").over(w), "after": F.lead("start").over(w)})
+    return out.withColumns({"new_start": F.coalesce(half("before", "start"), "start"), "new_stop": F.coalesce(half("stop", "after"), "stop")}).withColumns({"start": F.col("new_start"), "stop": F.col("new_stop")}).drop("before", "after", "new_start", "new_stop")
+
+
+def break_by(outer: list[dict], inner: list[dict], starts: np.ndarray, ends: np.ndarray) -> list[dict]:
+    """Splits each outer segment where its inner segments meet, at an edge of the observations (starts, ends) that lie in it.
+
+    The break between two inner segments goes before the first observation
+    (but the outer segment's first) that ends at or behind the point halfway
+    between them; an inner segment that would hold no observation joins the
+    next one. Outer segments without an inner one are left out.
+    """
+    out = []
+    for seg in outer:
+        own = [x for x in inner if x["contig"] == seg["contig"] and x["start"] < seg["stop"] and x["stop"] > seg["start"]]
+        if not own:
+            continue
+        at = np.flatnonzero((starts < seg["stop"]) & (ends > seg["start"]))
+        begin, done = seg["start"], at[0] if len(at) else 0
+        for a, b in zip(own, own[1:]):
+            middle = (a["stop"] + b["start"]) // 2
+            cut = next((k for k in at[1:] if ends[k] >= middle), None)
+            if cut is None or cut <= done:
+                continue
+            out.append({"contig": seg["contig"], "start": int(begin), "stop": int(ends[cut - 1])})
+            begin, done = starts[cut], cut
+        out.append({"contig": seg["contig"], "start": int(begin), "stop": int(seg["stop"])})
+    return out
+
+
+#: The grid's first purity, step and number of steps, and the same of ploidy.
+PURITY_GRID, PLOIDY_GRID = (0.15, 0.01, 80), (1.4, 0.1, 46)
+
+
+def grid_axis(axis: tuple[float, float, int]) -> list[float]:
+    first, step, n = axis
+    return [round(first + step * k, 6) for k in range(n)]
+
+
+def grid_best(grid: DataFrame, value: str = "loglik") -> DataFrame:
+    """The grid's best row; of equal ones that of the least ploidy, then the least purity."""
+    return grid.orderBy(F.desc(value), "ploidy", "purity").limit(1)
+
+
+def joint_grid(segments: DataFrame, log_ratio: str, sd: float, baf: str, baf_sd: float, purities: list[float], ploidies: list[float], most: int = 7, diploid_prior: bool = True) -> DataFrame:
+    """purity, ploidy, logr, baf, joint: per grid point the segments' best total copies by log ratio (two copies count double in the prior), then the best minor copies of these by allele fraction, of doubled deviation; sums of log densities.
+
+    A segment without a fraction adds its log ratio's likelihood alone. Each
+    segment is expanded by the grid of constants; sums combine on the map side.
+    """
+    n = most + 1
+    prior = lambda k: math.log((2.0 if k == 2 else 1.0) / (n + 1)) if diploid_prior else 0.0
+    axes = F.explode(F.array(*map(F.lit, purities))).alias("purity"), F.explode(F.array(*map(F.lit, ploidies))).alias("ploidy")
+    cells = segments.select(log_ratio, baf, axes[0]).select("*", axes[1])
+    expected = lambda k: F.greatest(expected_log_ratio(float(k), "purity", "ploidy"), F.lit(FLOOR))
+    by_ratio = F.array(*[F.struct((log_student_pdf(log_ratio, expected(k), F.lit(sd)) + prior(k)).alias("l"), F.lit(-k).alias("k")) for k in range(n)])
+    cells = cells.withColumn("b", F.array_max(by_ratio)).withColumns({"logr": F.col("b.l"), "tcn": -F.col("b.k")})
+    by_baf = [F.when(F.lit(2 * m) <= F.col("tcn"), log_student_pdf(baf, expected_baf(F.col("tcn"), F.lit(float(m)), "purity"), F.lit(2 * baf_sd))) for m in range(most // 2 + 1)]
+    cells = cells.withColumn("lb", F.when(F.col(baf).isNotNull(), F.greatest(*by_baf)))
+    return cells.groupBy("purity", "ploidy").agg(F.sum("logr").alias("logr"), F.coalesce(F.sum("lb"), F.lit(0.0)).alias("baf"), F.sum(F.col("logr") + F.coalesce("lb", F.lit(0.0))).alias("joint"))
+
+
+def weighted_baf_sd(sites: DataFrame, keys: list[str], ref: str, alt: str, mean: str) -> DataFrame:
+    """keys, sd of the mirrored fraction about a mean: weighted by the root of the depth, the weights' sum less one below."""
+    n = F.col(ref) + F.col(alt)
+    w = F.sqrt(n)
+    away = F.pow(F.least(ref, alt) / n - F.col(mean), 2)
+    return sites.where(n > 0).groupBy(*keys).agg(F.sqrt(F.sum(w * away) / (F.sum(w) - 1)).alias("sd"))
+
+
+def mean_segment_sd(observations: DataFrame, segment: list[str], value: str, autosome: Column) -> DataFrame:
+    """One row ``sd``: the mean over autosomal segments of their observations' sample deviation; a segment without one is an error."""
+    each = observations.where(autosome).groupBy(*segment).agg(F.stddev_samp(value).alias("sd"))
+    return each.agg(F.avg(F.when(F.col("sd").isNull() | F.isnan("sd"), F.raise_error("a segment has no deviation").cast("double")).otherwise(F.col("sd"))).alias("sd"))
+
+
+def seeds(segments: DataFrame, sex: str, mode: str) -> DataFrame:
+    """The seed segments (contig, allosome, par) of a sex and mode.
+
+    Unknown sex: no allosome. Female: no Y. Male: germline without Y's PAR,
+    somatic without Y and without X but its PAR.
+    """
+    y = F.col("contig").isin("chrY", "Y")
+    gone = {"unknown": F.col("allosome"), "female": F.col("allosome") & y}.get(sex)
+    if gone is None:
+        gone = F.col("allosome") & (y & F.col("par") if mode == "germline" else y | ~F.col("par"))
+    return segments.where(~gone)
+
+
+def index_sex(counts: DataFrame, x: str = "chrX", y: str = "chrY") -> DataFrame:
+    """One row: reads of X over reads of Y from an index's counts (contig, reads), and the sex; no read of either is unknown, none of Y female."""
+    of = lambda c: F.coalesce(F.sum(F.when(F.lower("contig").isin(c.lower(), c.lower().removeprefix("chr")), F.col("reads"))), F.lit(0))
+    out = counts.agg(of(x).alias("x"), of(y).alias("y"))
+    ratio = F.when(F.col("y") > 0, F.col("x") / F.col("y")).when(F.col("x") > 0, F.lit(float("inf")))
+    return out.select("x", "y", sex_of_ratio(ratio).alias("sex"))
+
+
+def call_metrics(segments: DataFrame, somatic: bool) -> DataFrame:
+    """metric, value: segments by status, all and passing ones (status, filter)."""
+    kinds = ["gain", "loss", "cnLOH", "gainLOH"] if somatic else ["gain", "loss"]
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    good = F.col("filter") == "PASS"
+    cells = {"segments": F.count("*")} | {k: n(F.col("status") == k) for k in kinds} | {f"passing {k}": n((F.col("status") == k) & good) for k in kinds}
+    row = segments.agg(*[c.alias(name) for name, c in cells.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"`{name}`").alias("value")) for name in cells])).alias("x")).select("x.*")
+
+
+#: The purity from which doubling is looked for, the fewest deletions, their copies and largest mirrored fraction, the peaks' distance, the bandwidth's factor.
+DOUBLING = {"purity": 0.3, "segments": 5, "copies": (0.9, 1.1), "mbaf": 0.45, "apart": 0.1, "bandwidth": 1.1}
+
+
+def doubled(mbafs: np.ndarray, purity: float, points: int = 512) -> bool:
+    """Whether candidate one-copy segments' mirrored fractions have two peaks far enough apart, as in a doubled genome."""
+    if purity < DOUBLING["purity"] or len(mbafs) < DOUBLING["segments"]:
+        return False
+    width = max(DOUBLING["bandwidth"] * mbafs.std(ddof=1) * len(mbafs) ** -0.2, 1e-3)
+    grid = np.linspace(0, 1, points)
+    density = np.exp(-0.5 * ((grid[:, None] - mbafs) / width) ** 2).sum(1)
+    peaks = sorted(local_maxima(density), key=lambda k: -density[k])[:2]
+    return len(peaks) == 2 and abs(grid[peaks[0]] - grid[peaks[1]]) > DOUBLING["apart"]
+
+
+def deletion_candidates(segments: DataFrame, autosome: Column, purity: float, ploidy: float, least: int = 11) -> DataFrame:
+    """Segments (mean_log_ratio, n, snps, mbaf, dense) that look like one clonal copy."""
+    low, high = DOUBLING["copies"]
+    copies = copies_of_log_ratio("mean_log_ratio", F.lit(purity), F.lit(ploidy))
+    return segments.where(autosome & (F.col("n") >= least) & (F.col("snps") >= least) & F.col("dense") & copies.between(low, high) & (F.col("mbaf") < DOUBLING["mbaf"]))
+
+
+def two_rounds(ratios: DataFrame, shifts: DataFrame, keys: list[str], order: str, value: str, undo_factor: float = 1.0) -> DataFrame:
+    """keys, first, last, n, mean, median of segments by log ratio, each segmented once more by the heterozygosity shifts inside it.
+
+    Both rounds work on one key's ordered signal at a time; a segment without
+    a break of its shifts stays as it is.
+    """
+    one = segment(ratios, keys, order, value, undo_factor).withColumn("outer", F.col("first"))
+    at = [F.col(k) for k in keys]
+    inside = shifts.alias("s").join(one.select(*at, "first", "last", "outer").alias("o"), keys).where((F.col("s." + order) >= F.col("o.first")) & (F.col("s." + order) <= F.col("o.last"))).select(*keys, "outer", F.col("s." + order).alias(order), F.col("s." + value).alias(value))
+    two = segment(inside, [*keys, "outer"], order, value, undo_factor)
+    parts = two.groupBy(*keys, "outer").agg(F.count("*").alias("parts"))
+    whole = one.join(parts, [*keys, "outer"], "left").where("parts IS NULL OR parts = 1").select(*keys, "outer", "first", "last")
+    split = two.join(parts, [*keys, "outer"]).where("parts > 1").select(*keys, "outer", "first", "last")
+    cut = whole.unionByName(split)
+    stats = cut.alias("c").join(ratios.alias("r"), keys).where((F.col("r." + order) >= F.col("c.first")) & (F.col("r." + order) <= F.col("c.last"))).groupBy(*keys, "first", "last").agg(F.count("*").alias("n"), F.avg("r." + value).alias("mean"))
+    return cut.select(*keys, "first", "last").join(stats, [*keys, "first", "last"], "left")
+
+
+def genome_intervals(lengths: DataFrame, blocked: DataFrame, track: DataFrame, gc_of: DataFrame, size: int, autosome: Column, least_autosome: float, least_allosome: float) -> DataFrame:
+    """contig, start, stop, mappability, gc: windows of ``size`` over contigs less the blocked and the unmappable stretches.
+
+    Contigs, less blocked regions, less where the track (contig, start, stop,
+    score) is 0 or absent, are cut into windows; those mappable enough and
+    whole stay, of moderate GC (``gc_of`` has contig, start, stop, gc).
+    """
+    from plexframe.operators import filters as L, intervals as I
+
+    whole = lengths.where(I.canonical(F.col("contig").cast("string"))).select("contig", F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("stop")).withColumn("key", F.col("contig").cast("string"))
+    left = I.subtract(whole, blocked.select("contig", "start", "stop"), "key")
+    unmapped = I.complement(track.where("score > 0").select("contig", "start", "stop"), lengths)
+    left = I.subtract(left.withColumn("key", F.concat_ws(":", "contig", "start")), unmapped, "key").drop("key")
+    windows = I.split_windows(left, size).where(F.col("stop") - F.col("start") >= size)
+    good = L.mappable(windows, track.select("contig", "start", "stop", "score"), autosome, least_autosome, least_allosome)
+    at = ["contig", "start", "stop"]
+    shared = F.least("stop", "r_stop") - F.greatest("start", "r_start")
+    gc = I.range_join(good.select(*at), gc_of.select(*at, "gc")).groupBy(*at).agg((F.sum(shared * F.col("r_gc")) / F.sum(shared)).alias("gc"))
+    return good.join(gc, at).where(L.moderate_gc(F.col("gc"))).select(*at, "mappability", "gc")
