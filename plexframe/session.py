@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +63,10 @@ def temporary() -> Iterator[None]:
         release(start)
 
 
+#: Bytes that a writer of a scratch table holds back for one row group.
+ROW_GROUP = 8 << 20
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -77,7 +82,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self._path(name)
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         return self._read(path, df.schema)
 
     def split(self, df: DataFrame, by: str, kinds: dict[int, list[str]], name: str = "t") -> list[DataFrame]:
@@ -86,7 +91,7 @@ class Scratch:
         before = self.spark.conf.get(conf)
         self.spark.conf.set(conf, str(len(kinds)))  # a file per kind is open at once, so rows needn't be sorted by kind
         try:
-            df.write.partitionBy(by).parquet(path)
+            df.write.option("parquet.block.size", ROW_GROUP).partitionBy(by).parquet(path)
         finally:
             self.spark.conf.set(conf, before)
         out = []
@@ -106,6 +111,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def settle(self) -> None:
+        """Has the driver collect its garbage: executors delete shuffle files only once their plans are found unreachable."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that ``write`` returned and nothing reads any more; others are left alone."""
         for df in tables:
