@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plexframe.llm.batches import lean, slices
+from plexframe.llm.batches import lean, slices, tidy
 from plexframe.llm.shingles import WIDTH, fingerprint, mix, shingle_hashes, shingle_sets
 from plexframe.operators.components import connected_components
 from plexframe.session import Scratch
@@ -44,14 +44,14 @@ MIN_BITS, MAX_BITS, BLOCK_BITS = 16, 27, 16
 #: Seeds of the further orders.
 ORDERS = (101, 202)
 #: Classes that a task remembers, so as to post equal sets once.
-SEEN = 500_000
+SEEN = 200_000
 GROUP_PAIRS, HUB_PAIRS = 2_000, 500
 #: Rounds against hubs; pairs of the first band behind them, or 2 % of all that are left.
 STARS, BAND_PAIRS = 3, 10_000
 #: Postings of a shingle that one task pairs with as many others; a longer list is cut into blocks.
 LIST = 500
-#: Bytes of marked rows that are broadcast at most; more are joined by a shuffle.
-MARK_BYTES = 32 << 20
+#: Bytes of marked rows that are broadcast at most, and pairs or labels (16 bytes each); more are joined by a shuffle.
+MARK_BYTES, SMALL = 32 << 20, 1_000_000
 FAN_IN = 1024
 #: Text bytes that are shingled at once: the hashes take some twenty times as much.
 SHINGLE_BYTES = 2 << 20
@@ -90,7 +90,6 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, int]
     def count(batches):
         from pyspark import TaskContext
 
-        lean()
         part = TaskContext.get().partitionId()
         held, n = [], 0
 
@@ -134,7 +133,7 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, int]
         level = _level(sum(_large(np.frombuffer(v, np.uint8)) for v in table["counts"].to_pylist()))
         return pa.table({"block": table["block"][:1], "levels": pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())})
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "block int, part int, one binary, two binary, three binary")
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(count), "block int, part int, one binary, two binary, three binary")
     sums = parts.groupBy("block", "part").applyInArrow(add, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, levels binary").toArrow()
     out = np.zeros(1 << bits >> 1, np.uint8)
     for k, v in zip(sums["block"].to_pylist(), sums["levels"].to_pylist(), strict=True):
@@ -192,7 +191,6 @@ def _post(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits:
     schema = {"kind": pa.int32(), "doc_id": None, "th": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "token": pa.int64(), "pos": pa.int32(), "text": pa.string(), "one": ints, "rest_one": pa.int32(), "two": ints, "rest_two": pa.int32()}
 
     def run(batches):
-        lean()
         table, bits = handle.value
         seen: set[int] = set()
 
@@ -234,14 +232,21 @@ def _post(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, bits:
                     yield made(2, len(k), id_kind, n=size[k], fp=fps[k], text=batch.column("text").take(pa.array(k)).cast(pa.string()), **lists)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"kind int, doc_id {id_type}, th long, n int, fp long, token long, pos int, text string, one array<int>, rest_one int, two array<int>, rest_two int")
+    return rows.mapInArrow(tidy(run), f"kind int, doc_id {id_type}, th long, n int, fp long, token long, pos int, text string, one array<int>, rest_one int, two array<int>, rest_two int")
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, broadcast if it has no more than SMALL rows, so that texts stay where they are."""
+    return F.broadcast(table) if rows <= SMALL else table
 
 
-def sifted(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def sifted(pairs: DataFrame, signed: DataFrame, percent: int, n_pairs: int) -> DataFrame:
     """The pairs (a, b) whose prefixes under every further order leave room for enough overlap."""
     fields = ("n", "one", "rest_one", "two", "rest_two")
     of = lambda c: signed.select(F.col("fp").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in fields])
-    out = pairs.join(of("b"), "b").join(of("a"), "a")
+    # The signatures of either side are picked by the pairs first, then the two halves meet.
+    half = lambda c: of(c).join(small(pairs, n_pairs), c)
+    out = half("a").join(half("b"), ["a", "b"])
     for order in ("one", "two"):
         out = out.withColumn("shared", F.size(F.array_intersect(f"a_{order}", f"b_{order}"))).where(F.expr(f"shared > 0 AND (shared + CAST(greatest(a_rest_{order}, b_rest_{order}) AS long)) * {100 + percent} >= {percent}L * (CAST(a_n AS long) + b_n)"))
     return out.select("a", "b")
@@ -268,9 +273,9 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, n_pairs
     """
     groups = max(1, n_pairs // GROUP_PAIRS)
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-    salted = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / HUB_PAIRS))).withColumn("bucket", F.pmod(F.xxhash64("a", "salt"), F.lit(groups)))
-    other = salted.join(texts.select(F.col("fp").alias("b"), "text"), "b").select("bucket", "a", "b", "text")
-    hub = salted.select("bucket", "a").distinct().join(texts.select(F.col("fp").alias("a"), "text"), "a").select("bucket", "a", F.lit(None).cast("long").alias("b"), "text")
+    salted = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / HUB_PAIRS))).withColumn("bucket", F.pmod(F.xxhash64("a", "salt"), F.lit(groups))).select("bucket", "a", "b")
+    other = texts.select(F.col("fp").alias("b"), "text").join(small(salted, n_pairs), "b").select("bucket", "a", "b", "text")
+    hub = texts.select(F.col("fp").alias("a"), "text").join(small(salted.select("bucket", "a").distinct(), n_pairs), "a").select("bucket", "a", F.lit(None).cast("long").alias("b"), "text")
 
     def run(table: pa.Table) -> pa.Table:
         lean()
@@ -294,20 +299,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows, posts, posted = scratch.split(_post(docs, id_col, text_col, table, bits, width, percent), "kind", _KINDS, "posted")
     held = scratch.write(_shared_lists(posts.withColumn("c", F.col("fp"))).dropDuplicates(["token", "fp"]), "lists")
     scratch.drop(posts)
+    scratch.settle()
     texts = scratch.write(posted.join(held.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "texts")
     scratch.drop(posted)
+    scratch.settle()
 
     links: list[DataFrame] = []
-    labels = spark.createDataFrame([], "node long, component long")
+    labels, named_classes = spark.createDataFrame([], "node long, component long"), 0
 
     def check(pairs: DataFrame) -> None:
-        nonlocal labels
-        pairs = scratch.write(sifted(pairs, texts, percent), "pairs")
-        if n := pairs.count():
-            links.append(scratch.write(verify(pairs, texts, width, percent, n), "links"))
+        nonlocal labels, named_classes
+        pairs = scratch.write(pairs, "pairs")
+        kept = scratch.write(sifted(pairs, texts, percent, pairs.count()), "sifted")
+        if n := kept.count():
+            links.append(scratch.write(verify(kept, texts, width, percent, n), "links"))
             last, labels = labels, scratch.write(connected_components(reduce(DataFrame.union, links), scratch), "labels")
+            named_classes = labels.count()
             scratch.drop(last)
-        scratch.drop(pairs)
+        scratch.drop(pairs, kept)
+        scratch.settle()
 
     # In long: products of int sizes pass 2^31 from 119,305 shingles on.
     near = lambda x, y: F.expr(f"100L * least({x}.n - {x}.pos, {y}.n - {y}.pos) * {100 + percent} >= 100L * {percent} * (CAST({x}.n AS long) + {y}.n)") & F.expr(f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n)")
@@ -315,7 +325,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     def alive() -> DataFrame:
         """Postings with their components, of the shingles that still join two; a shingle that no longer does stays out."""
         nonlocal held
-        named = held.drop("c", "blocks").join(labels, held.fp == labels.node, "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
+        named = held.drop("c", "blocks").join(small(labels, named_classes), F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
         last, held = held, scratch.write(_shared_lists(named), "named")
         scratch.drop(last)
         return held
@@ -350,10 +360,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 def _shared_lists(posts: DataFrame) -> DataFrame:
     """The postings of shingles that join two components, with the number of ``blocks`` that their list is cut into.
 
-    Postings are dealt by shingle once, for the summary and for the join with it.
+    Postings are dealt by shingle once, for the summary and for the join
+    with it: the summary looks at every column, so that both read the same
+    exchange.
     """
     dealt = posts.repartition("token")
-    live = dealt.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("many")).where("low < high").select("token", F.ceil(F.col("many") / LIST).alias("blocks"))
+    every = F.least(F.min("fp").isNotNull().cast("int"), F.min("n"), F.min("pos") + 1)
+    live = dealt.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("many"), every.alias("every")).where("low < high AND every > 0").select("token", F.ceil(F.col("many") / LIST).alias("blocks"))
     return dealt.join(live.hint("shuffle_merge"), "token")
 
 

@@ -121,10 +121,10 @@ def test_jaccard_signatures_never_lose_a_link(spark):
     rows = [(k, len(s), *(x for seed in jaccard.ORDERS for x in (lambda kept, rest: (kept.tolist(), rest))(*jaccard.signature(s, seed)))) for k, s in enumerate(sets)]
     signed = spark.createDataFrame(rows, "fp long, n int, one array<int>, rest_one int, two array<int>, rest_two int")
     pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(links))], "a long, b long")
-    kept = {r.a // 2 for r in jaccard.sifted(pairs, signed, 80).collect()}
+    kept = {r.a // 2 for r in jaccard.sifted(pairs, signed, 80, 10).collect()}
     assert {k for k, x in enumerate(links) if x} <= kept
     other = spark.createDataFrame([(2 * k, (2 * k + 3) % len(sets)) for k in range(len(links))], "a long, b long")
-    assert jaccard.sifted(other, signed, 80).count() == 0
+    assert jaccard.sifted(other, signed, 80, 10**9).count() == 0
 
 
 def test_jaccard_prefix_never_loses_a_link():
