@@ -37,6 +37,17 @@ def lean(owner: str = "") -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+def tidy(run: Callable, owner: str = "") -> Callable:
+    """The same task function, after which its worker gives back what it held: idle workers stay small."""
+
+    def wrapped(batches):
+        lean(owner)
+        yield from run(batches)
+        lean(owner)
+
+    return wrapped
+
+
 def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -78,7 +89,6 @@ def with_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.R
     arrow, names = to_arrow_schema(schema), [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean(owner)
         kernel = make()
         for whole in batches:
             for batch in slices(whole, text_col, most):
@@ -88,7 +98,7 @@ def with_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.R
                 columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, owner), schema)
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:

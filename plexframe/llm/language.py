@@ -24,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plexframe.llm.batches import KEPT, lean, slices, text_views, with_batches
+from plexframe.llm.batches import KEPT, slices, text_views, tidy, with_batches
 
 #: Bytes of context.
 ORDER = 3
 UNDECIDED = "und"
 #: Bytes of text that are coded at once; distinct codes that a counting task holds before it passes them on.
-BYTES, HELD = 4 << 20, 2_000_000
+BYTES, HELD = 1 << 20, 1_000_000
 #: Slots of the table that numbers a batch's codes.
 _SLOT_BITS = 21
 _LETTER = re.compile(r"[^\W\d_]")
@@ -48,16 +48,16 @@ def gram_codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     unsigned number, the latest lowest; ``order`` is 3 at most.
     """
     data, offsets = text_views(column)
-    n = len(offsets) - 1
-    lens = np.diff(offsets)
-    padded = np.full(len(data) + order * n, 0x20, np.uint8)
-    at = np.arange(len(data)) + np.repeat(order * np.arange(1, n + 1), lens)
-    padded[at] = data
-    codes = np.zeros(len(padded), np.uint32)
+    starts, lens = offsets[:-1], np.diff(offsets)
+    codes = np.zeros(len(data), np.uint32)
     for back in range(order, -1, -1):
+        before = np.full(len(data), 0x20, np.uint8)
+        before[back:] = data[: len(data) - back]
+        for k in range(back):  # a text's first bytes have blanks before them
+            before[starts[lens > k] + k] = 0x20
         codes <<= np.uint32(8)
-        codes[back:] |= padded[: len(padded) - back]
-    return codes[at], offsets
+        codes |= before
+    return codes, offsets
 
 
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
     numbers = {x: k for k, x in enumerate(names)}
 
     def count(batches):
-        lean()
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         n = 0
 
@@ -198,7 +197,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
                     held, n = {}, 0
         yield from flush()
 
-    seen = rows.mapInArrow(count, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    seen = rows.mapInArrow(tidy(count), "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = seen.toArrow()
     langs, codes, n = (got[c].to_numpy() for c in ("lang", "code", "n"))
     codes = codes.astype(np.int32).view(np.uint32)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plexframe.llm import tokens
-from plexframe.llm.batches import lean, slices
+from plexframe.llm.batches import slices, tidy
 from plexframe.session import Scratch
 
 CAPACITY = 4096
@@ -313,7 +313,6 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """
 
     def run(batches):
-        lean("tokens")
         words = tokens.words(vocabulary)
         end = END_ID.to_bytes(4, "little")
         for whole in batches:
@@ -328,7 +327,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     kind = pa.string() if docs.schema[id_col].dataType == T.StringType() else pa.int64()
     name = "string" if kind == pa.string() else "long"
     rows = docs.select(F.col(id_col).cast(name).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {name}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run, "tokens"), f"doc_id {name}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
