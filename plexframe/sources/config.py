@@ -66,3 +66,34 @@ def unique_name(wanted: str, taken: set[str]) -> str:
     while f"{wanted}-{k}" in taken:
         k += 1
     return f"{wanted}-{k}"
+
+
+#: Chemistry and adapter -> the kind of a run's files; the first rule that fits.
+FILE_TYPES = [(("duplex", "hairpin"), "duplex"), (("duplex", None), "duplex_linear"), (("simplex", "10x"), "simplex_10x"), (("simplex", None), "simplex")]
+
+
+def file_type(chemistry: str, adapter: str | None) -> str:
+    """What a run's files hold, by its chemistry and adapter."""
+    for (c, a), kind in FILE_TYPES:
+        if c == chemistry and a in (None, adapter):
+            return kind
+    raise ValueError(f"no file type for {chemistry!r} with {adapter!r}")
+
+
+def submit_command(script: str, settings: dict, master: str, executors: int = 0) -> list[str]:
+    """The command that runs a script on a cluster with its settings as arguments."""
+    return ["spark-submit", "--master", master, *(["--num-executors", str(executors)] if executors else []), script, *[f"--{k}={json.dumps(v) if isinstance(v, (dict, list)) else v}" for k, v in sorted(settings.items())]]
+
+
+def sheet_rows(samples: dict[str, str]) -> list[tuple[str, str]]:
+    """Rows of a sample sheet, in the samples' order."""
+    return [(name, sid) for name, sid in samples.items()]
+
+
+def output_name(files: list[str], part: int) -> str:
+    """A part's name by what its inputs' names share at the start."""
+    import os
+
+    names = [os.path.basename(f).split(".")[0] for f in files]
+    shared = os.path.commonprefix(names).rstrip("-_") or "sample"
+    return f"{shared}.{part:04d}"

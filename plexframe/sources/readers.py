@@ -122,8 +122,13 @@ def vcf_header(spark: SparkSession, path: str) -> dict:
     import re
 
     out: dict = {"info": {}, "format": {}, "filter": [], "samples": [], "contigs": {}}
-    for row in _lines(spark, path).where(F.col("value").startswith("#")).collect():
-        line = row["value"]
+    n = 1000
+    while True:  # a header is at the top: only as many lines are read as it has
+        top = [r["value"] for r in _lines(spark, path).limit(n).collect()]
+        if len(top) < n or not top[-1].startswith("#"):
+            break
+        n *= 4
+    for line in (x for x in top if x.startswith("#")):
         if m := re.match(r"##(INFO|FORMAT)=<ID=([^,]+),Number=([^,]+),Type=([^,]+)", line):
             out[m[1].lower()][m[2]] = (m[3], m[4])
         elif m := re.match(r"##FILTER=<ID=([^,]+)", line):
@@ -212,3 +217,64 @@ def alignments(spark: SparkSession, path: str) -> DataFrame:
     f = _fields(_lines(spark, path).where(~F.col("value").startswith("@")))
     tags = F.map_from_entries(F.transform(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.split(t, ":", 3)[0], F.split(t, ":", 3)[2])))
     return f.select(F.col("f")[0].alias("qname"), F.col("f")[1].cast("int").alias("flag"), F.when(F.col("f")[2] != "*", F.col("f")[2]).alias("contig"), (F.col("f")[3].cast("long") - 1).alias("pos"), F.col("f")[4].cast("int").alias("mapq"), F.when(F.col("f")[5] != "*", F.col("f")[5]).alias("cigar"), F.col("f")[9].alias("seq"), F.col("f")[10].alias("qual"), tags.alias("tags"))
+
+
+def on_contigs(regions: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The regions of known contigs, clipped to these; a region that begins beyond its contig's end raises when it is read."""
+    out = regions.join(lengths.select("contig", "length"), "contig")
+    start = F.when(F.col("start") >= F.col("length"), F.raise_error(F.lit("region outside its contig")).cast("long")).otherwise(F.col("start"))
+    return out.withColumns({"start": start, "stop": F.least("stop", "length")}).drop("length")
+
+
+def collapser_regions(lengths: DataFrame) -> DataFrame:
+    """Whole contigs and, with a null contig, the place of unmapped reads."""
+    none = lengths.limit(1).select(F.lit(None).cast("string").alias("contig"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))
+    whole = whole_contigs(lengths)
+    return whole.withColumn("contig", F.col("contig").cast("string")).unionByName(none)
+
+
+def track_mean(regions: DataFrame, track: DataFrame) -> DataFrame:
+    """Appends ``mean``: a track's (contig, start, stop, score) score over a region, by length; null where it has none."""
+    from plexframe.operators.intervals import range_join
+
+    at = ["contig", "start", "stop"]
+    shared = F.least("stop", "r_stop") - F.greatest("start", "r_start")
+    mean = range_join(regions.select(*at).distinct(), track.select(*at, "score")).groupBy(*at).agg((F.sum(shared * F.col("r_score")) / F.sum(shared)).alias("mean"))
+    return regions.join(mean, at, "left")
+
+
+def paths(spark: SparkSession, path: str) -> list[str]:
+    """The files below a path of any file system that Spark reads, in order."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    out = []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return sorted(out)
+
+
+def expanded(spark: SparkSession, inputs: list[str]) -> list[str]:
+    """Files, folders (with all below them) and lists of files (names that end in .list) as files."""
+    out = []
+    for x in inputs:
+        out += [r["value"] for r in spark.read.text(x).collect() if r["value"].strip()] if x.endswith(".list") else paths(spark, x)
+    return out
+
+
+def tag(tags: Column, name: str, kind: str = "string") -> Column:
+    """An optional field of an alignment by its type; null without it or of another type."""
+    value = F.try_element_at(tags, F.lit(name))
+    return value if kind == "string" else value.try_cast(kind)
+
+
+def in_region(records: DataFrame, contig: str, start: int, stop: int) -> DataFrame:
+    """The VCF records whose reference allele touches a region."""
+    return records.where((F.col("contig") == contig) & (F.col("pos") < stop) & (F.col("pos") + F.length("ref") > start))
+
+
+def genotype_sets(records: DataFrame) -> DataFrame:
+    """gt, keys of biallelic records' first sample: the variants of every genotype; a set is a truth file's."""
+    gt = F.array_join(F.col("samples")[0]["format"]["GT"], ",")
+    key = F.concat_ws("_", "contig", (F.col("pos") + 1).cast("string"), "ref", F.col("alts")[0])
+    return records.select(F.regexp_replace(gt, r"\|", "/").alias("gt"), key.alias("key")).distinct()

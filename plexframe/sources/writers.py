@@ -49,7 +49,7 @@ def vcf(records: DataFrame, path: str, header: list[str], contig_order: DataFram
     fields = ["contig", (F.col("pos") + 1), F.coalesce("id", F.lit(".")), "ref", join(F.col("alts"), ",", "."), F.coalesce(F.col("qual").cast("string"), F.lit(".")), join(F.col("filters"), ";", "."), join(entries, ";", ".")]
     if samples:
         fields += [F.array_join(keys, ":"), F.array_join(values, "\t")]
-    lines = records.join(F.broadcast(contig_order), "contig").select(row_text(fields, ".").alias("value"), "rank", "pos")  # a row per contig
+    lines = records.join(contig_order, "contig").select(row_text(fields, ".").alias("value"), "rank", "pos")
     columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])]
     write_text(ordered_lines(lines, [*header, "\t".join(columns)], ["rank", "pos"]), path)
 
@@ -84,3 +84,38 @@ def session_xml(tracks: list[str], genome: str = "hg38") -> str:
 
     resources = "".join(f"<Resource path={quoteattr(t)}/>" for t in tracks)
     return f'<?xml version="1.0" encoding="UTF-8"?><Session genome={quoteattr(genome)} version="8"><Resources>{resources}</Resources></Session>'
+
+
+def histogram(df: DataFrame, path: str, value: str, count: str, most: int, metadata: dict[str, str]) -> None:
+    """A histogram's rows up to ``most`` and the rest as one row ``most``+, in order of the value."""
+    folded = F.least(F.col(value), F.lit(most + 1))
+    rows = df.groupBy(folded.alias("at")).agg(F.sum(count).alias(count))
+    named = rows.select(F.when(F.col("at") > most, F.lit(f"{most}+")).otherwise(F.col("at").cast("string")).alias(value), count, "at")
+    lines = named.withColumn("value", row_text([value, count])).select("value", "at")
+    write_text(ordered_lines(lines, [f"##{k}={v}" for k, v in metadata.items()] + [f"{value}\t{count}"], ["at"]), path)
+
+
+def empty_like(df: DataFrame, path: str, metadata: dict[str, str]) -> None:
+    """A table's header alone, so that whatever reads it finds no rows."""
+    tsv(df.limit(0), path, metadata, [df.columns[0]])
+
+
+def metrics(rows: DataFrame, path: str) -> None:
+    """metric, value rows as a table, by name."""
+    tsv(rows.select("metric", "value"), path, {}, ["metric"])
+
+
+def sam(alignments: DataFrame, path: str, lengths: DataFrame) -> None:
+    """SAM text of qname, flag, contig, pos, mapq, cigar, seq, qual and tags, by contig and position, unplaced ones last."""
+    tags = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.when(e["value"].rlike("^-?[0-9]+$"), ":i:").otherwise(":Z:"), e["value"]))
+    fields = ["qname", "flag", F.coalesce("contig", F.lit("*")), F.col("pos") + 1, "mapq", "cigar", F.lit("*"), F.lit(0), F.lit(0), "seq", "qual"]
+    value = F.concat_ws("\t", row_text(fields, "*"), F.when(F.size("tags") > 0, F.array_join(tags, "\t")))
+    order = F.coalesce("rank", F.lit(1 << 40))
+    lines = alignments.join(lengths.select("contig", "rank"), "contig", "left").select(value.alias("value"), order.alias("rank"), "pos", "qname")
+    head = [f"@SQ\tSN:{r['contig']}\tLN:{r['length']}" for r in lengths.orderBy("rank").collect()]  # a line per contig
+    write_text(ordered_lines(lines, ["@HD\tVN:1.6\tSO:coordinate", *head], ["rank", "pos", "qname"]), path)
+
+
+def sheet(rows: DataFrame, path: str) -> None:
+    """A sample sheet: sample_name, sample_sid."""
+    rows.select("sample_name", "sample_sid").write.csv(path, header=True)
