@@ -748,3 +748,125 @@ def genome_intervals(lengths: DataFrame, blocked: DataFrame, track: DataFrame, g
     shared = F.least("stop", "r_stop") - F.greatest("start", "r_start")
     gc = I.range_join(good.select(*at), gc_of.select(*at, "gc")).groupBy(*at).agg((F.sum(shared * F.col("r_gc")) / F.sum(shared)).alias("gc"))
     return good.join(gc, at).where(L.moderate_gc(F.col("gc"))).select(*at, "mappability", "gc")
+
+
+def somatic_arcs(rows: np.ndarray, least: int, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the arc [i, j) whose t against the rest is largest: |t|, i, j.
+
+    t pools the biased variances of arc and rest. Arcs have ``least``
+    observations at least, and so have their rests; arcs fewer than ``most``
+    (0: no limit). Of equal ones the first start counts, then the shortest.
+    """
+    m, n = rows.shape
+    s = np.concatenate([np.zeros((m, 1)), np.cumsum(rows, 1)], 1)
+    q = np.concatenate([np.zeros((m, 1)), np.cumsum(rows * rows, 1)], 1)
+    best, first, end = np.zeros(m), np.zeros(m, int), np.zeros(m, int)
+    for width in range(least, min(n - least, most - 1 if most else n) + 1):
+        a, aq = s[:, width:] - s[:, : n + 1 - width], q[:, width:] - q[:, : n + 1 - width]
+        rest = n - width
+        b, bq = s[:, -1:] - a, q[:, -1:] - aq
+        va, vb = aq / width - (a / width) ** 2, bq / rest - (b / rest) ** 2
+        with np.errstate(all="ignore"):
+            t = np.abs(a / width - b / rest) / (np.sqrt(((width - 1) * va + (rest - 1) * vb) / (n - 2)) * math.sqrt(1 / width + 1 / rest))
+        t = np.where(np.isfinite(t), t, 0.0)
+        i = t.argmax(1)
+        score = t[np.arange(m), i]
+        better = score > best + 1e-12
+        best[better], first[better], end[better] = score[better], i[better], i[better] + width
+    return best, first, end
+
+
+def _exceeds(x: np.ndarray, t: float, p: float, least: int, most: int, permutations: int, rng: np.random.Generator) -> bool:
+    """Whether fewer than a share ``p`` of the permutations have a larger arc; it ends early once too many have."""
+    allowed, more, done = int(p * permutations), 0, 0
+    while done < permutations:
+        some = min(permutations - done, max(1, 100_000 // len(x)))
+        shuffled = rng.permuted(np.broadcast_to(x, (some, len(x))), axis=1)
+        more += int((somatic_arcs(shuffled, least, most)[0] > t).sum())
+        done += some
+        if more > allowed:
+            return False
+    return more / permutations < p
+
+
+def _apart(v: np.ndarray, w: np.ndarray, p: float, permutations: int, rng: np.random.Generator) -> bool:
+    """Whether two neighbours differ: fewer than a share ``p`` of their shuffles have a larger t."""
+    both, n, m = np.r_[v, w], len(v), len(w)
+    t_of = lambda a, b: np.abs(a.mean(-1) - b.mean(-1)) / np.maximum(np.sqrt(((n - 1) * a.var(-1, ddof=1 if n > 1 else 0) + (m - 1) * b.var(-1, ddof=1 if m > 1 else 0)) / max(n + m - 2, 1)) * math.sqrt(1 / n + 1 / m), 1e-300)
+    t = float(t_of(v, w))
+    more, done = 0, 0
+    while done < permutations:
+        some = min(permutations - done, max(1, 200_000 // len(both)))
+        shuffled = rng.permuted(np.broadcast_to(both, (some, len(both))), axis=1)
+        more += int((t_of(shuffled[:, :n], shuffled[:, n:]) > t).sum())
+        done += some
+        if more >= permutations * p + 1:
+            return False
+    return more / permutations < p
+
+
+def somatic_segments(x: np.ndarray, p: float = 0.01, least: int = 2, permutations: int = 10_000, seed: int = 1, small: int = 10) -> list[tuple[int, int]]:
+    """Pieces [i, j) of one array by the somatic variant of circular binary segmentation.
+
+    A piece of ``small`` observations or more is split at its best arc of
+    ``small`` or more if permutations of it say so; for long pieces the tail
+    approximation comes first, and then permutations of the small arcs have
+    what is left of ``p``. Ends of fewer than ``least`` join their neighbours,
+    and so do neighbours that shuffling can't tell apart.
+    """
+    rng = np.random.default_rng(seed)
+    out, todo = [], [(0, len(x))] if len(x) else []
+    while todo:
+        a, b = todo.pop()
+        own, parts = x[a:b], [(0, b - a)]
+        if b - a >= small:
+            t, i, j = (v[0].item() for v in somatic_arcs(own[None], least))
+            if t > 1e-9 and j - i >= small:
+                chance = tail(t, b - a) if b - a >= 4 * SMALL_ARC else 0.0
+                limit = SMALL_ARC if b - a >= 4 * SMALL_ARC else 0
+                if chance < p and _exceeds(own, t, p - chance, least, limit, permutations, rng):
+                    parts = [(u, v) for u, v in ((0, i), (i, j), (j, b - a)) if v > u]
+        if len(parts) > 1 and parts[0][1] - parts[0][0] < least:
+            parts[:2] = [(0, parts[1][1])]
+        if len(parts) > 1 and parts[-1][1] - parts[-1][0] < least:
+            parts[-2:] = [(parts[-2][0], parts[-1][1])]
+        kept = parts[:1]
+        for u, v in parts[1:]:
+            if _apart(own[kept[-1][0] : kept[-1][1]], own[u:v], p, permutations, rng):
+                kept.append((u, v))
+            else:
+                kept[-1] = (kept[-1][0], v)
+        if len(kept) == 1:
+            out.append((a, b))
+        else:
+            todo += [(a + u, a + v) for u, v in kept]
+    return sorted(out)
+
+
+def denoised_sample(sample: DataFrame, panel: DataFrame, keys: list[str], count: str, on_target: Column, least_length: int, least_panel: float, least_both: float, least_off: float = 0.05, components: int = 20, name: str = "sample") -> DataFrame:
+    """keys, on_target, log_ratio, denoised of one sample against a panel (name, keys, count): on- and off-target intervals by themselves.
+
+    Log ratios are those against the panel's medians; denoised ones are less
+    the projection on the panel's top components. Intervals too short or too
+    thinly covered go (keys have start and stop); off-target ones count only
+    if they are at least ``least_off`` of what is left.
+    """
+    from plexframe.operators import filters as L
+
+    out = []
+    for on in (True, False):
+        own, ref = sample.where(on_target == F.lit(on)), panel.where(on_target == F.lit(on))
+        medians = panel_medians(ref, keys, name, count)
+        ratios = panel_log_ratio(own, medians, keys, count)
+        totals = ref.groupBy(name).agg(F.sum(count).alias("total"))
+        logs = ref.join(totals, name).join(medians, keys).select(name, *keys, F.log2(F.greatest(F.col(count) / F.col("total"), F.lit(1e-9)) / F.greatest("panel", F.lit(1e-9))).alias("v"))
+        mine = F.lit("the sample")
+        everyone = logs.withColumn(name, F.col(name).cast("string")).unionByName(ratios.select(mine.alias(name), *keys, F.col("log_ratio").alias("v")))
+        smooth = denoise_panel(everyone, keys, name, "v", components).where(F.col(name) == mine).select(*keys, F.col("v").alias("denoised"))
+        half = ref.groupBy(*keys).agg(F.percentile(count, F.lit(0.5)).alias("panel_count"))
+        kept = ratios.drop("panel").join(half.withColumnRenamed("panel_count", "panel"), keys).withColumn("coverage", F.col(count))
+        kept = L.panel_and_sample(kept, least_length, least_panel, least_both)
+        out.append(kept.join(smooth, keys).select(*keys, F.lit(on).alias("on_target"), "log_ratio", "denoised"))
+    n = out[0].agg(F.count("*").alias("n_on")).crossJoin(out[1].agg(F.count("*").alias("n_off")))  # one row each
+    enough = out[1].crossJoin(F.broadcast(n)).where(F.col("n_off") >= least_off * (F.col("n_on") + F.col("n_off"))).drop("n_on", "n_off")
+    return out[0].unionByName(enough)

@@ -182,3 +182,21 @@ def contig_rank(df: DataFrame, order: DataFrame) -> DataFrame:
 def canonical(contig: Column) -> Column:
     """Not an alternate, viral or mitochondrial contig."""
     return ~contig.contains("_") & ~contig.isin("chrEBV", "chrM")
+
+
+def partition(df: DataFrame, size: int, homopolymers: DataFrame | None = None) -> DataFrame:
+    """Pieces of ``size`` of every region; a piece that ends inside a homopolymer (contig, start, stop) runs on to its end, where the next begins.
+
+    Without homopolymers these are ``split_windows``.
+    """
+    pieces = split_windows(df, size)
+    if homopolymers is None:
+        return pieces
+    rest = [c for c in df.columns if c not in ("contig", "start", "stop")]
+    whole = df.select("contig", F.col("start").alias("w_start"), F.col("stop").alias("w_stop"), *rest)
+    inner = pieces.join(whole, ["contig", *rest]).where((F.col("start") >= F.col("w_start")) & (F.col("stop") <= F.col("w_stop")))
+    cuts = inner.select("contig", F.col("stop").alias("cut")).distinct()
+    inside = range_join(cuts.withColumns({"start": F.col("cut"), "stop": F.col("cut") + 1}), homopolymers.select("contig", "start", "stop")).where("cut > r_start").select("contig", "cut", F.col("r_stop").alias("moved"))
+    ends = inner.join(inside.withColumnRenamed("cut", "stop"), ["contig", "stop"], "left").withColumn("stop", F.least("w_stop", F.coalesce("moved", "stop")))
+    w = Window.partitionBy("contig", "w_start", "w_stop", *rest).orderBy("start")
+    return ends.withColumn("start", F.coalesce(F.lag("stop").over(w), "start")).where("start < stop").select(*df.columns)

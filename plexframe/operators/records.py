@@ -175,3 +175,77 @@ def probe_sites(sites: DataFrame, candidates: DataFrame, least_away: int = 200,
     clear = range_join(spots.select("contig", "start", "stop").distinct(), near).select("contig", "start").distinct()
     out = spots.join(kinds, ["ref", "context"], "left_semi").join(clear, ["contig", "start"], "left_anti").drop("start", "stop")
     return out.orderBy(F.md5(F.concat_ws(":", "contig", "pos")), "contig", "pos").limit(most)
+
+
+def alignment_ops(reads: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, at, op, len, pos, read_pos: a read's operations against its target sequence, in order.
+
+    Runs of equal bases are one match, every other base a mismatch of its
+    own; insertions (at the base before) and deletions at either end are left
+    out, skipped stretches are kept, = and X are taken at their word. Reads
+    have start, cigar, seq and target (from position 0 on); an operation of
+    one read goes through its own bases only.
+    """
+    import re
+
+    import pandas as pd
+
+    def ops(start: int, cigar: str, seq: str, target: str) -> list[tuple]:
+        out: list[list] = []
+        parts = re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)
+        t, q = start, 0
+        for k, (n, op) in enumerate(parts):
+            n = int(n)
+            inner = bool(out) and k < len(parts) - 1
+            if op == "M":
+                for j in range(n):
+                    if seq[q + j] == target[t + j]:
+                        if out and out[-1][0] == "match":
+                            out[-1][1] += 1
+                            continue
+                        out.append(["match", 1, t + j, q + j])
+                    else:
+                        out.append(["mismatch", 1, t + j, q + j])
+            elif op == "I" and inner:
+                out.append(["insertion", n, t - 1, q])
+            elif op == "D" and inner:
+                out.append(["deletion", n, t, q])
+            elif op in "N=X":
+                out.append([{"N": "skip", "=": "match", "X": "mismatch"}[op], n, t, q])
+            t += n if op in "MDN=X" else 0
+            q += n if op in "MIS=X" else 0
+        return [(k, *o) for k, o in enumerate(out)]
+
+    kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(frames):
+        for f in frames:
+            rows = [(*r[: len(keep)], *o) for r in f.itertuples(index=False, name=None) for o in ops(*r[len(keep) :])]
+            yield pd.DataFrame(rows, columns=[*keep, "at", "op", "len", "pos", "read_pos"])
+
+    return reads.select(*keep, "start", "cigar", "seq", "target").mapInPandas(run, f"{kinds}, at long, op string, len long, pos long, read_pos long")
+
+
+def reference_context(rows: DataFrame, seq: str, pos: str, half: int = 100, k: int = 3) -> DataFrame:
+    """Appends what the reference around a position says: context, its index, GC and distinct k-mers within ``half`` bases, and the run and repeat that begin behind it."""
+    from plexframe.functions import numbers as N, sequences as S
+
+    b = N.window_bounds(pos, F.length(seq), half)
+    around = F.substring(F.col(seq), b["start"].cast("int") + 1, (b["stop"] - b["start"]).cast("int"))
+    behind = F.substring(F.col(seq), F.col(pos).cast("int") + 2, F.length(seq))
+    unit = S.repeat_unit(behind)
+    two = S.context(seq, F.col(pos).cast("int"))
+    return rows.withColumns({"context": two, "context_index": S.context_index(two), "gc": S.gc_fraction(around), "kmers": S.distinct_kmers(around, k), "run": S.homopolymer_at_start(behind), "unit": unit["unit"], "copies": unit["copies"]})
+
+
+def record_features(records: DataFrame) -> DataFrame:
+    """contig, pos, ref, alt, allele, qual, dp, ref_ad, alt_ad, af, gt: a feature row per alternative of VCF records' first sample."""
+    from plexframe.functions.sequences import genotype_number
+
+    own = F.col("samples")[0]["format"]
+    depths = F.transform(F.coalesce(own["AD"], F.array().cast("array<string>")), lambda x: x.try_cast("int"))
+    each = records.select("contig", "pos", "ref", "qual", "info", depths.alias("ad"), own["GT"][0].alias("g"), F.posexplode("alts").alias("i", "alt"))
+    at = lambda k: F.try_element_at("ad", k)
+    total = F.aggregate("ad", F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    dp = F.try_element_at(F.try_element_at("info", F.lit("DP")), F.lit(1)).try_cast("int")
+    return each.select("contig", "pos", "ref", "alt", (F.col("i") + 1).alias("allele"), "qual", dp.alias("dp"), at(F.lit(1)).alias("ref_ad"), at(F.col("i") + 2).alias("alt_ad"), (at(F.col("i") + 2) / F.nullif(total, F.lit(0))).alias("af"), genotype_number("g").alias("gt")).orderBy("contig", "pos", "allele")

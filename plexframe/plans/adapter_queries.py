@@ -190,3 +190,11 @@ def repeat_genotypes(spark, d):
     c = F.col
     t = table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("locus"), F.when(c("l_returnflag") == "N", "span").when(c("l_returnflag") == "A", "flank").otherwise("inside").alias("kind"), (c("l_suppkey") % 9 + c("l_partkey") % 2 * 3).alias("count")).agg(F.count("*").alias("n"))
     return t.groupBy("locus").applyInPandas(run, "locus long, first long, second long")
+
+
+@query(f"""WITH {PARTS}, b AS (SELECT * FROM (VALUES ('ACGTAC', 1), ('GTACGT', 2), ('CCATGA', 3)) AS b(s, k)), w AS (SELECT id, o, k, list_sum(list_transform(range(1, 7), lambda i: (substring(seq, o + i, 1) <> substring(s, i, 1))::INTEGER)) AS d FROM parts, b, range(0, 4) AS t(o)),
+    m AS (SELECT id, min(d) AS d FROM w WHERE d <= 1 GROUP BY id), g AS (SELECT w.id, w.d, count(DISTINCT k) AS n, min(ROW(o, k)) AS b FROM w JOIN m ON w.id = m.id AND w.d = m.d GROUP BY ALL) SELECT id, b[2]::BIGINT AS barcode_id, b[1]::BIGINT AS "offset", d::BIGINT AS distance FROM g WHERE n = 1""")
+def fast_barcode_match(spark, d):
+    """All forms of six bases: substitutions, and an insertion with a deletion counts as two edits, so only one-edit forms of equal length match."""
+    b = spark.createDataFrame([(k, s) for s, k in BARCODES.items()], "barcode_id long, sequence string")
+    return D.fast_match(parts(spark, d), b, "seq", ["id"], range(4))

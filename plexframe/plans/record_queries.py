@@ -331,3 +331,67 @@ def union_of_observations(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("pos"), "value")
     both = e.where("pos % 2 = 0").withColumn("part", F.lit("a")).unionByName(e.where("pos % 3 = 0").withColumn("part", F.lit("b")))
     return both.groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+from plexframe.plans.consensus_queries import CLUSTER, SEQ, cluster_table  # noqa: E402
+from plexframe.plans.demux_queries import dna  # noqa: E402
+
+
+@query(f"""WITH {CLUSTER}, t AS (SELECT DISTINCT l_orderkey AS cluster, ({SEQ}) || ({SEQ}) AS target FROM lineitem), r AS (SELECT rd.*, target, row_number() OVER () AS rid FROM rd JOIN t USING (cluster)), k AS (SELECT *, unnest(range(0, 16)) AS q FROM r),
+    b AS (SELECT rid, cluster, read, q, CASE cigar WHEN '16M' THEN 0 WHEN '6M2I8M' THEN CASE WHEN q < 6 THEN 0 WHEN q < 8 THEN 1 ELSE 2 END ELSE CASE WHEN q < 5 THEN 0 ELSE 2 END END AS part, CASE cigar WHEN '16M' THEN start + q WHEN '6M2I8M' THEN CASE WHEN q < 6 THEN start + q ELSE start + q - 2 END ELSE CASE WHEN q < 5 THEN start + q ELSE start + q + 3 END END AS pos, substring(seq, q + 1, 1) AS base, target FROM k),
+    m AS (SELECT rid, cluster, read, q, part, pos, base = substring(target, (pos + 1)::INTEGER, 1) AS same FROM b WHERE part <> 1), i AS (SELECT *, q - row_number() OVER (PARTITION BY rid, part, same ORDER BY q) AS isl FROM m),
+    o AS (SELECT cluster, read, 'match' AS op, count(*) AS len, min(pos) AS pos, min(q) AS read_pos FROM i WHERE same GROUP BY rid, cluster, read, part, isl UNION ALL SELECT cluster, read, 'mismatch', 1, pos, q FROM m WHERE NOT same UNION ALL SELECT cluster, read, 'insertion', 2, start + 5, 6 FROM r WHERE cigar = '6M2I8M' UNION ALL SELECT cluster, read, 'deletion', 3, start + 5, 5 FROM r WHERE cigar = '5M3D11M')
+    SELECT cluster, read, op, len::BIGINT AS len, pos::BIGINT AS pos, read_pos::BIGINT AS read_pos FROM o""")
+def alignment_operations(spark, d):
+    c = F.col
+    s = F.concat(dna(c("cluster") * 7919), dna(c("cluster") * 104729))
+    r = cluster_table(spark, d).withColumn("target", F.concat(s, s))
+    return R.alignment_ops(r, ["cluster", "read"]).drop("at")
+
+
+@query(f"""WITH {PARTS}, p AS (SELECT id, seq, (id % 14 + 1) AS pos FROM parts), w AS (SELECT *, substring(seq, (greatest(pos - 4, 0) + 1)::INTEGER, (least(pos + 5, 16) - greatest(pos - 4, 0))::INTEGER) AS a, substring(seq, (pos + 2)::INTEGER) AS behind FROM p)
+    SELECT id, pos, substring(seq, pos::INTEGER, 1) || substring(seq, (pos + 2)::INTEGER, 1) AS context, round((length(a) - length(replace(replace(a, 'G', ''), 'C', ''))) / length(a), 6) AS gc, len(list_distinct(list_transform(range(1, length(a) - 1), lambda i: substring(a, i, 3))))::INTEGER AS kmers, length(regexp_extract(behind, '^(AA+|CC+|GG+|TT+)', 1))::INTEGER AS run FROM w""")
+def reference_contexts(spark, d):
+    p = parts(spark, d).withColumn("pos", F.col("id") % 14 + 1)
+    return R.reference_context(p, "seq", "pos", 4).select("id", "pos", "context", F.round("gc", 6).alias("gc"), "kmers", "run")
+
+
+@query("""WITH v AS (SELECT DISTINCT 'c' || (l_suppkey % 9) AS contig, l_partkey * 10 + l_linenumber AS pos, CASE l_partkey % 3 WHEN 0 THEN ['C', 'G'] WHEN 1 THEN ['CA'] ELSE ['T'] END AS alts, l_linenumber / 2.0 AS qual, l_linenumber AS n FROM lineitem), e AS (SELECT *, unnest(range(1, len(alts) + 1)) AS allele FROM v)
+    SELECT contig, pos, alts[allele] AS alt, allele::INTEGER AS allele, qual::DOUBLE AS qual, n::INTEGER AS dp, 3::INTEGER AS ref_ad, CASE WHEN allele = 1 THEN n END::INTEGER AS alt_ad, CASE WHEN allele = 1 THEN round(n / (3 + n), 6) END AS af, CASE WHEN n > 3 THEN 1 ELSE 2 END::INTEGER AS gt FROM e""")
+def record_features(spark, d):
+    from plexframe.plans.source_queries import _vcf
+
+    out = R.record_features(_vcf(spark, d))
+    return out.select("contig", "pos", "alt", F.col("allele").cast("int").alias("allele"), "qual", "dp", "ref_ad", "alt_ad", F.round("af", 6).alias("af"), "gt")
+
+
+@query(f"""WITH {REGIONS}, h AS (SELECT contig, start + 38 AS a, start + 43 AS b FROM regions WHERE contig % 2 = 0), p AS (SELECT contig, start, unnest([start, CASE WHEN contig % 2 = 0 THEN start + 43 ELSE start + 40 END, start + 80]) AS s, unnest([CASE WHEN contig % 2 = 0 THEN start + 43 ELSE start + 40 END, start + 80, stop]) AS e FROM regions) SELECT contig, s AS start, e AS stop FROM p""")
+def homopolymer_aware_partition(spark, d):
+    from plexframe.operators import intervals as I
+
+    g = regions(spark, d)
+    runs = g.where("contig % 2 = 0").select("contig", (F.col("start") + 38).alias("start"), (F.col("start") + 43).alias("stop"))
+    return I.partition(g, 40, runs)
+
+
+@query()
+def somatic_segmentation(spark, d):
+    """Random permutations, so no SQL; tested on made signals. Every user's values are one signal."""
+    s = signal(spark, d)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("pos")
+        x, pos = f["value"].to_numpy(float), f["pos"].to_numpy()
+        pieces = CN.somatic_segments(x, permutations=1000)
+        return pd.DataFrame({"contig": f["contig"].iloc[0], "first": [pos[a] for a, _ in pieces], "last": [pos[b - 1] for _, b in pieces], "n": [b - a for a, b in pieces]})
+
+    return s.groupBy("contig").applyInPandas(run, "contig long, first long, last long, n long")
+
+
+@query()
+def denoised_sample(spark, d):
+    """The first of twelve samples against the others; its parts have oracles, the projection a test."""
+    c = cov(spark, d).groupBy((F.col("contig") % 12).alias("sample"), "bin").agg(F.sum("counts").alias("counts")).withColumns({"start": F.col("bin") * 100, "stop": F.col("bin") * 100 + 100})
+    on = F.col("bin") % 3 > 0
+    out = CN.denoised_sample(c.where("sample = 0").drop("sample"), c.where("sample > 0"), ["bin", "start", "stop"], "counts", on, 50, 1, 1, components=3)
+    return out.select("bin", "on_target", F.round("log_ratio", 6).alias("log_ratio"), F.round("denoised", 6).alias("denoised"))

@@ -120,3 +120,21 @@ def test_two_rounds_split_by_the_second_signal(spark):
     make = lambda v: spark.createDataFrame([(1, k, float(x)) for k, x in enumerate(v)], "contig int, pos long, value double")
     got = sorted((r["first"], r["last"], r["n"]) for r in CN.two_rounds(make(ratio), make(shift), ["contig"], "pos", "value").collect())
     assert len(got) == 3 and got[0][0] == 0 and got[-1][1] == 119 and abs(got[0][1] - 59) <= 2 and abs(got[1][1] - 89) <= 2 and sum(n for *_, n in got) == 120
+
+
+def test_somatic_segments():
+    rng = np.random.default_rng(6)
+    x = np.r_[np.zeros(40), np.full(40, 1.5), np.zeros(40)] + rng.normal(0, 0.2, 120)
+    got = CN.somatic_segments(x, permutations=500)
+    assert len(got) == 3 and all(abs(a - b) <= 2 for (a, _), b in zip(got, (0, 40, 80), strict=True))
+    assert CN.somatic_segments(rng.normal(0, 1, 60), permutations=500) == [(0, 60)] and CN.somatic_segments(np.zeros(30)) == [(0, 30)] and CN.somatic_segments(np.zeros(0)) == []
+    for _ in range(20):  # the best arc by plain loops
+        y = rng.normal(0, 1, 14)
+        best = 0.0
+        for i in range(len(y)):
+            for j in range(i + 2, len(y) + 1):
+                v, w = y[i:j], np.r_[y[:i], y[j:]]
+                if len(w) >= 2:
+                    pooled = np.sqrt(((len(v) - 1) * v.var() + (len(w) - 1) * w.var()) / (len(y) - 2))
+                    best = max(best, abs(v.mean() - w.mean()) / (pooled * np.sqrt(1 / len(v) + 1 / len(w))))
+        assert np.isclose(CN.somatic_arcs(y[None], 2)[0][0], best)
