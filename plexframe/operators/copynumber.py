@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from plexframe.functions.numbers import copies_of_log_ratio, expected_baf, expected_log_ratio, log_student_pdf
+from plexframe.operators.ranks import quantile, quantiles
 
 #: log2 of a hundredth, to six places: the least log ratio.
 FLOOR = -6.643856
@@ -21,19 +22,18 @@ FLOOR = -6.643856
 
 def self_log_ratio(rows: DataFrame, count: str, autosome: Column) -> DataFrame:
     """Appends log_ratio: log2(count) - log2(median autosomal count), FLOOR at least and for zero counts."""
-    median = rows.where(autosome).agg(F.percentile(count, F.lit(0.5)).alias("median"))
-    value = F.log2(count) - F.log2("median")
-    return rows.crossJoin(F.broadcast(median)).withColumn("log_ratio", F.when((F.col(count) <= 0) | value.isNull(), FLOOR).otherwise(F.greatest(value, F.lit(FLOOR)))).drop("median")  # one row
+    median = quantile(rows.where(autosome), count, 0.5)
+    value = F.log2(count) - F.log2(F.lit(median).cast("double"))
+    return rows.withColumn("log_ratio", F.when((F.col(count) <= 0) | value.isNull(), FLOOR).otherwise(F.greatest(value, F.lit(FLOOR))))
 
 
 def pair_log_ratio(rows: DataFrame, tumor: str, normal: str) -> DataFrame:
     """Appends log_ratio of the fractions of the totals: minus infinity becomes the least finite value, then median-centred."""
     totals = rows.agg(F.sum(tumor).alias("t"), F.sum(normal).alias("n"))
-    raw = rows.crossJoin(F.broadcast(totals)).withColumn("raw", F.when((F.col(tumor) > 0) & (F.col(normal) > 0), F.log2((F.col(tumor) / F.col("t")) / (F.col(normal) / F.col("n"))))).drop("t", "n")
+    raw = rows.crossJoin(F.broadcast(totals)).withColumn("raw", F.when((F.col(tumor) > 0) & (F.col(normal) > 0), F.log2((F.col(tumor) / F.col("t")) / (F.col(normal) / F.col("n"))))).drop("t", "n")  # one row
     centre = raw.agg(F.min("raw").alias("least"))
     filled = raw.crossJoin(F.broadcast(centre)).withColumn("raw", F.when(F.col(normal) > 0, F.coalesce("raw", "least")))
-    median = filled.agg(F.percentile("raw", F.lit(0.5)).alias("median"))
-    return filled.crossJoin(F.broadcast(median)).withColumn("log_ratio", F.col("raw") - F.col("median")).drop("raw", "least", "median")
+    return filled.withColumn("log_ratio", F.col("raw") - F.lit(quantile(filled, "raw", 0.5)).cast("double")).drop("raw", "least")
 
 
 def panel_medians(panel: DataFrame, keys: list[str], sample: str, count: str) -> DataFrame:
@@ -49,19 +49,32 @@ def panel_log_ratio(rows: DataFrame, medians: DataFrame, keys: list[str], count:
     return j.withColumn("log_ratio", F.log2(F.greatest(F.col(count) / F.col("total"), F.lit(impute)) / F.greatest("panel", F.lit(impute)))).drop("total")
 
 
+#: Places of an ordered signal that one window runs over; the last value before them is carried over.
+STRETCH = 1 << 16
+
+
+def first_differences(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Appends ``diff`` to the row before in a numeric order; a key's first row has none and goes. Windows run over stretches of the order."""
+    cut = rows.withColumn("stretch", F.floor(F.col(order) / STRETCH))
+    last = cut.groupBy(*keys, "stretch").agg(F.max_by(value, order).alias("end"))
+    carried = last.withColumn("carried", F.lag("end").over(Window.partitionBy(*keys).orderBy("stretch"))).drop("end")
+    before = F.coalesce(F.lag(value).over(Window.partitionBy(*keys, "stretch").orderBy(order)), F.col("carried"))
+    return cut.join(carried, [*keys, "stretch"]).withColumn("diff", F.col(value) - before).where("diff IS NOT NULL").drop("stretch", "carried")
+
+
 def difference_sd(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """keys, sd: 1.4826 times the median absolute deviation of first differences, over root two."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    diffs = rows.withColumn("diff", F.col(value) - F.lag(value).over(w)).where("diff IS NOT NULL")
-    centre = diffs.groupBy(*keys).agg(F.percentile("diff", F.lit(0.5)).alias("centre"))
-    return diffs.join(centre, keys).groupBy(*keys).agg((1.4826 / math.sqrt(2) * F.percentile(F.abs(F.col("diff") - F.col("centre")), F.lit(0.5))).alias("sd"))
+    """keys, sd: 1.4826 times the median absolute deviation of first differences, over root two; for few keys of any size."""
+    diffs = first_differences(rows, keys, order, value)
+    centre = quantiles(diffs, keys, "diff", [0.5])
+    away = diffs.join(F.broadcast(centre), keys).withColumn("away", F.abs(F.col("diff") - F.col("q0")))  # a row per key, MAX_GROUPS at most
+    return quantiles(away.drop("q0"), keys, "away", [0.5]).select(*keys, (1.4826 / math.sqrt(2) * F.col("q0")).alias("sd"))
 
 
 def clamp_outliers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Values beyond the 1st and 99th percentile by 1.5 times their distance are set to that bound."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.01)).alias("lo"), F.percentile(value, F.lit(0.99)).alias("hi"))
+    """Values beyond the 1st and 99th percentile by 1.5 times their distance are set to that bound; for few keys of any size."""
+    q = quantiles(rows, keys, value, [0.01, 0.99]).withColumnsRenamed({"q0": "lo", "q1": "hi"})
     r = 1.5 * (F.col("hi") - F.col("lo"))
-    return rows.join(q, keys).withColumn(value, F.least(F.greatest(F.col(value), F.col("lo") - r), F.col("hi") + r)).drop("lo", "hi")
+    return rows.join(F.broadcast(q), keys).withColumn(value, F.least(F.greatest(F.col(value), F.col("lo") - r), F.col("hi") + r)).drop("lo", "hi")
 
 
 def sex_of_ratio(ratio: Column, female: float = 25, unknown: float = 20) -> Column:
@@ -174,7 +187,10 @@ def ideal_intervals(rows: DataFrame, autosome: Column, coverage: str = "coverage
     size = F.col("stop") - F.col("start")
     marked = rows.withColumn("valid", valid_intervals(coverage, gc))
     lo, hi = IDEAL_GC
-    q = marked.where("valid").groupBy(on_target).agg(F.percentile(coverage, F.lit(IDEAL_COVERAGE)).alias("q_cov"), F.percentile(gc, F.lit(lo)).alias("q_lo"), F.percentile(gc, F.lit(hi)).alias("q_hi"), F.percentile(size, F.lit(IDEAL_SIZE)).alias("q_size"))
+    good = marked.where("valid")
+    q = quantiles(good, [on_target], coverage, [IDEAL_COVERAGE]).withColumnRenamed("q0", "q_cov")
+    q = q.join(quantiles(good, [on_target], gc, [lo, hi]).withColumnsRenamed({"q0": "q_lo", "q1": "q_hi"}), on_target)
+    q = q.join(quantiles(good.withColumn("size", size), [on_target], "size", [IDEAL_SIZE]).withColumnRenamed("q0", "q_size"), on_target)
     out = marked.join(F.broadcast(q), on_target, "left")  # a row for on and off target each
     shape = F.when(F.col(on_target), F.col(mappability) >= 1).otherwise(size >= F.col("q_size"))
     ideal = F.col("valid") & autosome & (F.col(coverage) <= F.col("q_cov")) & F.col(gc).between(F.col("q_lo"), F.col("q_hi")) & shape

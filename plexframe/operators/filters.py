@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from plexframe.operators.intervals import overlap_flag, range_join
+from plexframe.operators.ranks import quantile
 
 #: Base types in order: a later one meets the minimum of an earlier one.
 BASE_TYPES = ("discordant", "simplex", "concordant")
@@ -174,7 +175,7 @@ def dense_segments(segments: DataFrame, intervals: DataFrame, least: float = 0.5
 
 def coverage_check(rows: DataFrame, count: str, least: float = 10) -> DataFrame:
     """One row: the median count of intervals, the percentage below the threshold, and whether the median reaches it."""
-    out = rows.agg(F.percentile(count, F.lit(0.5)).alias("median"), (100 * F.avg((F.col(count) < least).cast("double"))).alias("percent_low"))
+    out = rows.agg((100 * F.avg((F.col(count) < least).cast("double"))).alias("percent_low")).withColumn("median", F.lit(quantile(rows, count, 0.5)).cast("double")).select("median", "percent_low")
     return out.withColumn("enough", F.coalesce(F.col("median") >= least, F.lit(False)))
 
 

@@ -282,3 +282,26 @@ def test_intervals_across_tiles_and_levels(spark, monkeypatch):
         assert sorted((r.start, r.stop) for r in I.subtract(left, df, "key").collect()) == islands(sorted(set(range(10, 2500)) - set(covered[c])))
     w = I.split_windows(spark.createDataFrame([(1, 0, 500)], "contig int, start long, stop long"), 30).withColumn("state", F.floor(F.col("start") / 120))
     assert [(r.start, r.stop) for r in sorted(I.merge_adjacent(w, same=("state",)).collect())] == [(0, 120), (120, 240), (240, 360), (360, 480), (480, 500)]
+
+
+def test_quantiles_of_any_size(spark):
+    from plexframe.operators.ranks import quantile, quantiles
+
+    rng = np.random.default_rng(9)
+    rows = [("a", float(x)) for x in rng.lognormal(0, 3, 4000)] + [("b", 2.0)] * 50 + [("c", float(x)) for x in rng.integers(0, 5, 301)] + [(None, 1.0), (None, 4.0), ("d", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in quantiles(df, ["g"], "v", [0.01, 0.5, 0.99]).collect()}
+    for g in ("a", "b", "c", None):
+        own = [v for k, v in rows if k == g and v is not None and v == v]
+        assert np.allclose(got[g], np.quantile(own, [0.01, 0.5, 0.99]), rtol=1e-12)
+    assert "d" not in got and quantile(df.limit(0), "v", 0.5) is None and quantile(df.where("g = 'b'"), "v", 0.3) == 2.0
+
+
+def test_differences_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(CN, "STRETCH", 7)
+    rng = np.random.default_rng(10)
+    pos = np.sort(rng.choice(200, 60, replace=False))
+    v = rng.normal(size=60)
+    df = spark.createDataFrame([("k", int(p), float(x)) for p, x in zip(pos, v)], "k string, pos long, v double").repartition(3)
+    got = sorted((r["pos"], r["diff"]) for r in CN.first_differences(df, ["k"], "pos", "v").collect())
+    assert [p for p, _ in got] == pos[1:].tolist() and np.allclose([d for _, d in got], np.diff(v))
