@@ -49,7 +49,7 @@ GROUP_PAIRS, HUB_PAIRS = 2_000, 500
 #: Rounds against hubs; pairs of the first band behind them, or 2 % of all that are left.
 STARS, BAND_PAIRS = 3, 10_000
 #: Postings of a shingle that one task pairs with as many others; a longer list is cut into blocks.
-LIST = 500
+LIST = 2000
 #: Bytes of marked rows that are broadcast at most, and pairs or labels (16 bytes each); more are joined by a shuffle.
 MARK_BYTES, SMALL = 32 << 20, 1_000_000
 FAN_IN = 1024
@@ -340,9 +340,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     full = 1 << 62
     while low < full:
         named = alive()
-        # Every two blocks of a list meet in a task of their own: x comes once for each block of y, and the other way round.
-        block, every = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        x, y = named.withColumn("i", block).withColumn("j", every).alias("x"), named.withColumn("j", block).withColumn("i", every).alias("y")
+        # Blocks ascend with fp, so the smaller class of a pair lies in the same block or an earlier one: x comes
+        # once for its own and every later block of y, y once for its own and every earlier block of x.
+        block = F.shiftright((F.shiftright("fp", 32) + F.lit(1 << 31)) * F.col("blocks"), 32)
+        cut = named.withColumn("own", block)
+        x = cut.withColumnRenamed("own", "i").withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1))).alias("x")
+        y = cut.withColumnRenamed("own", "j").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j")))).alias("y")
         hash_ = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("x.fp"), F.col("y.fp")), 2)
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
         cross = x.join(y, same & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c")) & near("x", "y") & (hash_ >= low))
