@@ -753,12 +753,14 @@ def genome_intervals(lengths: DataFrame, blocked: DataFrame, track: DataFrame, g
     whole stay, of moderate GC (``gc_of`` has contig, start, stop, gc).
     """
     from plexframe.operators import filters as L, intervals as I
+    from plexframe.session import Scratch
 
+    scratch = Scratch(lengths.sparkSession)  # each step reads the one before several times
     whole = lengths.where(I.canonical(F.col("contig").cast("string"))).select("contig", F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("stop")).withColumn("key", F.col("contig").cast("string"))
-    left = I.subtract(whole, blocked.select("contig", "start", "stop"), "key")
-    unmapped = I.complement(track.where("score > 0").select("contig", "start", "stop"), lengths)
+    left = scratch.write(I.subtract(whole, blocked.select("contig", "start", "stop"), "key"), "unblocked")
+    unmapped = scratch.write(I.complement(track.where("score > 0").select("contig", "start", "stop"), lengths), "unmapped")
     left = I.subtract(left.withColumn("key", F.concat_ws(":", "contig", "start")), unmapped, "key").drop("key")
-    windows = I.split_windows(left, size).where(F.col("stop") - F.col("start") >= size)
+    windows = scratch.write(I.split_windows(left, size).where(F.col("stop") - F.col("start") >= size), "windows")
     good = L.mappable(windows, track.select("contig", "start", "stop", "score"), autosome, least_autosome, least_allosome)
     at = ["contig", "start", "stop"]
     shared = F.least("stop", "r_stop") - F.greatest("start", "r_start")

@@ -313,14 +313,14 @@ def two_round_segments(spark, d):
     return out.withColumn("mean", F.round("mean", 6))
 
 
-@query(f"""WITH len AS (SELECT s_suppkey AS contig FROM supplier), w AS (SELECT contig, k * 90 AS s FROM len, range(0, 44) AS t(k)), track AS (SELECT contig, s AS start, s + 90 AS stop, (s // 90 + contig) % 4 / 3.0 AS score, (s // 90 + 2 * contig) % 10 / 10.0 AS gc FROM w),
+@query(f"""WITH len AS (SELECT s_suppkey AS contig FROM supplier), w AS (SELECT contig, k * 90 AS s FROM len, range(0, 44) AS t(k)), track AS (SELECT contig, s AS start, s + 90 AS stop, (s // 90 + contig) % 4 / 4.0 AS score, (s // 90 + 2 * contig) % 8 / 8.0 AS gc FROM w),
     p AS (SELECT contig, unnest(range(start, stop)) AS p, score, gc FROM track), b AS (SELECT * FROM p WHERE score > 0 AND NOT (contig % 3 = 0 AND p BETWEEN 500 AND 699)), i AS (SELECT *, p - row_number() OVER (PARTITION BY contig ORDER BY p) AS isl FROM b),
     o AS (SELECT *, p - min(p) OVER (PARTITION BY contig, isl) AS off, min(p) OVER (PARTITION BY contig, isl) AS first FROM i), win AS (SELECT contig, first + off // 60 * 60 AS start, count(*) AS n, avg(score) AS m, avg(gc) AS gc FROM o GROUP BY ALL)
-    SELECT contig, start::BIGINT AS start, (start + 60)::BIGINT AS stop, round(m, 6) AS mappability, round(gc, 6) AS gc FROM win WHERE n = 60 AND m >= CASE WHEN contig % 9 > 0 THEN 0.5 ELSE 0.9 END AND round(gc, 9) BETWEEN 0.15 AND 0.75""")
+    SELECT contig, start::BIGINT AS start, (start + 60)::BIGINT AS stop, round(m, 6) AS mappability, round(gc, 6) AS gc FROM win WHERE n = 60 AND m >= CASE WHEN contig % 9 > 0 THEN 0.5 ELSE 0.9 END AND gc BETWEEN 0.15 AND 0.75""")
 def genome_intervals(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("contig"))
     lengths = s.withColumn("length", F.lit(44 * 90))
-    track = s.withColumn("k", F.explode(F.expr("sequence(0L, 43L)"))).select("contig", (F.col("k") * 90).alias("start"), (F.col("k") * 90 + 90).alias("stop"), ((F.col("k") + F.col("contig")) % 4 / 3.0).alias("score"), ((F.col("k") + 2 * F.col("contig")) % 10 / 10.0).alias("gc"))
+    track = s.withColumn("k", F.explode(F.expr("sequence(0L, 43L)"))).select("contig", (F.col("k") * 90).alias("start"), (F.col("k") * 90 + 90).alias("stop"), ((F.col("k") + F.col("contig")) % 4 / 4.0).alias("score"), ((F.col("k") + 2 * F.col("contig")) % 8 / 8.0).alias("gc"))
     blocked = s.where("contig % 3 = 0").select("contig", F.lit(500).cast("long").alias("start"), F.lit(700).cast("long").alias("stop"))
     out = CN.genome_intervals(lengths, blocked, track, track, 60, F.col("contig") % 9 > 0, 0.5, 0.9)
     return out.withColumns({"mappability": F.round("mappability", 6), "gc": F.round("gc", 6)})
@@ -395,3 +395,45 @@ def denoised_sample(spark, d):
     on = F.col("bin") % 3 > 0
     out = CN.denoised_sample(c.where("sample = 0").drop("sample"), c.where("sample > 0"), ["bin", "start", "stop"], "counts", on, 50, 1, 1, components=3)
     return out.select("bin", "on_target", F.round("log_ratio", 6).alias("log_ratio"), F.round("denoised", 6).alias("denoised"))
+
+
+_SUBS = "['AC', 'AG', 'AT', 'CA', 'CG', 'CT', 'GA', 'GC', 'GT', 'ID', 'TA', 'TC', 'TG']"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT substring('ACGTN', (l_partkey % 5 + 1)::INTEGER, 1) AS ref, substring('ACGTN', (l_suppkey % 5 + 1)::INTEGER, 1) || CASE WHEN l_linenumber > 5 THEN 'A' ELSE '' END AS alt FROM lineitem)
+    SELECT ref, alt, regexp_full_match(ref, '[ACGT]+') AS acgt, CASE WHEN length(alt) > 1 THEN 10 ELSE nullif(list_position({_SUBS}, ref || alt), 0) END::INTEGER AS idx FROM p""")
+def substitution_indexes(spark, d):
+    pick = lambda c: F.expr(f"substring('ACGTN', cast({c} % 5 + 1 as int), 1)")
+    p = table(spark, d, "lineitem").select(pick("l_partkey").alias("ref"), F.concat(pick("l_suppkey"), F.when(F.col("l_linenumber") > 5, "A").otherwise("")).alias("alt")).distinct()
+    return p.select("ref", "alt", S.is_acgt("ref").alias("acgt"), S.substitution_index("ref", "alt").alias("idx"))
+
+
+@query("""WITH p AS (SELECT DISTINCT 'A' || repeat('C', (l_partkey % 4)::INTEGER) AS ref, 'A' || repeat('G', (l_suppkey % 2)::INTEGER) || repeat('C', (l_linenumber % 3)::INTEGER) AS alt, l_partkey % 4 AS a, l_suppkey % 2 AS g, l_linenumber % 3 AS b FROM lineitem), k AS (SELECT *, CASE WHEN g = 0 THEN least(a, b) ELSE least(a, b) END AS n FROM p)
+    SELECT DISTINCT ref, alt, substring(ref, 1, (length(ref) - n)::INTEGER) AS ref_trimmed, substring(alt, 1, (length(alt) - n)::INTEGER) AS alt_trimmed FROM k""")
+def trimmed_alleles(spark, d):
+    c = F.col
+    p = table(spark, d, "lineitem").select(F.concat(F.lit("A"), F.expr("repeat('C', cast(l_partkey % 4 as int))")).alias("ref"), F.concat(F.lit("A"), F.expr("repeat('G', cast(l_suppkey % 2 as int))"), F.expr("repeat('C', cast(l_linenumber % 3 as int))")).alias("alt")).distinct()
+    a, b = S.trim_common_suffix("ref", "alt")
+    return p.select(c("ref"), c("alt"), a.alias("ref_trimmed"), b.alias("alt_trimmed"))
+
+
+@query("WITH q AS (SELECT l_orderkey AS id, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS q FROM lineitem GROUP BY 1) SELECT id, array_to_string(CASE WHEN list_min(q) <= 1 THEN list_transform(q, lambda x: list_min(q)) ELSE q END, ',') AS quals FROM q")
+def homopolymer_masking(spark, d):
+    q = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("q"))
+    return q.select("id", F.array_join(RD.masked_quality(F.lit(None), "q", 1).cast("array<string>"), ",").alias("quals"))
+
+
+@query("""WITH n AS (SELECT DISTINCT l_partkey % 18 AS f, l_linenumber AS p, l_suppkey % 5 AS m FROM lineitem) SELECT f, p, m, CASE WHEN f < 16 THEN f & 1 > 0 END AS umi3, CASE WHEN f < 16 THEN f & 8 > 0 END AS sid5, p::INTEGER AS plus, m::INTEGER AS minus, (p + m)::INTEGER AS size,
+    CASE WHEN m = 0 THEN 'full' WHEN p = 0 THEN 'partial' ELSE 'mixed' END AS kind, CASE WHEN f = 0 THEN 'forward' ELSE 'mixed' END AS way FROM n""")
+def read_names(spark, d):
+    c = F.col
+    n = table(spark, d, "lineitem").select((c("l_partkey") % 18).alias("f"), c("l_linenumber").alias("p"), (c("l_suppkey") % 5).alias("m")).distinct()
+    flags = S.umi_flags(F.concat(F.lit("read|"), c("f").cast("string")))
+    counts = S.family_counts(F.concat_ws("-", F.lit("1:2"), F.lit("a"), F.lit("b"), c("p").cast("string"), c("m").cast("string"), (c("p") + c("m")).cast("string")))
+    kind, way = S.cluster_kind("p", F.when(c("f") > 0, 1).otherwise(0), "m", F.lit(0))
+    return n.select("f", "p", "m", flags["umi3"].alias("umi3"), flags["sid5"].alias("sid5"), counts["plus"].alias("plus"), counts["minus"].alias("minus"), counts["size"].alias("size"), kind.alias("kind"), way.alias("way"))
+
+
+@query("SELECT n, CASE WHEN n >= 1e9 THEN printf('%.1fG', round(n / 1e9, 1)) WHEN n >= 1e6 THEN printf('%.1fM', round(n / 1e6, 1)) WHEN n >= 1e3 THEN printf('%.1fk', round(n / 1e3, 1)) ELSE n::VARCHAR END AS text FROM (SELECT event_id * event_id * 37 AS n FROM events)")
+def metric_suffixes(spark, d):
+    return table(spark, d, "events").select((F.col("event_id") * F.col("event_id") * 37).alias("n")).select("n", N.metric_suffix("n").alias("text"))
