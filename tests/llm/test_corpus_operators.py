@@ -530,3 +530,30 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert collections.Counter(r.doc_id for r in seen["packing"].where("piece = 0").collect()) == mixed
     assert [name for name, _ in P.STAGES] == ["language", "near_duplicates", "personal_data", "mixture", "packing"]
     assert P.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids, sources and texts, repeated rows and columns that clash with the stages' own go through all stages; so does an empty table."""
+    import corpus_pipeline as P
+
+    text = "the quick brown fox jumps over the lazy dog and runs away from the old house near the river " * 3
+    rows = [(1, text, "en", "a", 9)] * 3 + [(None, text + " again", "en", None, 9), (None, None, None, None, None), (2, "", "en", "a", 0), (3, "12 34", "en", "b", 5), (4, "call +1 2345678 or mail me@x.org " + text[::-1], "en", "b", 9), (5, "der alte Hund schläft im Garten unter dem großen Baum", "de", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in ("spans", "text_redacted", "lang_pred", "score", "fp", "th", "mark_id", "own_0", "mix_h", "size", "copies", "taken", "n_email")})
+    scratch, at = Scratch(spark), docs
+    for name, stage in P.STAGES[:-1]:
+        at = scratch.write(stage(spark, at, str(tmp_path)), name)
+        assert at.columns == docs.columns and {r["fp"] for r in at.collect()} <= {"own fp"} and {r["size"] for r in at.collect()} <= {"own size"}
+        kept = collections.Counter(r["doc_id"] for r in at.collect())
+        if name == "language":
+            assert kept == collections.Counter({1: 3, None: 1, 4: 1, 5: 1})
+        if name == "near_duplicates":
+            assert kept == collections.Counter({1: 1, 4: 1, 5: 1}) or kept == collections.Counter({1: 1, None: 1, 4: 1, 5: 1})
+        if name == "personal_data":
+            assert all("@" not in r["text"] and r["n_chars"] == len(r["text"]) for r in at.collect())
+    assert check_packed(P.STAGES[-1][1](spark, at, str(tmp_path)).collect(), 4096) >= 1
+    empty = docs.limit(0)
+    for name, stage in P.STAGES[:-1]:
+        empty = scratch.write(stage(spark, empty, str(tmp_path)), name)
+        assert empty.columns == docs.columns and empty.isEmpty()
+    assert P.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
