@@ -46,8 +46,9 @@ ORDERS = (101, 202)
 #: Classes that a task remembers, so as to post equal sets once.
 SEEN = 200_000
 GROUP_PAIRS, HUB_PAIRS = 2_000, 500
-#: Rounds against hubs; pairs of the first band behind them, or 2 % of all that are left.
-STARS, BAND_PAIRS = 3, 10_000
+#: Rounds against hubs; pairs of the first band behind them, or one to so many postings, or 2 % of all that are left:
+#: bands grow with the table, so that their number doesn't.
+STARS, BAND_PAIRS, BAND_SHARE = 3, 10_000, 8
 #: Postings of a shingle that one task pairs with as many others; a longer list is cut into blocks.
 LIST = 2000
 #: Bytes of marked rows that are broadcast at most, and pairs or labels (16 bytes each); more are joined by a shuffle.
@@ -351,7 +352,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         cross = x.join(y, same & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c")) & near("x", "y") & (hash_ >= low))
         # How many there are decides how wide a band this round takes.
         n = cross.where(F.pmod(hash_, F.lit(1 << 4)) == 0).count() * 16
-        budget = max(budget, 2 * n // 100)
+        budget = max(budget, 2 * n // 100, named.count() // BAND_SHARE if low == 0 else 0)
         high = full if n <= budget else low + int((full - low) * (budget / n))
         a = F.when(F.col("x.n") <= F.col("y.n"), F.struct(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))).otherwise(F.struct(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")))
         check(cross.where(hash_ < high).select(a.alias("p")).select("p.*").distinct())
