@@ -32,7 +32,7 @@ UNDECIDED = "und"
 #: Bytes of text that are coded at once; distinct codes that a counting task holds before it passes them on.
 BYTES, HELD = 1 << 20, 1_000_000
 #: Slots of the table that numbers a batch's codes.
-_SLOT_BITS = 21
+_SLOT_BITS = 18
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -116,18 +116,27 @@ class Tree:
             out.q.append(np.bincount(at, minlength=len(context)).astype(np.float64))
         return out
 
-    def costs(self, codes: np.ndarray) -> np.ndarray:
-        """Bits of each code, which are to be in order."""
-        p = np.full(len(codes), 1 / 256)
-        for k, own in enumerate(self.codes):
-            code = codes & np.uint32((1 << 8 * (k + 1)) - 1)
-            at, known = _find(self.contexts[k], code >> np.uint32(8))
-            n, q = self.n[k][at], self.q[k][at]
-            at, seen = _find(own, code)
+    def costs(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Bits of each of the longest codes of ``endings``, level by level."""
+        p = np.full(1, 1 / 256)
+        for k, (codes, shorter) in enumerate(levels):
+            at, known = _find(self.contexts[k], codes >> np.uint32(8))
+            n, q, p = self.n[k][at], self.q[k][at], p[shorter]
+            at, seen = _find(self.codes[k], codes)
             p = np.where(known, np.where(seen, self.counts[k][at], q * p) / (n + q), p)
         return -np.log2(p)
 
 
+def endings(codes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For contexts of 0 to ``order`` bytes: the distinct codes (the longest are given, in order) and where each one's next shorter code is among those before."""
+    out = []
+    for k in range(order, 0, -1):
+        shorter, at = np.unique(codes & np.uint32((1 << 8 * k) - 1), return_inverse=True)
+        out.append((codes, at))
+        codes = shorter
+    return [(codes, np.zeros(len(codes), np.int64)), *out[::-1]]
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return at, table[at] == keys
@@ -214,9 +223,9 @@ def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
         by = np.argsort(own)
         rank = np.empty(len(own), np.int32)
         rank[by] = np.arange(len(own), dtype=np.int32)
-        own, number = own[by], rank[number]
+        levels, number = endings(own[by], model.order), rank[number]
         for k, tree in enumerate(model.trees()):
-            bits[filled, k] = np.add.reduceat(tree.costs(own)[number], offsets[filled])
+            bits[filled, k] = np.add.reduceat(tree.costs(levels)[number], offsets[filled])
     return bits
 
 
