@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window
 
-from plexframe.session import Scratch
+from plexframe.session import Scratch, local_table
 
 #: Words are runs of other characters than these.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -81,7 +81,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     target = shares([r[1] for r in sources], weights)
     copies = [min(MAX_REPEATS, int(t / r[1] + 1e-9)) if r[1] else 0 for t, r in zip(target, sources, strict=True)]
     budget = {k: t - c * r[1] for k, (t, c, r) in enumerate(zip(target, copies, sources, strict=True)) if r[1]}
-    names = spark.createDataFrame([(k, r[0], int(r[1]), t, c) for k, (r, t, c) in enumerate(zip(sources, target, copies, strict=True))], "mix_k int, mix_name string, source_size long, target double, mix_copies int")
+    names = local_table(spark, [(k, r[0], int(r[1]), t, c) for k, (r, t, c) in enumerate(zip(sources, target, copies, strict=True))], "mix_k int, mix_name string, source_size long, target double, mix_copies int")
     named = lambda df: df.join(F.broadcast(names), F.col("mix_source").eqNullSafe(F.col("mix_name")))
     rules = thresholds(named(rows).select("mix_k", "mix_size", "mix_h", "mix_g"), {k: b for k, b in budget.items() if b >= 1}, scratch)
     scratch.drop(rows)
@@ -116,7 +116,7 @@ def thresholds(rows: DataFrame, budget: dict[int, float], scratch: Scratch) -> D
         path = {k: 0 for k in now}
         depth, found, here = 0, {}, rows
         while path:
-            state = F.broadcast(spark.createDataFrame([(k, path[k], float(now[k]), most[k], *floor[k]) for k in path], "mix_k int, path long, budget double, most long, fh long, fg long"))
+            state = F.broadcast(local_table(spark, [(k, path[k], float(now[k]), most[k], *floor[k]) for k in path], "mix_k int, path long, budget double, most long, fh long, fg long"))
             open_ = here.join(state, "mix_k").where((F.col("mix_size") <= F.col("most")) & ((F.col("mix_h") > F.col("fh")) | ((F.col("mix_h") == F.col("fh")) & (F.col("mix_g") > F.col("fg")))))
             if depth:  # the path names the bucket of the level before
                 open_ = open_.where(F.col("path") == path_id(depth))
@@ -141,7 +141,7 @@ def thresholds(rows: DataFrame, budget: dict[int, float], scratch: Scratch) -> D
         for k, bound in found.items():
             rules[k].append((*bound, most[k]))
             floor[k], left[k] = bound, now[k]
-    return spark.createDataFrame([(k, x) for k, x in rules.items()], "mix_k int, mix_rules array<struct<h: long, g: long, most: long>>")
+    return local_table(spark, [(k, [dict(zip(("h", "g", "most"), r, strict=True)) for r in x]) for k, x in rules.items()], "mix_k int, mix_rules array<struct<h: long, g: long, most: long>>")
 
 
 def histogram(open_rows: DataFrame, depth: int) -> DataFrame:

@@ -327,7 +327,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     kind = pa.string() if docs.schema[id_col].dataType == T.StringType() else pa.int64()
     name = "string" if kind == pa.string() else "long"
     rows = docs.select(F.col(id_col).cast(name).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(run, "tokens"), f"doc_id {name}, piece int, start long, length long, ids_crc32 long")
+    # Not tidy(run, "tokens"): idle workers would each keep a table of words beside those of the stages' own.
+    return rows.mapInArrow(tidy(run), f"doc_id {name}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

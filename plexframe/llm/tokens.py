@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import cache
+from functools import cache, cached_property
 
 import public_tokenizers
 import tiktoken
@@ -49,7 +49,12 @@ class Words(dict):
             end = token.endswith("</w>")
             ranks[bytes(char[c] for c in (token[:-4] if end else token)) + _END * end] = rank
         self._bpe = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.whole = Tokenizer.from_file(path)
+        self._path = path
+
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The tokenizer itself, read only once a text needs it."""
+        return Tokenizer.from_file(self._path)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
@@ -67,7 +72,7 @@ class Words(dict):
 
 @cache
 def words(name: str = VOCABULARY) -> Words:
-    """One table per worker, kept across its tasks."""
+    """One table per worker, until its task ends."""
     return Words(public_tokenizers.path(name))
 
 

@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +65,13 @@ def temporary() -> Iterator[None]:
         release(start)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's rows as a part of the plan; ``createDataFrame`` of a list would start Python workers of another kind on the executors, which stay."""
+    kind = to_arrow_schema(T.DataType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], kind))
+
+
 #: Bytes that a writer of a scratch table holds back for one row group.
 ROW_GROUP = 8 << 20
 

@@ -557,3 +557,28 @@ def test_pipeline_odd_rows(spark, tmp_path):
         empty = scratch.write(stage(spark, empty, str(tmp_path)), name)
         assert empty.columns == docs.columns and empty.isEmpty()
     assert P.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_mixture_starts_no_other_python_workers(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    rules = mixing.thresholds(spark.createDataFrame([], "mix_k int, mix_size long, mix_h long, mix_g long"), {}, Scratch(spark))
+    assert rules.collect() == [] and rules.schema.simpleString() == "struct<mix_k:int,mix_rules:array<struct<h:bigint,g:bigint,most:bigint>>>"
+
+
+def test_workers_let_go_of_their_words(spark):
+    def kept(batches):
+        import os
+
+        import pyarrow as pa
+
+        from plexframe.llm import tokens
+
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "tables": [tokens.words.cache_info().currsize]})
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(16)
+    assert packing.tokenize(docs).count() > 0
+    got = spark.range(64).repartition(64).mapInArrow(kept, "pid long, tables long").collect()
+    assert len(got) >= 16 and max(r.tables for r in got) == 0
