@@ -122,9 +122,10 @@ def vcf_header(spark: SparkSession, path: str) -> dict:
     import re
 
     out: dict = {"info": {}, "format": {}, "filter": [], "samples": [], "contigs": {}}
+    first = next((p for p in parts(spark, path) if not _lines(spark, p).isEmpty()), path)
     n = 1000
-    while True:  # a header is at the top: only as many lines are read as it has
-        top = [r["value"] for r in _lines(spark, path).limit(n).collect()]
+    while True:  # a header is at the top of the first file: only as many lines are read as it has
+        top = [r["value"] for r in _lines(spark, first).limit(n).collect()]
         if len(top) < n or not top[-1].startswith("#"):
             break
         n *= 4
@@ -163,9 +164,29 @@ def info_values(info: Column, name: str, kind: str = "double") -> Column:
     return F.coalesce(F.transform(F.try_element_at(info, F.lit(name)), lambda x: x.try_cast(kind)), F.array().cast(f"array<{kind}>"))
 
 
+def parts(spark: SparkSession, path: str) -> list[str]:
+    """The files of a table in order of their names, without hidden ones."""
+    return [p for p in paths(spark, path) if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
+def first_line(spark: SparkSession, path: str, comment: str = "#") -> str | None:
+    """The first line of a table that is no comment, of its first file by name; the order of Spark's rows says nothing about that."""
+    for p in parts(spark, path):
+        if found := _lines(spark, p).where(~F.col("value").startswith(comment)).limit(1).collect():
+            return found[0]["value"]
+    return None
+
+
 def table(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """A tab-separated table with ``#`` comments; rows that don't fit the schema raise."""
-    return spark.read.csv(path, sep="\t", header=header, schema=schema, comment="#", mode="FAILFAST")
+    """A tab-separated table with ``#`` comments; rows that don't fit the schema raise.
+
+    Of several files the first has the header; others may repeat it.
+    """
+    if not header:
+        return spark.read.csv(path, sep="\t", header=False, schema=schema, comment="#", mode="FAILFAST")
+    head = first_line(spark, path)
+    rows = _lines(spark, path).where(~F.col("value").startswith("#") & (F.col("value") != F.lit(head)))
+    return rows.select(F.from_csv("value", F.lit(schema), {"sep": "\t", "mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 COVERAGE = "contig string, start long, stop long, counts double, total_coverage double, on_target boolean, mean_mapq double"
@@ -183,7 +204,7 @@ def segments(spark: SparkSession, path: str, schema: str = SEGMENTS) -> DataFram
 def features(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
     """The needed columns of a feature table, by its own header; rows with too few columns are skipped, bad numbers raise."""
     lines = spark.read.text(path).where(~F.col("value").startswith("##"))
-    head = lines.first()["value"]
+    head = first_line(spark, path, "##") or ""
     names = head.lstrip("#").split("\t")
     lacking = [c for c in needed if c not in names]
     if lacking:
