@@ -39,9 +39,18 @@ def heterozygosity_shift(b) -> Column:
     return 2 * F.abs(_col(b) - 0.5)
 
 
+#: The logarithms of the first factorials: exact where Stirling's series would be off by a rounding.
+LOG_FACTORIALS = [math.lgamma(k + 1) for k in range(171)]
+
+
 def log_gamma(x) -> Column:
-    """Stirling's series after a shift by eight, to about 1e-12."""
+    """Of small whole numbers by table, else Stirling's series after a shift by eight, to about 1e-12."""
     z = _col(x).cast("double")
+    whole = (z == F.floor(z)) & (z >= 1) & (z <= len(LOG_FACTORIALS))
+    return F.when(whole, F.element_at(F.array(*map(F.lit, LOG_FACTORIALS)), F.when(whole, z).otherwise(1.0).cast("int"))).otherwise(_stirling(z))
+
+
+def _stirling(z: Column) -> Column:
     shift = z
     product = F.lit(0.0)
     for _ in range(8):
@@ -94,7 +103,7 @@ def cnv_status(tcn, minor, base=2, somatic: bool = True) -> Column:
 def metric_suffix(n) -> Column:
     """1234567 -> 1.2M."""
     n = _col(n)
-    form = lambda d, s: F.concat(F.format_number(F.round(n / d, 1), 1), F.lit(s))
+    form = lambda d, s: F.format_string(f"%.1f{s}", F.round(n / d, 1))
     return F.when(n >= 1e9, form(1e9, "G")).when(n >= 1e6, form(1e6, "M")).when(n >= 1e3, form(1e3, "k")).otherwise(n.cast("string"))
 
 
