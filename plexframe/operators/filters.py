@@ -99,7 +99,7 @@ def mappable(intervals: DataFrame, track: DataFrame, autosome: Column, least_aut
     at = ["contig", "start", "stop"]
     shared = F.least("stop", "r_stop") - F.greatest("start", "r_start")
     mean = range_join(intervals.select(*at).distinct(), track).groupBy(*at).agg((F.sum(shared * F.col("r_score")) / F.sum(shared)).alias("mappability"))
-    return intervals.join(mean, at).where(F.col("mappability") >= F.when(autosome, least_autosome).otherwise(least_allosome))
+    return intervals.hint("merge").join(mean, at).where(F.col("mappability") >= F.when(autosome, least_autosome).otherwise(least_allosome))
 
 
 def both_covered(pairs: DataFrame, tumor: str, normal: str, least_tumor: float, least_normal: float) -> DataFrame:

@@ -40,7 +40,8 @@ def range_join(left: DataFrame, right: DataFrame, size: int = BIN) -> DataFrame:
     first = F.floor(F.greatest("start", "r_start") / width)
     on = (a.contig == b.r_contig) & (F.col("level") == F.col("r_level")) & (F.col("bin") == F.col("r_bin"))
     on &= (F.col("start") < F.col("r_stop")) & (F.col("stop") > F.col("r_start")) & (F.col("level") == F.greatest("own", "r_own")) & (F.col("bin") == first)
-    return a.join(b, on).drop("bin", "level", "own", "r_bin", "r_level", "r_own", "r_contig")
+    # Exploded rows are estimated as one each: without the hint millions of bins of a small table may be broadcast.
+    return a.hint("merge").join(b, on).drop("bin", "level", "own", "r_bin", "r_level", "r_own", "r_contig")
 
 
 def overlap_flag(left: DataFrame, right: DataFrame, size: int = BIN) -> DataFrame:
