@@ -276,6 +276,33 @@ def arc_squares(rows: np.ndarray, least: int, most: int = 0) -> tuple[np.ndarray
     return best, first, end
 
 
+#: Permutations judged at a time; most tests of a signal without a change end with the first of them.
+JUDGED = 128
+
+
+def largest_square(rows: np.ndarray, least: int, most: int = 0, above: float = 0.0) -> np.ndarray:
+    """The sums of squares of ``arc_squares`` alone; where none exceeds ``above`` it may be less.
+
+    No arc of a width differs by more than the range of the sums, so that
+    most rows are left out at most widths.
+    """
+    m, n = rows.shape
+    s = np.zeros((n + 1, m))
+    np.cumsum((rows - rows.mean(1, keepdims=True)).T, 0, out=s[1:])
+    bound = (s.max(0) - s.min(0)) ** 2 * n
+    order = np.argsort(-bound, kind="stable")
+    s, bound, best = s[:, order], -bound[order], np.zeros(m)
+    for width in range(least, min(n - least, n - 1, most - 1 if most else n) + 1):
+        scale = width * (n - width)
+        k = int(np.searchsorted(bound, -above * scale * (1 - 1e-9)))
+        if k:
+            d = np.abs(s[width:n, :k] - s[: n - width, :k]).max(0)
+            np.maximum(best[:k], d**2 * n / scale, out=best[:k])
+    out = np.empty(m)
+    out[order] = best
+    return out
+
+
 def tail(t: float, m: int, k: int = SMALL_ARC, steps: int = 100) -> float:
     """Siegmund's approximation of the chance of such a maximum among m observations, for arcs of k and more; nu's series has two terms, as in the reference."""
     u = 0.5 + np.arange(steps) * (0.5 - k / m) / steps
@@ -306,8 +333,11 @@ def student_p(t: float, df: float) -> float:
     return 1 - front * h if swap else front * h
 
 
-def arc_differs(x: np.ndarray, between: float, width: int, p: float, least: int, permutations: int, sure: float, rng: np.random.Generator) -> bool:
-    """The hybrid test of the best arc; ``between`` is its sum of squares, and F (which the reference names t) follows from it."""
+def arc_differs(x: np.ndarray, between: float, width: int, p: float, least: int, permutations: int, sure: float, rng: np.random.Generator, follows: bool = True) -> bool:
+    """The hybrid test of the best arc; ``between`` is its sum of squares, and F (which the reference names t) follows from it.
+
+    A test that ends early still draws the permutations of its batch if another ``follows``, whose own are then those they always were.
+    """
     n = len(x)
     total = float(((x - x.mean()) ** 2).sum())
     f = between / (((total if total >= between else between + 1) - between or 1e-300) / (n - 2))
@@ -323,11 +353,14 @@ def arc_differs(x: np.ndarray, between: float, width: int, p: float, least: int,
     allowed, more, done = int(p * permutations), 0, 0
     while done < permutations:
         some = min(permutations - done, max(1, 200_000 // n))
-        shuffled = rng.permuted(np.broadcast_to(x, (some, n)), axis=1)
-        more += int((arc_squares(shuffled, least, most)[0] > between * (1 + 1e-12)).sum())
+        for lo in range(0, some, JUDGED):
+            shuffled = rng.permuted(np.broadcast_to(x, (min(JUDGED, some - lo), n)), axis=1)
+            more += int((largest_square(shuffled, least, most, between) > between * (1 + 1e-12)).sum())
+            if more > allowed:
+                if follows and some - lo > JUDGED:
+                    rng.permuted(np.broadcast_to(x, (some - lo - JUDGED, n)), axis=1)
+                return False
         done += some
-        if more > allowed:
-            return False
     return more / permutations < p
 
 
@@ -368,7 +401,7 @@ def binary_segments(x: np.ndarray, p: float = 0.01, least: int = 10, permutation
         parts = [(0, b - a)]
         if b - a >= least:
             between, i, j = (v[0].item() for v in arc_squares(own[None], arc))
-            if between > 1e-12 and j - i >= arc and arc_differs(own, between, j - i, p, arc, permutations, sure, rng):
+            if between > 1e-12 and j - i >= arc and arc_differs(own, between, j - i, p, arc, permutations, sure, rng, bool(todo)):
                 parts = [(u, v) for u, v in ((0, i), (i, j), (j, b - a)) if v > u]
         if len(parts) > 1 and parts[0][1] < arc:
             parts[:2] = [(0, parts[1][1])]
@@ -414,8 +447,76 @@ def undo(medians_of, pieces: list[tuple[int, int]], threshold: float) -> list[tu
     return pieces
 
 
+#: Distinct points up to which the distances of all pairs are held; more are linked along chains of nearest neighbours.
+PAIRWISE = 512
+
+
+def _outline(points: np.ndarray) -> np.ndarray:
+    """The points of a cluster that can be farthest from any other: in the plane its convex hull, else all of them."""
+    if points.shape[1] != 2 or len(points) < 3:
+        return points
+    p = points[np.lexsort((points[:, 1], points[:, 0]))].tolist()
+
+    def half(q: list) -> list:
+        out: list = []
+        for x, y in q:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
+                out.pop()
+            out.append((x, y))
+        return out
+
+    return np.array(half(p)[:-1] + half(p[::-1])[:-1])
+
+
+def _chained(points: np.ndarray, height: float) -> np.ndarray:
+    """``complete_linkage`` along chains of nearest neighbours, which end in pairs that are each other's nearest; memory for the points only."""
+    names, size = np.arange(len(points)), np.ones(len(points), int)
+    held, who = points.astype(float), np.arange(len(points))  # outlines of the open clusters, one behind the other
+    outline = {k: points[k : k + 1].astype(float) for k in range(len(points))}
+    members = {k: [k] for k in range(len(points))}
+    chain: list[int] = []
+    while len(who):
+        if not chain:
+            chain.append(int(who[0]))
+        top = chain[-1]
+        far = np.zeros(len(held))
+        for o in outline[top]:
+            np.maximum(far, ((held - o) ** 2).sum(1), out=far)
+        far = np.maximum.reduceat(far, np.r_[0, np.cumsum(size)[:-1]])
+        far[who == top] = np.inf
+        least = float(far.min())
+        at = int(who[far.argmin()])
+        if len(chain) > 1 and far[np.flatnonzero(who == chain[-2])[0]] <= least:
+            at = chain[-2]
+        if not math.sqrt(least) <= height:
+            gone, chain, fresh = chain, [], None  # what led here is even farther from anything
+        elif len(chain) > 1 and at == chain[-2]:
+            gone, chain = chain[-2:], chain[:-2]
+            fresh = min(gone)
+            outline[fresh], members[fresh] = _outline(np.concatenate([outline[k] for k in gone])), members[gone[0]] + members[gone[1]]
+            names[members[fresh]] = fresh
+        else:
+            chain.append(at)
+            continue
+        stay = ~np.isin(who, gone)
+        held, who, size = held[np.repeat(stay, size)], who[stay], size[stay]
+        if fresh is not None:
+            held, who, size = np.concatenate([held, outline[fresh]]), np.r_[who, fresh], np.r_[size, len(outline[fresh])]
+    return names
+
+
 def complete_linkage(points: np.ndarray, height: float) -> np.ndarray:
-    """Cluster numbers by complete linkage, cut at ``height``; for the segments of one genome."""
+    """Cluster numbers (the first member's place) by complete linkage, cut at ``height``; for the segments of one genome. Equal points are one."""
+    _, first, back = np.unique(points, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(first)  # in order of their first places
+    rank = np.empty(len(first), int)
+    rank[order] = np.arange(len(first))
+    distinct = points[first[order]]
+    names = _pairwise(distinct, height) if len(distinct) <= PAIRWISE else _chained(distinct, height)
+    return first[order][names][rank[back.reshape(-1)]] if len(points) else np.arange(0)
+
+
+def _pairwise(points: np.ndarray, height: float) -> np.ndarray:
     names = np.arange(len(points))
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
@@ -449,16 +550,25 @@ def local_maxima(x: np.ndarray) -> list[int]:
     return out
 
 
-def mirrored_peak(ref: np.ndarray, alt: np.ndarray, points: int = 512) -> float:
-    """The peak of the depth-weighted density of allele fractions and their mirror images, mirrored below one half."""
+#: Fractions that the density is taken of at a time.
+KDE_CHUNK = 1 << 14
+
+
+def mirrored_peak(ref: np.ndarray, alt: np.ndarray, points: int = 512, times: np.ndarray | None = None) -> float:
+    """The peak of the depth-weighted density of allele fractions and their mirror images, mirrored below one half; a site stands for ``times`` equal ones."""
     n = ref + alt
-    f, w = (alt / np.maximum(n, 1))[n > 0], n[n > 0].astype(float)
+    t = (np.ones(len(n)) if times is None else times.astype(float))[n > 0]
+    f, w = (alt / np.maximum(n, 1))[n > 0], n[n > 0] * t
     if not len(f):
         return math.nan
-    both, weight = np.r_[f, 1 - f], np.r_[w, w]
-    width = max(1.06 * both.std() * len(both) ** -0.2, 1e-3)
+    both, weight, t = np.r_[f, 1 - f], np.r_[w, w], np.r_[t, t]
+    total = t.sum()
+    mean = (both * t).sum() / total
+    width = max(1.06 * math.sqrt(((both - mean) ** 2 * t).sum() / total) * total**-0.2, 1e-3)
     grid = np.linspace(0, 1, points)
-    density = (np.exp(-0.5 * ((grid[:, None] - both) / width) ** 2) * weight).sum(1)
+    density = np.zeros(points)
+    for lo in range(0, len(both), KDE_CHUNK):
+        density += (np.exp(-0.5 * ((grid[:, None] - both[lo : lo + KDE_CHUNK]) / width) ** 2) * weight[lo : lo + KDE_CHUNK]).sum(1)
     peaks = local_maxima(density) or [int(density.argmax())]
     at = grid[max(peaks, key=lambda k: (density[k], -k))]
     return float(min(at, 1 - at))
@@ -733,10 +843,13 @@ def two_rounds(ratios: DataFrame, shifts: DataFrame, keys: list[str], order: str
     Both rounds work on one key's ordered signal at a time; a segment without
     a break of its shifts stays as it is.
     """
-    one = segment(ratios, keys, order, value, undo_factor).withColumn("outer", F.col("first"))
+    from plexframe.session import Scratch
+
+    scratch = Scratch(ratios.sparkSession)  # each round is read several times, and costs more than all else
+    one = scratch.write(segment(ratios, keys, order, value, undo_factor).withColumn("outer", F.col("first")), "one")
     at = [F.col(k) for k in keys]
     inside = shifts.alias("s").join(one.select(*at, "first", "last", "outer").alias("o"), keys).where((F.col("s." + order) >= F.col("o.first")) & (F.col("s." + order) <= F.col("o.last"))).select(*keys, "outer", F.col("s." + order).alias(order), F.col("s." + value).alias(value))
-    two = segment(inside, [*keys, "outer"], order, value, undo_factor)
+    two = scratch.write(segment(inside, [*keys, "outer"], order, value, undo_factor), "two")
     parts = two.groupBy(*keys, "outer").agg(F.count("*").alias("parts"))
     whole = one.join(parts, [*keys, "outer"], "left").where("parts IS NULL OR parts = 1").select(*keys, "outer", "first", "last")
     split = two.join(parts, [*keys, "outer"]).where("parts > 1").select(*keys, "outer", "first", "last")
@@ -765,7 +878,7 @@ def genome_intervals(lengths: DataFrame, blocked: DataFrame, track: DataFrame, g
     at = ["contig", "start", "stop"]
     shared = F.least("stop", "r_stop") - F.greatest("start", "r_start")
     gc = I.range_join(good.select(*at), gc_of.select(*at, "gc")).groupBy(*at).agg((F.sum(shared * F.col("r_gc")) / F.sum(shared)).alias("gc"))
-    return good.join(gc, at).where(L.moderate_gc(F.col("gc"))).select(*at, "mappability", "gc")
+    return good.hint("merge").join(gc, at).where(L.moderate_gc(F.col("gc"))).select(*at, "mappability", "gc")
 
 
 def somatic_arcs(rows: np.ndarray, least: int, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -794,16 +907,19 @@ def somatic_arcs(rows: np.ndarray, least: int, most: int = 0) -> tuple[np.ndarra
     return best, first, end
 
 
-def _exceeds(x: np.ndarray, t: float, p: float, least: int, most: int, permutations: int, rng: np.random.Generator) -> bool:
+def _exceeds(x: np.ndarray, t: float, p: float, least: int, most: int, permutations: int, rng: np.random.Generator, follows: bool = True) -> bool:
     """Whether fewer than a share ``p`` of the permutations have a larger arc; it ends early once too many have."""
     allowed, more, done = int(p * permutations), 0, 0
     while done < permutations:
         some = min(permutations - done, max(1, 100_000 // len(x)))
-        shuffled = rng.permuted(np.broadcast_to(x, (some, len(x))), axis=1)
-        more += int((somatic_arcs(shuffled, least, most)[0] > t).sum())
+        for lo in range(0, some, JUDGED):
+            shuffled = rng.permuted(np.broadcast_to(x, (min(JUDGED, some - lo), len(x))), axis=1)
+            more += int((somatic_arcs(shuffled, least, most)[0] > t).sum())
+            if more > allowed:
+                if follows and some - lo > JUDGED:
+                    rng.permuted(np.broadcast_to(x, (some - lo - JUDGED, len(x))), axis=1)
+                return False
         done += some
-        if more > allowed:
-            return False
     return more / permutations < p
 
 
@@ -842,7 +958,7 @@ def somatic_segments(x: np.ndarray, p: float = 0.01, least: int = 2, permutation
             if t > 1e-9 and j - i >= small:
                 chance = tail(t, b - a) if b - a >= 4 * SMALL_ARC else 0.0
                 limit = SMALL_ARC if b - a >= 4 * SMALL_ARC else 0
-                if chance < p and _exceeds(own, t, p - chance, least, limit, permutations, rng):
+                if chance < p and _exceeds(own, t, p - chance, least, limit, permutations, rng, bool(todo)):
                     parts = [(u, v) for u, v in ((0, i), (i, j), (j, b - a)) if v > u]
         if len(parts) > 1 and parts[0][1] - parts[0][0] < least:
             parts[:2] = [(0, parts[1][1])]

@@ -191,10 +191,11 @@ def hclust_prune(spark, d):
 
 @query()
 def kde_peak(spark, d):
-    e = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("segment"), F.col("l_partkey").alias("site")).agg(F.count("*").alias("depth"), F.sum(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("alt"))
+    sites = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("segment"), F.col("l_partkey").alias("site")).agg(F.count("*").alias("depth"), F.sum(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("alt"))
+    e = sites.groupBy("segment", "depth", "alt").agg(F.count("*").alias("sites"))  # sites of equal depths count together
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"segment": f["segment"].iloc[:1], "peak": [round(CN.mirrored_peak((f["depth"] - f["alt"]).to_numpy(), f["alt"].to_numpy()), 6)]})
+        return pd.DataFrame({"segment": f["segment"].iloc[:1], "peak": [round(CN.mirrored_peak((f["depth"] - f["alt"]).to_numpy(), f["alt"].to_numpy(), times=f["sites"].to_numpy()), 6)]})
 
     return e.groupBy("segment").applyInPandas(run, "segment long, peak double")
 
