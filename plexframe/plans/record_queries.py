@@ -11,6 +11,7 @@ from plexframe.operators import copynumber as CN, records as R, reads as RD
 from plexframe.plans.copy_queries import COV, LOGPDF, LOGR, SEG, cov, seg
 from plexframe.plans.demux_queries import PARTS, parts
 from plexframe.plans.views import READS, REGIONS, SIGNAL, query, reads, regions, signal, table
+from plexframe.session import dealt
 
 FLAGGED = f"{READS}, f AS (SELECT *, (CASE cls WHEN 'A' THEN 256 WHEN 'R' THEN 2048 ELSE 0 END) | (CASE WHEN errors = 8 THEN 4 ELSE 0 END) | (CASE WHEN mapq > 5 THEN 1024 ELSE 0 END) AS flag FROM reads)"
 
@@ -385,7 +386,8 @@ def somatic_segmentation(spark, d):
         pieces = CN.somatic_segments(x, permutations=1000)
         return pd.DataFrame({"contig": f["contig"].iloc[0], "first": [pos[a] for a, _ in pieces], "last": [pos[b - 1] for _, b in pieces], "n": [b - a for a, b in pieces]})
 
-    return s.groupBy("contig").applyInPandas(run, "contig long, first long, last long, n long")
+    # Little data and much work: a stated number of partitions is not coalesced to a few.
+    return dealt(s.select("contig", "pos", "value"), "contig").groupBy("contig").applyInPandas(run, "contig long, first long, last long, n long")
 
 
 @query()
