@@ -114,8 +114,10 @@ def _vcf(spark, d):
     c = F.col
     alts = F.when(c("l_partkey") % 3 == 0, F.array(F.lit("C"), F.lit("G"))).when(c("l_partkey") % 3 == 1, F.array(F.lit("CA"))).otherwise(F.array(F.lit("T")))
     dp = F.array(c("l_linenumber").cast("string"))
-    return table(spark, d, "lineitem").select(F.concat(F.lit("c"), c("l_suppkey") % 9).alias("contig"), (c("l_partkey") * 10 + c("l_linenumber")).alias("pos"), F.lit(None).cast("string").alias("id"), F.lit("A").alias("ref"), alts.alias("alts"), (c("l_linenumber") / 2.0).alias("qual"), F.when(c("l_linenumber") > 3, F.array(F.lit("PASS"))).otherwise(F.array(F.lit("q10"), F.lit("low"))).alias("filters"), "l_linenumber", dp.alias("dp")).distinct().select(
-        "contig", "pos", "id", "ref", "alts", "qual", "filters", F.create_map(F.lit("DP"), "dp", F.lit("DB"), F.array().cast("array<string>")).alias("info"), F.array(F.struct(F.lit("s1").alias("name"), F.create_map(F.lit("GT"), F.array(F.when(c("l_linenumber") > 3, "0/1").otherwise("1|1")), F.lit("AD"), F.array(F.lit("3"), c("l_linenumber").cast("string"))).alias("format"))).alias("samples"))
+    own = table(spark, d, "lineitem").select((c("l_suppkey") % 9).alias("k"), "l_partkey", "l_linenumber").distinct()  # all that a record is made of
+    return own.select(
+        F.concat(F.lit("c"), "k").alias("contig"), (c("l_partkey") * 10 + c("l_linenumber")).alias("pos"), F.lit(None).cast("string").alias("id"), F.lit("A").alias("ref"), alts.alias("alts"), (c("l_linenumber") / 2.0).alias("qual"), F.when(c("l_linenumber") > 3, F.array(F.lit("PASS"))).otherwise(F.array(F.lit("q10"), F.lit("low"))).alias("filters"),
+        F.create_map(F.lit("DP"), dp, F.lit("DB"), F.array().cast("array<string>")).alias("info"), F.array(F.struct(F.lit("s1").alias("name"), F.create_map(F.lit("GT"), F.array(F.when(c("l_linenumber") > 3, "0/1").otherwise("1|1")), F.lit("AD"), F.array(F.lit("3"), c("l_linenumber").cast("string"))).alias("format"))).alias("samples"))
 
 
 HEAD = ["##fileformat=VCFv4.2", '##INFO=<ID=DP,Number=1,Type=Integer,Description="x">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="x">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="x">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="x">', '##FILTER=<ID=low,Description="x">', *[f"##contig=<ID=c{k},length=9000000>" for k in range(9)]]
