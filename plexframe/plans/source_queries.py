@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plexframe.plans.consensus_queries import CLUSTER, cluster_table
 from plexframe.plans.demux_queries import PARTS, parts
 from plexframe.plans.views import LENGTH, REGIONS, lengths, query, regions, table
-from plexframe.session import Scratch
+from plexframe.session import Scratch, dealt
 from plexframe.sources import binary, readers, writers
 
 
@@ -103,7 +103,7 @@ def sam_round_trip(spark, d):
 @query(SAM)
 def bam_round_trip(spark, d):
     """Blocks of compressed members, encoded and decoded partition by partition."""
-    return _read(binary.decode(binary.encode(_sam(spark, d).repartition(4, "contig"), [(str(k), 1000) for k in range(7)])))
+    return _read(binary.decode(binary.encode(dealt(_sam(spark, d)), [(str(k), 1000) for k in range(7)])))
 
 
 _ALT = "CASE l_partkey % 3 WHEN 0 THEN 'C,G' WHEN 1 THEN 'CA' ELSE 'T' END"
