@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 REGION = r"^([^:\t]+)[:\t]([0-9,]+)[-\t]([0-9,]+)$"
@@ -59,51 +60,139 @@ def whole_contigs(lengths: DataFrame) -> DataFrame:
     return lengths.select("contig", F.lit(0).cast("long").alias("start"), F.col("length").alias("stop"))
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
+    """((file, block), from, to) of a batch's stretches of one split's lines."""
+    file, block = batch.column("file").dictionary_encode(), batch.column("block").to_numpy()
+    code = file.indices.to_numpy()
+    cuts = np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(code)], strict=True):
+        if hi > lo:
+            yield (file.dictionary[int(code[lo])].as_py(), int(block[lo])), lo, hi
+
+
+def _at(lines: DataFrame) -> DataFrame:
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Appends ``file`` and ``line`` (from 0 within its file) to rows of ``spark.read.text``.
 
     Lines are counted per split first; the sums of a file's earlier splits,
     one row per split, then shift the counts inside each split.
     """
-    at = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    at = _at(lines)
 
-    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
-        for f in frames:
-            rows = []
-            for key in zip(f["file"], f["block"], strict=True):
-                rows.append(seen.get(key, 0))
-                seen[key] = rows[-1] + 1
-            yield f.assign(k=rows)
+        for b in batches:
+            k = np.empty(b.num_rows, np.int64)
+            for key, lo, hi in _runs(b):
+                k[lo:hi] = np.arange(seen.get(key, 0), seen.get(key, 0) + hi - lo)
+                seen[key] = int(k[hi - 1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k)], names=[*b.schema.names, "k"])
 
     from pyspark.sql import Window
 
-    inside = at.mapInPandas(number, "value string, file string, block long, k long")
+    inside = at.mapInArrow(number, "value string, file string, block long, k long")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = at.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    return inside.join(splits, ["file", "block"]).select("value", "file", (F.col("k") + F.col("shift")).alias("line"))
+    # A row per split of a file, so lines stay where they are read.
+    return inside.join(F.broadcast(splits), ["file", "block"]).select("value", "file", (F.col("k") + F.col("shift")).alias("line"))
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, qual of FASTQ files, plain or compressed; a record must have four lines and equal lengths."""
+    """name, seq, qual of FASTQ files, plain or compressed; a record must have four lines and equal lengths.
+
+    Records are put together where they are read; only lines of those that a
+    split cuts are grouped.
+    """
     lines = number_lines(spark.read.text(path))
-    record = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(n) for k, n in enumerate(("name", "seq", "plus", "qual"))])
+    parts = ("name", "seq", "plus", "qual")
+
+    def whole(cut: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list = []  # lines of a record that isn't whole yet: (file, line, value)
+            for b in batches:
+                value, line = b.column("value"), b.column("line").to_numpy()
+                file = b.column("file").to_pylist()
+                out: list = []
+                for k in range(b.num_rows):
+                    if held and (file[k] != held[-1][0] or line[k] != held[-1][1] + 1):
+                        out.append((held[0], held))
+                        held = []
+                    held.append((file[k], int(line[k]), value[k].as_py()))
+                    if line[k] % 4 == 3:
+                        out.append((held[0], held))
+                        held = []
+                yield batch(out)
+            yield batch([(held[0], held)] if held else [])
+
+        def batch(records: list) -> pa.RecordBatch:
+            rows = []
+            for (file, line, _), own in records:
+                if (len(own) < 4) == cut:
+                    of = {k % 4: v for _, k, v in own}
+                    rows.append((file, line // 4, *(of.get(k) for k in range(4))))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(columns)], names=["file", "record", *parts])
+
+        return lines.mapInArrow(run, "file string, record long, name string, seq string, plus string, qual string")
+
+    pieces = whole(True).groupBy("file", "record").agg(*[F.max(n).alias(n) for n in parts])
+    record = whole(False).unionByName(pieces)
     ok = F.col("name").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
     name = F.when(F.coalesce(ok, F.lit(False)), F.substring("name", 2, 1 << 30)).otherwise(F.raise_error(F.lit("bad FASTQ record")))
     return record.select(name.alias("name"), "seq", "qual")
 
 
 def fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
-    """contig, start, seq of the sequence lines of a FASTA file: pieces that cover each contig in order."""
+    """contig, start, seq of the sequence lines of a FASTA file: pieces that cover each contig in order.
+
+    Every split is read by itself; the contig that goes on from the splits
+    before, and how long it is by then, comes from one row per split.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("file").orderBy("line")
-    lines = number_lines(spark.read.text(path)).where("length(value) > 0")
-    named = lines.withColumn("contig", F.last(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)), ignorenulls=True).over(w))
-    seq = F.upper("value") if upper else F.col("value")
-    pieces = named.where(~F.col("value").startswith(">")).select("file", "line", "contig", seq.alias("seq"))
-    inside = Window.partitionBy("file", "contig").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.select("contig", F.coalesce(F.sum(F.length("seq")).over(inside), F.lit(0)).alias("start"), "seq")
+    at = _at(spark.read.text(path))
+
+    def run(summary: bool):
+        import re
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state: dict = {}  # the split's contig so far (None: not its own) and its length
+            for b in batches:
+                values, rows = b.column("value").to_pylist(), []
+                for key, lo, hi in _runs(b):
+                    name, length = state.get(key, (None, 0))
+                    for text in values[lo:hi]:
+                        if text.startswith(">"):
+                            found = re.match(r"^>(\S+)", text)
+                            name, length = found[1] if found else "", 0
+                        elif text:
+                            if not summary:
+                                rows.append((*key, name, length, text))
+                            length += len(text)
+                    state[key] = name, length
+                if not summary:
+                    yield batch(rows, 5)
+            if summary:
+                yield batch([(*key, *v) for key, v in state.items()], 4)
+
+        def batch(rows: list, n: int) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()][:n]
+            columns = list(zip(*rows, strict=True)) or [()] * n
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["file", "block", "own", "at", "value"][:n])
+
+        return at.mapInArrow(go, "file string, block long, own string, at long" + ("" if summary else ", value string"))
+
+    w = Window.partitionBy("file").orderBy("block")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    splits = run(True).withColumn("group", F.sum(F.col("own").isNotNull().cast("int")).over(w))
+    so_far = F.sum("at").over(Window.partitionBy("file", "group").orderBy("block"))
+    ends = splits.withColumn("length", so_far).select("file", "block", F.lag("length").over(w).alias("shift"), F.last("own", ignorenulls=True).over(before).alias("carried"))
+    pieces = run(False).join(F.broadcast(ends), ["file", "block"])  # a row per split
+    start = F.col("at") + F.when(F.col("own").isNull(), F.coalesce("shift", F.lit(0))).otherwise(0)
+    return pieces.select(F.coalesce("own", "carried").alias("contig"), start.alias("start"), (F.upper("value") if upper else F.col("value")).alias("seq"))
 
 
 def slice_sequence(pieces: DataFrame, regions: DataFrame) -> DataFrame:
