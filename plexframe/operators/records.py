@@ -187,43 +187,62 @@ def alignment_ops(reads: DataFrame, keep: list[str]) -> DataFrame:
     one read goes through its own bases only.
     """
     import re
-
-    import pandas as pd
-
-    def ops(start: int, cigar: str, seq: str, target: str) -> list[tuple]:
-        out: list[list] = []
-        parts = re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)
-        t, q = start, 0
-        for k, (n, op) in enumerate(parts):
-            n = int(n)
-            inner = bool(out) and k < len(parts) - 1
-            if op == "M":
-                for j in range(n):
-                    if seq[q + j] == target[t + j]:
-                        if out and out[-1][0] == "match":
-                            out[-1][1] += 1
-                            continue
-                        out.append(["match", 1, t + j, q + j])
-                    else:
-                        out.append(["mismatch", 1, t + j, q + j])
-            elif op == "I" and inner:
-                out.append(["insertion", n, t - 1, q])
-            elif op == "D" and inner:
-                out.append(["deletion", n, t, q])
-            elif op in "N=X":
-                out.append([{"N": "skip", "=": "match", "X": "mismatch"}[op], n, t, q])
-            t += n if op in "MDN=X" else 0
-            q += n if op in "MIS=X" else 0
-        return [(k, *o) for k, o in enumerate(out)]
-
-    kinds = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in keep)
-
-    def run(frames):
-        for f in frames:
-            rows = [(*r[: len(keep)], *o) for r in f.itertuples(index=False, name=None) for o in ops(*r[len(keep) :])]
-            yield pd.DataFrame(rows, columns=[*keep, "at", "op", "len", "pos", "read_pos"])
-
-    return reads.select(*keep, "start", "cigar", "seq", "target").mapInPandas(run, f"{kinds}, at long, op string, len long, pos long, read_pos long")
+    from functools import lru_cache
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = {"N": "skip", "=": "match", "X": "mismatch"}
+    schema = ", ".join(f"{c} {reads.schema[c].dataType.simpleString()}" for c in keep) + ", at long, op string, len long, pos long, read_pos long"
+    kind = to_arrow_schema(T.DataType.fromDDL(schema))
+
+    def run(batches):
+        @lru_cache(1 << 14)
+        def parsed(cigar: str) -> list[tuple[int, str]]:
+            return [(int(n), op) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
+
+        def ops(start: int, cigar: str, seq: str, target: str) -> list[tuple]:
+            out: list[tuple] = []
+            parts = parsed(cigar)
+            t, q = start, 0
+            for k, (n, op) in enumerate(parts):
+                inner = bool(out) and k < len(parts) - 1
+                if op == "M":
+                    a, b = seq[q : q + n], target[t : t + n]
+                    if len(a) < n or len(b) < n:
+                        raise IndexError("an alignment beyond its read or its target")
+                    # Runs of equal bases lie between the places that differ.
+                    places = [-1, *([j for j in range(n) if a[j] != b[j]] if a != b else ()), n]
+                    for lo, hi in zip(places, places[1:]):
+                        if lo >= 0:
+                            out.append(("mismatch", 1, t + lo, q + lo))
+                        if hi > lo + 1:
+                            if out and out[-1][0] == "match":
+                                last = out[-1]
+                                out[-1] = (last[0], last[1] + hi - lo - 1, *last[2:])
+                            else:
+                                out.append(("match", hi - lo - 1, t + lo + 1, q + lo + 1))
+                elif op == "I" and inner:
+                    out.append(("insertion", n, t - 1, q))
+                elif op == "D" and inner:
+                    out.append(("deletion", n, t, q))
+                elif op in "N=X":
+                    out.append((names[op], n, t, q))
+                t += n if op in "MDN=X" else 0
+                q += n if op in "MIS=X" else 0
+            return out
+
+        for batch in batches:
+            own = batch.select(keep)
+            found = [ops(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("start", "cigar", "seq", "target")), strict=True)]
+            times = [len(o) for o in found]
+            row = pa.array([k for k, n in enumerate(times) for _ in range(n)], pa.int64())
+            columns = list(zip(*(o for some in found for o in some), strict=True)) or [()] * 4
+            made = [pa.array([k for n in times for k in range(n)], pa.int64()), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])]
+            yield pa.RecordBatch.from_arrays([c.take(row).cast(f.type) for c, f in zip(own.columns, kind)] + made, schema=kind)
+
+    return reads.select(*keep, "start", "cigar", "seq", "target").mapInArrow(run, schema)
 
 
 def reference_context(rows: DataFrame, seq: str, pos: str, half: int = 100, k: int = 3) -> DataFrame:
